@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import licenses, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op10(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op10_license_scan": op10_license_scan,
+}
 SQL = {"op4_quality_rules": quality.OP4_SQL}
