@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality
+from . import licenses, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op10(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op8(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op8_secret_scan": op8_secret_scan,
     "op10_license_scan": op10_license_scan,
 }
-SQL = {"op4_quality_rules": quality.OP4_SQL}
+SQL = {"op4_quality_rules": quality.OP4_SQL, "op8_secret_scan": secrets.OP8_SQL}
