@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, quality, secrets
+from . import licenses, minhash, quality, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,20 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op9(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op5(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_license_scan": op10_license_scan,
 }
-SQL = {"op4_quality_rules": quality.OP4_SQL, "op8_secret_scan": secrets.OP8_SQL, "op9_minhash_near_dedup": minhash.OP9_SQL}
+SQL = {
+    "op4_quality_rules": quality.OP4_SQL,
+    "op5_substring_dedup": substrings.OP5_SQL,
+    "op8_secret_scan": secrets.OP8_SQL,
+    "op9_minhash_near_dedup": minhash.OP9_SQL,
+}
