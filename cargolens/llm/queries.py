@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, quality, secrets, substrings
+from . import licenses, minhash, quality, secrets, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.op5(_table(spark, sf_dir, "documents"))
 
 
+def op6_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op6(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_nra_top_k": op6_nra_top_k,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_license_scan": op10_license_scan,
@@ -41,6 +46,7 @@ QUERIES = {
 SQL = {
     "op4_quality_rules": quality.OP4_SQL,
     "op5_substring_dedup": substrings.OP5_SQL,
+    "op6_nra_top_k": topk.OP6_SQL,
     "op8_secret_scan": secrets.OP8_SQL,
     "op9_minhash_near_dedup": minhash.OP9_SQL,
 }
