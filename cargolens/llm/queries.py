@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, quality, secrets, substrings, topk
+from . import licenses, minhash, packing, quality, secrets, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,12 @@ def op6_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op6(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op2(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_cutting_stock_packing": op2_cutting_stock_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_nra_top_k": op6_nra_top_k,
