@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, packing, quality, secrets, substrings, topk
+from . import licenses, minhash, mixing, packing, quality, secrets, substrings, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,13 @@ def op2_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op2(_table(spark, sf_dir, "documents"))
 
 
+def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op3(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_cutting_stock_packing": op2_cutting_stock_packing,
+    "op3_pfair_mixing": op3_pfair_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_nra_top_k": op6_nra_top_k,
