@@ -287,6 +287,18 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, step: int = STEP, order_by:
     )
 
 
+def pack_in_order(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+    """As ``pack``, ranking the documents by the order in which their files hold them.
+
+    ``docs`` are read from files whose names sort in the order of the rows.
+    """
+    placed = docs.select(
+        "doc_id", "text", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index")
+    )
+    extra = ("file_name", "row_index")
+    return pack(pieces(placed, tokenizer, capacity, extra), capacity, order_by=extra)
+
+
 def op2(docs: DataFrame) -> DataFrame:
     """The rows of the query."""
     import public_tokenizers

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, minhash, mixing, packing, quality, secrets, substrings, topk
+from . import licenses, lm_scoring, minhash, mixing, packing, quality, secrets, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +43,22 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3(_table(spark, sf_dir, "documents"))
 
 
+def op1_knn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op1(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.op7(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_knn_toxicity": op1_knn_toxicity,
     "op2_cutting_stock_packing": op2_cutting_stock_packing,
     "op3_pfair_mixing": op3_pfair_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_nra_top_k": op6_nra_top_k,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_license_scan": op10_license_scan,
