@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import order_queries
+
 QUERIES: dict = {}
 SQL: dict = {}
+for module in (order_queries,):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
