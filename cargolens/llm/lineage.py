@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +16,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in reliable storage: lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows, computed once and kept in reliable storage: lost executors cost no recomputation.
+
+    What the rows were computed from is then garbage. The driver is asked to collect it, so
+    that Spark's cleaner drops its shuffle files now and not at some later collection.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return kept
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -27,3 +36,15 @@ def spread(df: DataFrame) -> DataFrame:
     the partition of a hot key.
     """
     return cut(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, as a compressed table in the checkpoint folder: for rows with texts."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return kept

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .lineage import cut, ensure_checkpoint_dir, spread
+from .lineage import cut, ensure_checkpoint_dir, spread, stored
 from .wordhash import Words, batches, mix, runs
 
 WINDOW = 35
@@ -282,7 +282,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, n_batches: int = 2, wi
         .select("key", F.when(F.col("copies").isNull(), 1).otherwise(2).alias("weight"))
         .dropDuplicates(["key"])
     )
-    found = cut(_texts_with_key(docs).drop("doc_id").join(prints.join(role, "key"), "key"))
+    found = stored(_texts_with_key(docs).drop("doc_id").join(prints.join(role, "key"), "key"))
     windows = _candidate_windows(found, window)
     repeated = spread(windows.groupBy("h", "v").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "v"))
     single = _candidate_windows(found.filter("weight = 1"), window)
