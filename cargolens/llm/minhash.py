@@ -19,8 +19,9 @@ How it scales:
   it is not yet connected to, so that a family of near copies costs about one comparison a
   member. Blocks are joined through their hubs.
 * What then lies outside a family's main component is compared with every block of that
-  family, again in bounded blocks, so that no link between blocks is lost.
-* Sets are computed from the texts where they are needed and travel once per block.
+  family, again in bounded blocks, so that no link between blocks is lost. Sets that hold
+  too many shingles of their own to be linked with anything are left out of that.
+* Sets are computed once, for members of families only, and travel once per block.
 
 Defined results: null or empty text and text without words has an empty set, is linked with
 nothing and kept; a text with fewer words than a shingle has its whole word sequence as the
@@ -40,13 +41,15 @@ from pyspark.sql.window import Window
 
 from .components import connected_components
 from .exprs import free_name
-from .lineage import cut, spread
+from .lineage import cut, spread, stored
 from .wordhash import BASE, Words, batches, mix, runs
 
 SHINGLE = 5
 BANDS = 32
 #: Members of a family that are compared in one task at a time, and hubs added to each such block.
 BLOCK, HUBS = 64, 16
+#: Parts of a family in which hubs are looked for first.
+PARTS = 64
 
 
 def shingle_sets(texts: pa.Array, k: int, words: Words) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -146,27 +149,32 @@ def link(sets: list[np.ndarray], seeds: list[int], labels: list, per_cent: int)
     return out
 
 
-def _verified(docs: DataFrame, members: DataFrame, per_cent: int, k: int) -> DataFrame:
-    """Links (a, b) inside each group of ``members`` (node, gid, label, seed), on full sets."""
+def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, shingles): the full sets, as sorted 64-bit hashes, of the nodes' texts."""
     words = Words(fold=True)
-    shape = pa.schema(
-        [("gid", pa.int64()), ("node", pa.int64()), ("label", pa.int64()), ("seed", pa.bool_()), ("shingles", pa.binary())]
-    )
-    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    shape = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def to_sets(batches_in):
         for b in batches_in:
-            for row, sets in shingle_sets(b.column(4), k, words):
-                cols = [b.column(i).slice(row, len(sets)) for i in range(4)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], type=pa.binary())], schema=shape)
+            for row, sets in shingle_sets(b.column(1), k, words):
+                found = pa.array([s.tobytes() for s in sets], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(sets)), found], schema=shape)
+
+    d = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+    return nodes.select("node").join(d, "node").mapInArrow(to_sets, "node long, shingles binary")
+
+
+def _verified(sets: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
+    """Links (a, b) inside each group of ``members`` (node, gid, label, seed), on full sets."""
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def one_group(rows: list[tuple]) -> list[tuple[int, int]]:
-        sets = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
-        keep = [i for i, s in enumerate(sets) if len(s)]
-        rows, sets = [rows[i] for i in keep], [sets[i] for i in keep]
+        full = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
+        keep = [i for i, s in enumerate(full) if len(s)]
+        rows, full = [rows[i] for i in keep], [full[i] for i in keep]
         if len(rows) < 2:
             return []
-        found = link(sets, [i for i, r in enumerate(rows) if r[3]], [r[2] for r in rows], per_cent)
+        found = link(full, [i for i, r in enumerate(rows) if r[3]], [r[2] for r in rows], per_cent)
         return [(rows[i][1], rows[j][1]) for i, j in found]
 
     def by_group(batches_in):
@@ -183,14 +191,45 @@ def _verified(docs: DataFrame, members: DataFrame, per_cent: int, k: int) -> Dat
         if held and (out := one_group(held)):
             yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*out, strict=True)], schema=pairs)
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    sets = (
-        members.join(d, "node")
-        .select("gid", "node", "label", "seed", "text")
-        .mapInArrow(to_sets, "gid long, node long, label long, seed boolean, shingles binary")
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = members.join(sets, "node").select("gid", "node", "label", "seed", "shingles")
+    return rows.repartition(n, "gid").sortWithinPartitions("gid", "node").mapInArrow(by_group, "a long, b long")
+
+
+def _linkable(sets: DataFrame, nodes: DataFrame, everyone: DataFrame, per_cent: int) -> DataFrame:
+    """The nodes that share enough shingles with any other of ``everyone`` to be linked at all.
+
+    A set cannot reach the similarity with any other if too many of its shingles are its
+    own. Shingles are counted inside each batch before they are shuffled; a shingle that
+    stands once carries its node. Nodes with several rows are always kept.
+    """
+    counted = pa.schema([("shingle", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+
+    def count(batches_in):
+        for b in batches_in:
+            parts = [np.frombuffer(x.as_py(), dtype=np.int64) for x in b.column(1)]
+            if parts:
+                node = np.repeat(b.column(0).to_numpy(), [len(p) for p in parts])
+                own, first, n = np.unique(np.concatenate(parts), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(node[first])], schema=counted)
+
+    rows = everyone.select("node").join(sets, "node").select("node", "shingles")
+    own = (
+        rows.mapInArrow(count, "shingle long, n long, node long")
+        .groupBy("shingle")
+        .agg(F.sum("n").alias("n"), F.min("node").alias("node"))
+        .filter("n = 1")
+        .groupBy("node")
+        .agg(F.count(F.lit(1)).alias("own"))
     )
-    return sets.repartition(n, "gid").sortWithinPartitions("gid", "node").mapInArrow(by_group, "a long, b long")
+    size = (
+        nodes.select("node")
+        .join(sets, "node")
+        .groupBy("node")
+        .agg((F.max(F.length("shingles")) / 8).cast("long").alias("size"), F.count(F.lit(1)).alias("rows"))
+    )
+    shared = F.col("size") - F.coalesce("own", F.lit(0))
+    return size.join(own, "node", "left").filter((F.col("rows") > 1) | (shared * 100 >= F.col("size") * per_cent)).select("node")
 
 
 def families(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -223,12 +262,16 @@ def links(docs: DataFrame, members: DataFrame, per_cent: int, k: int = SHINGLE)
     placed = cut(
         members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     )
+    sets = stored(sets_of(docs, placed, k))
     large = placed.filter("blocks > 1")
     split = not large.isEmpty()
     everyone = placed.select("node", "family", "block")
     if split:
-        rank = F.row_number().over(Window.partitionBy("family").orderBy(F.desc("degree"), "node"))
-        hubs = large.withColumn("_rank", rank).filter(F.col("_rank") <= HUBS)
+        # the best of each part of a family first, so that no task ranks a whole family
+        best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("degree"), "node"))
+        part = large.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PARTS)))
+        part = part.withColumn("rank", best("family", "part")).filter(F.col("rank") <= HUBS).drop("rank")
+        hubs = part.withColumn("rank", best("family")).filter(F.col("rank") <= HUBS)
         everyone = everyone.unionByName(
             hubs.select("node", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
             .filter("other <> block")
@@ -237,17 +280,20 @@ def links(docs: DataFrame, members: DataFrame, per_cent: int, k: int = SHINGLE)
     grouped = everyone.select(
         "node", F.xxhash64("family", "block").alias("gid"), F.col("node").alias("label"), F.lit(True).alias("seed")
     )
-    found = cut(_verified(docs, grouped, per_cent, k))
+    found = cut(_verified(sets, grouped, per_cent))
     comps = connected_components(found)
     if not split:
         return comps
-    # what is not in its family's main component meets all other blocks of the family
+    # what is not in its family's main component, and can be linked at all, meets all other blocks of the family
     labelled = spread(
         large.join(comps, "node", "left").select("node", "family", "block", F.coalesce("component", "node").alias("label"))
     )
     count = labelled.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = count.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    apart = spread(labelled.join(main, "family").filter("label <> main").select("node", "family", "label"))
+    main = spread(count.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main")))
+    outside = spread(labelled.join(main, "family").filter("label <> main").select("node", "family", "label"))
+    if outside.isEmpty():
+        return comps
+    apart = spread(outside.join(_linkable(sets, outside, large, per_cent), "node", "left_semi"))
     if apart.isEmpty():
         return comps
     parts = (
@@ -255,7 +301,6 @@ def links(docs: DataFrame, members: DataFrame, per_cent: int, k: int = SHINGLE)
         .agg(F.count(F.lit(1)).alias("n"))
         .select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
     )
-    parts = spread(parts)
     blocks = spread(sizes.join(parts, "family").select("family", "blocks", "parts"))
     here = (
         labelled.join(blocks, "family")
@@ -268,7 +313,7 @@ def links(docs: DataFrame, members: DataFrame, per_cent: int, k: int = SHINGLE)
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("node", F.xxhash64("family", "block", "part").alias("gid"), "label", F.lit(True).alias("seed"))
     )
-    more = cut(_verified(docs, there.unionByName(here), per_cent, k))
+    more = cut(_verified(sets, there.unionByName(here), per_cent))
     return connected_components(found.unionByName(more))
 
 
