@@ -6,13 +6,10 @@ but the last return the columns of the documents.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cargolens.llm import minhash, mixing, packing, quality, secrets
 
-TOKENIZER = "byte_bpe_50k.json"
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the production policy of the quality ledger keeps."""
@@ -36,7 +33,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences; documents of a length class are ranked in the order of the mix."""
-    return packing.pack_in_order(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack_in_order(docs, packing.vocabulary())
 
 
 STAGES = [
