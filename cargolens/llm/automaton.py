@@ -70,8 +70,9 @@ class _Parser:
             if self.s[self.i : self.i + 2] == "?:":
                 self.i += 2
             x = self.alt()
-            if self.take() != ")":
+            if self.peek() != ")":
                 raise ValueError(f"unbalanced group in {self.s!r}")
+            self.i += 1
             return x
         if c == "[":
             return ("set", self.klass())

@@ -1,0 +1,24 @@
+import corpus_pipeline as pipeline
+
+
+def test_stages_take_effect(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    columns, seen = docs.columns, [docs.count()]
+    for i, (name, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        if i < len(pipeline.STAGES) - 1:
+            assert out.columns == columns, name
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen.append(docs.count())
+    assert seen[0] > seen[1] > seen[2] == seen[3] == seen[4]
+    assert docs.select("doc_id").distinct().count() == seen[4]
+    assert docs.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_empty_table(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, "").write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    assert docs.count() == 0
