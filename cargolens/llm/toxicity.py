@@ -194,8 +194,11 @@ class BlockMaxIndex:
         best_i, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
         at, take = 0, 2
         while at < len(blocks):
-            if len(best_s) == k and bound[blocks[at]] < best_s[-1]:
-                break
+            if len(best_s) == k:
+                over = bound[blocks[at]] - best_s[-1]
+                # equal cosines go by place, and later blocks of the same bound hold later places only
+                if over < -1e-12 or (over < 1e-12 and blocks[at] * INDEX_BLOCK > best_i[-1]):
+                    break
             here = blocks[at : at + take]
             at, take = at + take, 2 * take
             cells = (terms[:, None] * n_blocks + here[None, :]).ravel()
