@@ -199,8 +199,8 @@ def _verified(sets: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
 def _linkable(sets: DataFrame, nodes: DataFrame, everyone: DataFrame, per_cent: int) -> DataFrame:
     """The nodes that share enough shingles with any other of ``everyone`` to be linked at all.
 
-    A set cannot reach the similarity with any other if too many of its shingles are its
-    own. Shingles are counted inside each batch before they are shuffled; a shingle that
+    ``everyone`` has (node, family, block). A set cannot reach the similarity with any other
+    if too many of its shingles are its own. Shingles are counted inside each batch before they are shuffled; a shingle that
     stands once carries its node. Nodes with several rows are always kept.
     """
     counted = pa.schema([("shingle", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
@@ -213,7 +213,10 @@ def _linkable(sets: DataFrame, nodes: DataFrame, everyone: DataFrame, per_cent:
                 own, first, n = np.unique(np.concatenate(parts), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(node[first])], schema=counted)
 
-    rows = everyone.select("node").join(sets, "node").select("node", "shingles")
+    # members of one block share most shingles, so that these are counted together
+    n_parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gid = F.xxhash64("family", "block").alias("gid")
+    rows = everyone.select("node", gid).join(sets, "node").select("node", "shingles", "gid").repartition(n_parts, "gid")
     own = (
         rows.mapInArrow(count, "shingle long, n long, node long")
         .groupBy("shingle")
