@@ -192,7 +192,7 @@ def price_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
 NEAR = 1.003
 
 
-def solve(demand: np.ndarray, capacity: int, rounds: int = 1500) -> list[tuple[np.ndarray, int]]:
+def solve(demand: np.ndarray, capacity: int, rounds: int = 6000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often to use them, covering the demand exactly.
 
     ``demand[c]`` rests take c + 1 of ``capacity`` units. Revised simplex on the covering
