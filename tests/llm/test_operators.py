@@ -255,3 +255,26 @@ def test_quality_lm_on_held_out_rows(spark):
     x = lm_scoring.op7(docs, labels).join(labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0), "doc_id").toPandas()
     rank, good = (-x.score).rank(), int(x.quality.sum())
     assert (rank[x.quality == 1].sum() - good * (good + 1) / 2) / (good * (len(x) - good)) > 0.75
+
+
+def test_block_max_index_is_exact():
+    rng = np.random.default_rng(0)
+    n, terms = 600, 30
+    dense = np.where(rng.random((n, terms)) < 0.08, rng.integers(1, 4, (n, terms)), 0)
+    ex, term = np.nonzero(dense)
+    entries = (ex, term, dense[ex, term])
+    vocab = np.sort(rng.integers(1, 1 << 60, terms).astype(np.uint64))
+    index = toxicity.BlockMaxIndex(vocab, rng.integers(1, 50, terms), 1000, np.arange(n), rng.integers(0, 2, n), np.ones(n), entries)
+    full = np.zeros((n, terms))
+    n_blocks = index.most.shape[1]
+    for t in range(terms):
+        own = slice(index.start[t * n_blocks], index.start[(t + 1) * n_blocks])
+        full[index.example[own], t] = index.weight[own]
+    for _ in range(200):
+        at = np.unique(rng.integers(0, terms, rng.integers(1, 6)))
+        w = rng.random(len(at))
+        w /= np.sqrt((w * w).sum())
+        score = full[:, at] @ w
+        want = np.lexsort((np.arange(n), -np.round(score, 12)))[:20]
+        near, cosine = index.nearest(at, w, 20)
+        assert np.allclose(cosine, score[want][score[want] > 0][: len(cosine)])
