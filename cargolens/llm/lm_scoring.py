@@ -184,7 +184,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     vocab = vocabulary(texts)
     wanted = target_ids.select(F.col("doc_id").cast("long")).distinct()
     background = counts(texts, vocab)
-    target = counts(texts.join(wanted, "doc_id", "left_semi"), vocab)
+    # one strategy at every size: the labelled ids grow with the corpus and are never broadcast
+    target = counts(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), vocab)
     if not target[0].sum():
         target = background
     return score(texts, vocab, Model(*target), Model(*background))
