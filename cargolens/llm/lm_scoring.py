@@ -1,18 +1,18 @@
 """Cross-entropy difference of two matched n-gram models.
 
 Both models are bigram models with the same shape, smoothing and vocabulary; one is trained
-on the target documents, the other on all documents. The vocabulary holds the most frequent
-words of the corpus, all others are one unknown word. Unigram counts are exact; bigrams are
-counted in a fixed number of hash slots, the same for both models, so that a model's size
-does not depend on the corpus. A bigram's probability is interpolated with the unigram's,
-which is smoothed by one.
+on the target documents, the other on all documents. The vocabulary holds every word of the
+corpus, and unigram and bigram counts are exact, so that the models grow with the input. A
+bigram's probability is interpolated with the unigram's, which is smoothed by one.
 
 A document's score is the mean over its tokens of the target model's loss minus the
 background model's: the lower, the more it reads like the target.
 
-Counting is one pass over the texts per model. Each task adds up its words and bigrams in
-numpy and emits sums, so that the shuffle carries at most one model per task; final counts
-are bounded by vocabulary and slots, and scoring is a map-only pass.
+The models are tables and never leave the executors; the driver gets five sums. Counting is
+one pass over the texts per model, added up inside each task before the shuffle. A bigram's
+two losses follow from its own counts and those of its words, joined once per distinct
+bigram. They are joined to the distinct bigrams of each text and added up per text. A text
+goes by a 64-bit hash: copies of a text have the same mean, however often they stand.
 
 Defined results: null text and text without words has no tokens, losses null and score 0;
 without target documents both models are the background model and all scores are 0; repeated
@@ -24,171 +24,130 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .wordhash import Words, batches, mix
+from .lineage import cut
+from .wordhash import BASE, Words, batches, mix
 
-#: Words of the vocabulary, hash slots of bigrams, slots in a row of the count table, weight of the bigram part.
-VOCABULARY, SLOTS, ROW, BLEND = 1 << 15, 1 << 19, 1 << 12, 0.6
+#: Weight of the bigram part; tokens that a task adds up at a time.
+BLEND, HELD = 0.6, 1 << 20
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; added up inside each task before the shuffle."""
+def _bigrams(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word before each word, whether there is none (a text's start), and a hash of both."""
+    before = np.zeros_like(hashes)
+    before[1:] = hashes[:-1]
+    start = np.zeros(len(hashes), dtype=bool)
+    start[at[:-1][at[:-1] < at[1:]]] = True
+    before[start] = 0
+    pair = before * np.uint64(BASE) + hashes
+    pair[start] = mix(~pair[start])
+    return before, start, mix(pair)
+
+
+def _rows(before: np.ndarray, start: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    return [pa.array(before.view(np.int64), mask=start), pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))]
+
+
+def bigram_counts(docs: DataFrame) -> DataFrame:
+    """(before, word, n) over all texts, added up inside each task; ``before`` is null at a text's start."""
     words = Words(fold=True)
 
     def count(batches_in):
-        parts: list[np.ndarray] = []
-        n_held, keys, sums = 0, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def merge():
-            own, inverse = np.unique(np.concatenate([keys, *parts]), return_inverse=True)
-            weight = np.concatenate([sums, np.ones(sum(map(len, parts)), dtype=np.int64)])
-            return own, np.bincount(inverse, weight).astype(np.int64)
+        def emit():
+            before, start, hashes, pair = map(np.concatenate, zip(*held, strict=True))
+            _, first, n = np.unique(pair, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays(_rows(before[first], start[first], hashes[first], n), names=["before", "word", "n"])
 
         for b in batches_in:
             for _, _, data, offsets in batches(b.column(0)):
-                parts.append(words.of(data, offsets)[0])
-                n_held += len(parts[-1])
-                if n_held > 1 << 20:
-                    keys, sums = merge()
-                    parts, n_held = [], 0
-                if len(keys) > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["word", "n"])
-                    keys, sums = keys[:0], sums[:0]
-        keys, sums = merge()
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], names=["word", "n"])
-
-    return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
-    """Sorted hashes of the corpus's most frequent words; ``size`` bounds what the driver gets."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()["word"].to_numpy()
-    return np.sort(top.astype(np.int64).view(np.uint64))
-
-
-def _numbers(words: Words, vocab: np.ndarray, data: np.ndarray, offsets: np.ndarray):
-    """Vocabulary numbers of all words (unknown: one behind the last), and text borders."""
-    hashes, at = words.of(data, offsets)
-    if not len(vocab):
-        return np.zeros(len(hashes), dtype=np.int64), at
-    n = np.searchsorted(vocab, hashes)
-    n[n == len(vocab)] = 0
-    n[vocab[n] != hashes] = len(vocab)
-    return n, at
-
-
-def _bigrams(numbers: np.ndarray, at: np.ndarray, size: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """The number before each word (``size`` + 1 at a text's start) and the bigram's slot."""
-    before = np.empty_like(numbers)
-    before[1:] = numbers[:-1]
-    first = at[:-1][at[:-1] < at[1:]]
-    before[first] = size + 1
-    slot = mix((before * (size + 2) + numbers).astype(np.uint64)) % np.uint64(slots)
-    return before, slot.astype(np.int64)
-
-
-def counts(docs: DataFrame, vocab: np.ndarray, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """Unigram counts (vocabulary, unknown, text starts) and bigram slot counts over all texts."""
-    words, size = Words(fold=True), len(vocab)
-    whole = -(-(size + 2) // ROW) * ROW + slots
+                hashes, at = words.of(data, offsets)
+                if len(hashes):
+                    before, start, pair = _bigrams(hashes, at)
+                    held.append((before, start, hashes, pair))
+                if sum(len(h[0]) for h in held) > HELD:
+                    yield emit()
+                    held = []
+        if held:
+            yield emit()
 
-    def count(batches_in):
-        total = np.zeros(whole, dtype=np.int64)
-        for b in batches_in:
-            for _, _, data, offsets in batches(b.column(0)):
-                numbers, at = _numbers(words, vocab, data, offsets)
-                if len(numbers):
-                    total[: size + 2] += np.bincount(numbers, minlength=size + 2)
-                    total[size + 1] += int((at[:-1] < at[1:]).sum())
-                    total[whole - slots :] += np.bincount(_bigrams(numbers, at, size, slots)[1], minlength=slots)
-        table = total.reshape(-1, ROW)
-        some = np.flatnonzero(table.any(axis=1))
-        if len(some):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some), pa.array([r.astype("<i8").tobytes() for r in table[some]], type=pa.binary())], names=["row", "n"]
-            )
-
-    def add(batches_in):
-        held: dict[int, np.ndarray] = {}
+    return docs.select("text").mapInArrow(count, "before long, word long, n long")
+
+
+def text_bigrams(docs: DataFrame) -> DataFrame:
+    """(key, before, word, n): the distinct bigrams of each text of (key, text)."""
+    words = Words(fold=True)
+
+    def unfold(batches_in):
         for b in batches_in:
-            for r, n in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(n.as_py(), dtype="<i8")
-                held[r] = held[r] + x if r in held else x
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), type=pa.int64()), pa.array([x.tobytes() for x in held.values()], type=pa.binary())], names=["row", "n"]
-        )
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sums = docs.select("text").mapInArrow(count, "row long, n binary").repartition(n, "row").mapInArrow(add, "row long, n binary")
-    total = np.zeros((whole // ROW, ROW), dtype=np.int64)
-    for r in sums.collect():  # one model of fixed size
-        total[r["row"]] = np.frombuffer(r["n"], dtype="<i8")
-    total = total.ravel()
-    return total[: size + 2], total[whole - slots :]
-
-
-class Model:
-    """Interpolated bigram model over numbers of the vocabulary."""
-
-    def __init__(self, single: np.ndarray, pair: np.ndarray, blend: float = BLEND):
-        words = single[:-1]
-        self.single = ((words + 1) / (words.sum() + len(words))).astype(np.float32)
-        self.context = np.maximum(single, 1).astype(np.float32)
-        self.pair, self.blend = pair.astype(np.float32), blend
-
-    def loss(self, before: np.ndarray, numbers: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        follow = np.minimum(self.pair[slot] / self.context[before], 1)
-        return -np.log(self.blend * follow + (1 - self.blend) * self.single[numbers])
-
-
-def score(docs: DataFrame, vocab: np.ndarray, target: Model, background: Model, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) per row of (doc_id, text)."""
-    words, size = Words(fold=True), len(vocab)
-    shape = pa.schema(
-        [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())]
-    )
+            for row, _, data, offsets in batches(b.column(1)):
+                hashes, at = words.of(data, offsets)
+                if not len(hashes):
+                    continue
+                before, start, pair = _bigrams(hashes, at)
+                text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                _, first, n = np.unique(mix(pair ^ mix(text.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+                keys = b.column(0).take(pa.array(row + text[first]))
+                yield pa.RecordBatch.from_arrays([keys, *_rows(before[first], start[first], hashes[first], n)], names=["key", "before", "word", "n"])
+
+    return docs.select("key", "text").mapInArrow(unfold, "key long, before long, word long, n long")
+
 
-    def run(batches_in):
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, n_tokens) per row of (doc_id, key, text)."""
+    words = Words(fold=True)
+
+    def count(batches_in):
         for b in batches_in:
-            for row, to, data, offsets in batches(b.column(1)):
-                numbers, at = _numbers(words, vocab, data, offsets)
-                n = np.diff(at)
-                some, means = n > 0, []
-                if some.any():
-                    before, slot = _bigrams(numbers, at, size, slots)
-                    for model in (target, background):
-                        loss = model.loss(before, numbers, slot).astype(np.float64)
-                        means.append(np.add.reduceat(loss, at[:-1][some]) / n[some])
-                cols = np.zeros((2, len(n)))
-                for c, m in zip(cols, means, strict=False):
-                    c[some] = m
+            for row, to, data, offsets in batches(b.column(2)):
+                n = np.diff(np.searchsorted(words.bounds(data, offsets)[0], offsets))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(row, to - row),
-                        pa.array(n.astype(np.int64)),
-                        pa.array(cols[0], mask=~some),
-                        pa.array(cols[1], mask=~some),
-                        pa.array(cols[0] - cols[1]),
-                    ],
-                    schema=shape,
+                    [b.column(0).slice(row, to - row), b.column(1).slice(row, to - row), pa.array(n.astype(np.int64))], names=["doc_id", "key", "n_tokens"]
                 )
 
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return d.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return docs.select("doc_id", "key", "text").mapInArrow(count, "doc_id long, key long, n_tokens long")
+
+
+def bigram_losses(texts: DataFrame, target_texts: DataFrame) -> DataFrame:
+    """(pair, target_loss, background_loss) of each distinct bigram of the texts."""
+    none = F.lit(0).cast("long")
+    both = bigram_counts(texts).withColumn("t", none).unionByName(bigram_counts(target_texts).select("before", "word", none.alias("n"), F.col("n").alias("t")))
+    pairs = cut(both.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+    single = cut(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
+    total = single.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("n"), none).alias("n"), F.coalesce(F.sum("t"), none).alias("t")).first()
+    starts = pairs.filter("before is null").agg(F.coalesce(F.sum("n"), none).alias("n"), F.coalesce(F.sum("t"), none).alias("t")).first()
+    # the counts grow with the corpus: joined by sort-merge at every size
+    first = single.select(F.col("word").alias("before"), F.col("n").alias("before_n"), F.col("t").alias("before_t")).hint("merge")
+    second = single.select("word", F.col("n").alias("word_n"), F.col("t").alias("word_t")).hint("merge")
+    known = pairs.join(first, "before", "left").join(second, "word")
+
+    def loss(c: str) -> Column:
+        if not total["t"]:
+            c = "n"
+        context = F.greatest(F.coalesce(F.col(f"before_{c}"), F.lit(starts[c])), F.lit(1))
+        return -F.log(F.lit(BLEND) * F.col(c) / context + F.lit(1 - BLEND) * (F.col(f"word_{c}") + 1) / F.lit(float(total[c] + total["words"])))
+
+    return known.select(F.xxhash64("before", "word").alias("pair"), loss("t").alias("target_loss"), loss("n").alias("background_loss"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Scores of all documents; ``target_ids`` (doc_id) name the target documents, of any number."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    vocab = vocabulary(texts)
     wanted = target_ids.select(F.col("doc_id").cast("long")).distinct()
-    background = counts(texts, vocab)
     # one strategy at every size: the labelled ids grow with the corpus and are never broadcast
-    target = counts(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), vocab)
-    if not target[0].sum():
-        target = background
-    return score(texts, vocab, Model(*target), Model(*background))
+    losses = cut(bigram_losses(texts, texts.join(wanted.hint("merge"), "doc_id", "left_semi")))
+    keyed = texts.withColumn("key", F.xxhash64("text"))
+    own = text_bigrams(keyed).select("key", F.xxhash64("before", "word").alias("pair"), "n")
+    sums = (
+        own.join(losses.hint("merge"), "pair")
+        .groupBy("key")
+        .agg(F.sum(F.col("n") * F.col("target_loss")).alias("t"), F.sum(F.col("n") * F.col("background_loss")).alias("b"), F.sum("n").alias("n"))
+    )
+    means = cut(sums.select("key", (F.col("t") / F.col("n")).alias("target_loss"), (F.col("b") / F.col("n")).alias("background_loss")))
+    score = F.coalesce(F.col("target_loss") - F.col("background_loss"), F.lit(0.0)).alias("score")
+    return token_counts(keyed).join(means.hint("merge"), "key", "left").select("doc_id", "n_tokens", "target_loss", "background_loss", score)
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -278,3 +278,38 @@ def test_block_max_index_is_exact():
         want = np.lexsort((np.arange(n), -np.round(score, 12)))[:20]
         near, cosine = index.nearest(at, w, 20)
         assert np.allclose(cosine, score[want][score[want] > 0][: len(cosine)])
+
+
+def test_lm_counts_are_exact_in_a_large_vocabulary(spark):
+    from collections import Counter
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(60000)}" if rng.random() < 0.8 else f"c{rng.randrange(9)}" for _ in range(250)) for _ in range(300)]
+    rows = [*enumerate(texts), (0, texts[0]), (None, texts[1]), (900, ""), (901, None)]
+    good = set(range(0, 300, 4))
+
+    def model(own):
+        tokens = [t.split() for t in own if t]
+        return Counter(w for t in tokens for w in t), Counter(p for t in tokens for p in zip([None, *t], t)), len(tokens)
+
+    every, best = model([t for _, t in rows]), model([t for i, t in rows if i in good])
+    words = len(every[0])
+    assert words > 1 << 15
+
+    def loss(text, m):
+        single, pair, starts = m
+        total = sum(single.values()) + words
+        t = text.split()
+        p = [0.6 * pair[a, b] / max(starts if a is None else single[a], 1) + 0.4 * (single[b] + 1) / total for a, b in zip([None, *t], t)]
+        return -np.log(p).mean()
+
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in lm_scoring.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in good], "doc_id long")).collect()), key=repr)
+    want = sorted(((i, 250, loss(t, best), loss(t, every)) if t else (i, 0, None, None) for i, t in rows), key=repr)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2]
+        if w[1]:
+            assert abs(g[2] - w[2]) < 1e-9 and abs(g[3] - w[3]) < 1e-9 and abs(g[4] - w[2] + w[3]) < 1e-9
+        else:
+            assert g[2:] == (None, None, 0.0)
