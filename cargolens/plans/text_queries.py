@@ -51,6 +51,26 @@ QUERIES["vector_topk_context"] = lambda spark, sf_dir: vectors.with_context(
 ).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded(), "context")
 SQL["vector_topk_context"] = f"WITH {SCORES} SELECT query_id, rank, vec_id, round(score, 6) AS score, text[1:2500] AS context FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 15"
 
+# the same for every vector whose id is divisible by 20: queries that grow with the table
+EVERY = SCORES.replace("vec_id < 20", "vec_id % 20 = 0")
+
+
+def every(e: DataFrame) -> DataFrame:
+    return e.filter("vec_id % 20 = 0")
+
+
+def ranked(e: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
+    return vectors.top_k_in_blocks(e, every(e), k, min_score)
+
+
+register("vector_cosine_every20", EMB, lambda e: vectors.vector_scores(e, every(e)).select("query_id", "vec_id", rounded()), f"WITH {EVERY} SELECT query_id, vec_id, round(score, 6) AS score FROM s")
+register("vector_topk_every20", EMB, lambda e: ranked(e, 15).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded()), f"WITH {EVERY} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 15")
+register("vector_topk_min_score_every20", EMB, lambda e: ranked(e, 40, 0.28).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded()), f"WITH {EVERY} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 40 AND score >= 0.28")
+QUERIES["vector_topk_context_every20"] = lambda spark, sf_dir: vectors.with_context(
+    ranked(EMB(spark, sf_dir), 15), table("documents")(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
+).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded(), "context")
+SQL["vector_topk_context_every20"] = f"WITH {EVERY} SELECT query_id, rank, vec_id, round(score, 6) AS score, text[1:2500] AS context FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 15"
+
 # chunks
 DOCS = table("documents")
 register("chunk_recursive", DOCS, chunking.chunk_recursive)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from cargolens.functions import questions as q
 from cargolens.functions.addresses import parse_address
 from cargolens.functions.embedding import embed
-from cargolens.operators import chunking, filters, metrics, shipments
+from cargolens.operators import chunking, filters, metrics, shipments, vectors
+from cargolens.plans import registry
 from cargolens.plans.orders_doc import orders_doc
 from cargolens.sources import readers, tables
 
@@ -139,3 +140,18 @@ def test_split_text_overlaps():
 def test_patterns():
     assert filters.side_columns("nowhere") == ["pickupfulladdress", "deliveryfulladdress"]
     assert "new" in filters.state_pattern("NY")
+
+
+def test_every_twentieth_vector_is_a_query(spark):
+    ids = {r[0] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id").collect()}
+    assert max(ids) >= 20
+    assert {r[0] for r in registry.QUERIES["vector_topk_every20"](spark, DATA).select("query_id").distinct().collect()} == ids
+
+
+def test_top_k_in_blocks_is_that_of_all_pairs(spark):
+    rows = [(i, i % 2, [float((i * k) % 7) for k in range(1, 6)]) for i in range(60)] + [(70, 0, []), (71, 1, None), (72, 0, [0.0] * 5)]
+    e = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    q = e.filter("vec_id % 3 = 0")
+    whole = vectors.top_k(vectors.vector_scores(e, q), 4)
+    got = vectors.top_k_in_blocks(e, q, 4, block=7).select(whole.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() > 0
