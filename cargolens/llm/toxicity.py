@@ -2,8 +2,9 @@
 
 Examples are a bounded, deterministic sample of labelled documents, the same number at most
 of either label. Terms are words without ASCII punctuation, in lower case; the vocabulary
-holds the terms whose presence goes with the label (chi-squared over the examples). Their
-document frequencies are counted over all documents.
+holds every term of the examples, with document frequencies counted over all documents.
+A document's other terms meet no example but count in its norm: their frequencies come from
+a join of all documents' terms by key.
 
 The example vectors form an inverted index in blocks of ``INDEX_BLOCK`` examples that knows
 each term's greatest weight in each block. A document's terms give an upper bound of every
@@ -14,8 +15,9 @@ Neighbours vote with the square of their cosine, examples weighted by how many l
 documents they stand for. Leaving each example out of its own vote gives votes with known
 labels; a monotone fit to them turns votes into probabilities.
 
-Everything that is sent to the driver or broadcast is bounded by the parameters: examples,
-vocabulary and index. Scoring is a map-only pass over whole texts.
+Everything that is sent to the driver or broadcast is bounded by the examples' texts. The
+nearest examples and their votes do not depend on a document's norm: finding them is a
+map-only pass over whole texts, and the norm is joined to what it found.
 
 Defined results: null and empty texts, and texts without any term of the vocabulary, get the
 rate of such examples; with no labelled rows at all every score is 0; labels that are null or
@@ -33,8 +35,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .lineage import cut
 from .wordhash import Words, batches
 
-#: Examples of each label at most, terms at most, neighbours, chi-squared at least, documents with a term at least.
-EXAMPLES, TERMS, K, CHI2, LEAST_DF = 4000, 2000, 48, 30.0, 3
+#: Examples of each label at most, neighbours.
+EXAMPLES, K = 4000, 48
 INDEX_BLOCK = 64
 
 
@@ -74,16 +76,18 @@ def _doc_terms(texts: pa.Array, terms: Terms):
             yield row + i, own, n
 
 
-def _vectors(docs: DataFrame, extra: list[str], vocab: np.ndarray | None) -> DataFrame:
-    """(doc_id, *extra, term, n): the distinct terms of each text, of the vocabulary if there is one."""
+def _vectors(docs: DataFrame, without: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, term, n): the distinct terms of each text, without those of a (sorted) vocabulary."""
     terms = Terms()
 
     def unfold(batches_in):
         for b in batches_in:
             rows, hashes, counts = [], [], []
             for row, own, n in _doc_terms(b.column(1), terms):
-                if vocab is not None:
-                    keep = np.isin(own, vocab)
+                if without is not None and len(without):
+                    at = np.searchsorted(without, own)
+                    at[at == len(without)] = 0
+                    keep = without[at] != own
                     own, n = own[keep], n[keep]
                 rows.append(np.full(len(own), row))
                 hashes.append(own)
@@ -93,17 +97,13 @@ def _vectors(docs: DataFrame, extra: list[str], vocab: np.ndarray | None) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(took),
-                        *(b.column(2 + i).take(took) for i in range(len(extra))),
                         pa.array(np.concatenate(hashes).view(np.int64)),
                         pa.array(np.concatenate(counts).astype(np.int64)),
                     ],
-                    names=["doc_id", *extra, "term", "n"],
+                    names=["doc_id", "term", "n"],
                 )
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return docs.select("doc_id", "text", *extra).mapInArrow(
-        unfold, f"doc_id long, {kinds + ', ' if kinds else ''}term long, n long"
-    )
+    return docs.select("doc_id", "text").mapInArrow(unfold, "doc_id long, term long, n long")
 
 
 def document_frequency(docs: DataFrame, vocab: np.ndarray) -> np.ndarray:
@@ -120,28 +120,55 @@ def document_frequency(docs: DataFrame, vocab: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(vocab), dtype=np.int64)
-    for r in rows:  # one row a term of the bounded vocabulary
-        out[r["term"]] = r["n"]
+    out[rows["term"].to_numpy()] = rows["n"].to_numpy()  # one row a term of the bounded vocabulary
     return out
 
 
-def choose_terms(examples: DataFrame) -> np.ndarray:
-    """Sorted hashes of the terms that go with the label, strongest first up to ``TERMS``."""
-    size = {r[0]: r[1] for r in examples.groupBy("label").count().collect()}  # two rows
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    if not n0 or not n1:
-        return np.zeros(0, dtype=np.uint64)
-    n = float(n0 + n1)
-    seen = _vectors(examples, ["label"], None).groupBy("term").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("df"))
-    a, df = F.col("a").cast("double"), F.col("df").cast("double")
-    b, c = df - a, n1 - a
-    d = n0 - b
-    chi2 = n * (a * d - b * c) ** 2 / (float(n1) * n0 * df * (n - df))
-    best = seen.filter((F.col("df") >= LEAST_DF) & (F.col("df") < n)).withColumn("chi2", chi2).filter(F.col("chi2") >= CHI2)
-    rows = best.orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+def outer_squares(docs: DataFrame, vocab: np.ndarray, n_docs: int) -> DataFrame:
+    """(key, square) per distinct text of (key, text): the squared weights of its terms outside the vocabulary.
+
+    ``key`` is a hash of the text, so that copies add up to a multiple, which is divided out.
+    """
+    terms = _vectors(docs.select(F.col("key").alias("doc_id"), "text"), vocab).withColumnRenamed("doc_id", "key")
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # as many rows as the documents have terms: joined by sort-merge at every size
+    weight = (1 + F.log("n")) * (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1)
+    sums = terms.join(df.hint("merge"), "term").groupBy("key").agg(F.sum(weight * weight).alias("total"))
+    copies = docs.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    return sums.join(copies.hint("merge"), "key").select("key", (F.col("total") / F.col("copies")).alias("square"))
+
+
+class Starts:
+    """First entry of each cell of (term, block), found in the entries' sorted cells."""
+
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
+
+    def __getitem__(self, cell):
+        return np.searchsorted(self.cells, cell)
+
+
+class Greatest:
+    """Greatest weight of each non-empty cell, by term."""
+
+    def __init__(self, cells: np.ndarray, weights: np.ndarray, shape: tuple[int, int]):
+        self.shape = shape
+        self.cells, first = np.unique(cells, return_index=True)
+        self.lo, self.hi = first, np.append(first[1:], len(cells))
+        self.weight = np.maximum.reduceat(weights, first) if len(first) else np.zeros(0)
+        self.start = np.searchsorted(self.cells, np.arange(shape[0] + 1) * shape[1])
+
+    def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells of these terms, and how many each has."""
+        lo, n = self.start[terms], self.start[terms + 1] - self.start[terms]
+        return spans(lo, n), n
+
+
+def spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` neighbouring places from each ``lo`` on."""
+    return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
 
 
 class BlockMaxIndex:
@@ -149,7 +176,7 @@ class BlockMaxIndex:
 
     def __init__(self, vocab: np.ndarray, df: np.ndarray, n_docs: int, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray]):
         """``entries``: example, term and count of each non-zero of the example vectors."""
-        self.vocab, self.idf = vocab, np.log((1 + n_docs) / (1 + df)) + 1
+        self.vocab, self.n_docs, self.idf = vocab, n_docs, np.log((1 + n_docs) / (1 + df)) + 1
         ex, term, n = entries
         w = self.weigh(term, n)
         norm = np.sqrt(np.bincount(ex, w * w, minlength=len(ids)))
@@ -167,10 +194,8 @@ class BlockMaxIndex:
         self.example, self.weight = ex[order].astype(np.int32), w[order]
         n_blocks = max(1, -(-len(ids) // INDEX_BLOCK))
         cell = term[order] * n_blocks + self.example // INDEX_BLOCK
-        self.start = np.searchsorted(cell, np.arange(len(vocab) * n_blocks + 1)).astype(np.int32)
-        self.most = np.zeros(len(vocab) * n_blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(vocab), n_blocks)
+        self.start = Starts(cell)
+        self.most = Greatest(cell, self.weight, (len(vocab), n_blocks))
 
     def weigh(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (1 + np.log(n)) * self.idf[term]
@@ -185,12 +210,22 @@ class BlockMaxIndex:
         w = self.weigh(at[hit], counts[hit])
         return at[hit], w / np.sqrt((w * w).sum()) if len(w) else w
 
+    def square(self, hashes: np.ndarray, counts: np.ndarray) -> float:
+        """Squared weights of the terms of the vocabulary."""
+        at = np.searchsorted(self.vocab, hashes)
+        at[at == len(self.vocab)] = 0
+        hit = self.vocab[at] == hashes
+        w = self.weigh(at[hit], counts[hit])
+        return float((w * w).sum())
+
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples, best first; those at cosine 0 are none."""
-        bound = w @ self.most[terms]
+        most, n_blocks = self.most, self.most.shape[1]
+        cells, n = most.of(terms)
+        block, own = most.cells[cells] % n_blocks, np.repeat(w, n)
+        bound = np.bincount(block, own * most.weight[cells], minlength=n_blocks)
         blocks = np.argsort(-bound, kind="stable")
         blocks = blocks[bound[blocks] > 0]
-        n_blocks = self.most.shape[1]
         best_i, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
         at, take = 0, 2
         while at < len(blocks):
@@ -200,15 +235,15 @@ class BlockMaxIndex:
                 if over < -1e-12 or (over < 1e-12 and blocks[at] * INDEX_BLOCK > best_i[-1]):
                     break
             here = blocks[at : at + take]
-            at, take = at + take, 2 * take
-            cells = (terms[:, None] * n_blocks + here[None, :]).ravel()
-            lo, size = self.start[cells], self.start[cells + 1] - self.start[cells]
-            total = int(size.sum())
-            if not total:
-                continue
-            pos = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-            found, inverse = np.unique(self.example[pos], return_inverse=True)
-            score = np.bincount(inverse, self.weight[pos] * np.repeat(np.repeat(w, len(here)), size))
+            at, take = at + take, 4 * take
+            now = np.zeros(n_blocks, dtype=bool)
+            now[here] = True
+            now = now[block]
+            lo, size = most.lo[cells[now]], (most.hi - most.lo)[cells[now]]
+            pos = spans(lo, size)
+            score = np.bincount(self.example[pos], self.weight[pos] * np.repeat(own[now], size), minlength=len(self.ids))
+            found = np.flatnonzero(score)
+            score = score[found]
             best_i, best_s = np.concatenate([best_i, found]), np.concatenate([best_s, score])
             order = np.lexsort((best_i, -best_s))[:k]
             best_i, best_s = best_i[order], best_s[order]
@@ -268,7 +303,7 @@ class Model:
             self.knots = monotone_fit(np.array(votes), np.array(truth, dtype=float), np.array(weight))
 
     def score(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
-        """Probability, and the nearest examples as (id, label, cosine)."""
+        """Probability, and the nearest examples as (id, label, cosine over the vocabulary)."""
         if self.index is None:
             return self.none, []
         terms, w = self.index.vector(hashes, counts)
@@ -287,16 +322,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # 2 * most ids at most: a bounded broadcast
     examples = cut(keyed.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
-    vocab = choose_terms(examples)
     rows = examples.select("doc_id", "label", "weight").collect()  # bounded by the sample
     if not rows:
         return Model(None)
-    if not len(vocab):
+    found = _vectors(examples).toPandas()  # the distinct terms of the examples
+    vocab = np.unique(found["term"].to_numpy().astype(np.int64).view(np.uint64))
+    if not len(vocab) or len({r["label"] for r in rows}) < 2:
         w = sum(r["weight"] for r in rows)
         return Model(None, none=sum(r["label"] * r["weight"] for r in rows) / w)
     n_docs, df = docs.count(), document_frequency(keyed, vocab)
     at = {r["doc_id"]: i for i, r in enumerate(rows)}
-    found = _vectors(examples, [], vocab).select("doc_id", "term", "n").toPandas()  # examples times vocabulary at most
     ex = np.array([at[i] for i in found["doc_id"]], dtype=np.int64)
     term = np.searchsorted(vocab, found["term"].to_numpy().astype(np.int64).view(np.uint64))
     entries = (ex, term, found["n"].to_numpy().astype(np.int64))
@@ -310,23 +345,31 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, evidence) of every row of (doc_id, text)."""
     terms = Terms()
-    # the model travels with the function; it is bounded by examples and vocabulary
+    # the model travels with the function; it is bounded by the examples' texts
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-    shape = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", evidence)])
+    shape = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("inner", pa.float64()), ("score", pa.float64()), ("evidence", evidence)])
 
     def run(batches_in):
         for b in batches_in:
-            scores, why = [], []
-            for _, own, n in _doc_terms(b.column(1), terms):
+            scores, inner, why = [], [], []
+            for _, own, n in _doc_terms(b.column(2), terms):
                 p, near = model.score(own, n)
                 scores.append(p)
+                inner.append(model.index.square(own, n) if near else 0.0)
                 why.append([{"doc_id": i, "label": y, "cosine": c} for i, y, c in near])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(scores, type=pa.float64()), pa.array(why, type=evidence)], schema=shape
+                [b.column(0), b.column(1), pa.array(inner, type=pa.float64()), pa.array(scores, type=pa.float64()), pa.array(why, type=evidence)], schema=shape
             )
 
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return d.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>")
+    d = d.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    out = d.mapInArrow(run, "doc_id long, key long, inner double, score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>")
+    if model.index is None:
+        return out.select("doc_id", "score", "evidence")
+    outer = cut(outer_squares(d.select("key", "text"), model.index.vocab, model.index.n_docs))
+    share = F.sqrt(F.col("inner") / (F.col("inner") + F.coalesce("square", F.lit(0.0))))
+    whole = F.transform("evidence", lambda e: F.struct(e["doc_id"].alias("doc_id"), e["label"].alias("label"), (e["cosine"] * share).alias("cosine")))
+    return out.join(outer.hint("merge"), "key", "left").select("doc_id", "score", whole.alias("evidence"))
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -313,3 +313,23 @@ def test_lm_counts_are_exact_in_a_large_vocabulary(spark):
             assert abs(g[2] - w[2]) < 1e-9 and abs(g[3] - w[3]) < 1e-9 and abs(g[4] - w[2] + w[3]) < 1e-9
         else:
             assert g[2:] == (None, None, 0.0)
+
+
+def test_toxicity_uses_every_term(spark):
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.sample(common, 6) + ([f"slur{i % 40}"] * 2 if i % 2 else []))) for i in range(240)]
+    rows += [(1000 + i, f"slur{2 * i + 1} alone{i}") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert len(got) == len(rows) and all(got[1000 + i]["score"] > 0.9 for i in range(20))
+    count = {i: {w: t.split().count(w) for w in t.split()} for i, t in rows}
+    df = {w: sum(w in c for c in count.values()) for c in count.values() for w in c}
+    vec = {i: {w: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in c.items()} for i, c in count.items()}
+    norm = {i: np.sqrt(sum(x * x for x in v.values())) for i, v in vec.items()}
+    for i, r in got.items():
+        assert r["evidence"]
+        for e in r["evidence"]:
+            j = e["doc_id"]
+            assert abs(e["cosine"] - sum(x * vec[j].get(w, 0) for w, x in vec[i].items()) / norm[i] / norm[j]) < 1e-9
