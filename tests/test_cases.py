@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from cargolens.functions import questions as q
 from cargolens.functions.addresses import parse_address
 from cargolens.functions.embedding import embed
-from cargolens.operators import chunking, filters, metrics, shipments, vectors
-from cargolens.plans import registry
+from cargolens.operators import chunking, filters, metrics, sessions, shipments, vectors
+from cargolens.plans import question_queries, registry
 from cargolens.plans.orders_doc import orders_doc
 from cargolens.sources import readers, tables
 
@@ -155,3 +155,22 @@ def test_top_k_in_blocks_is_that_of_all_pairs(spark):
     whole = vectors.top_k(vectors.vector_scores(e, q), 4)
     got = vectors.top_k_in_blocks(e, q, 4, block=7).select(whole.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() > 0
+
+
+def test_sessions_carry_the_user_turns_of_conversations(spark):
+    turns = {(r[0], r[1]) for r in spark.read.parquet(f"{DATA}/conversations.parquet").filter("role = 'user'").select("conv_id", "turn").collect()}
+    for name in ("session_sticky", "session_order_token"):
+        got = registry.QUERIES[name](spark, DATA)
+        rows = {(r["conv_id"], r["turn"]) for r in got.filter("conv_id >= 0").select("conv_id", "turn").collect()}
+        assert rows == turns and rows
+    assert len(question_queries.STICKY) == 15
+
+
+def test_follow_ups_reuse_what_was_said(spark):
+    said = ["orders with customer code AB12 and company code C9 in currency USD confirmed", "pickup zip 92881", "hello", "what about the same again", "orders in California"]
+    turns = spark.createDataFrame([(1, i, t) for i, t in enumerate(said)] + [(2, 0, "the same again")], "conv_id long, turn long, text string")
+    d = sessions.sticky(question_queries.with_entities(turns), list(question_queries.STICKY), F.col("text").rlike(sessions.FOLLOW_UP))
+    got = {(r["conv_id"], r["turn"]): r for r in d.collect()}
+    want = {"customercode": "AB12", "companycode": "C9", "currencycode": "USD", "orderstatus": "Confirmed", "pin": "92881", "location_side": "pickup"}
+    assert {k: got[1, 3][f"{k}_in_force"] for k in want} == want
+    assert all(got[k][f"{c}_in_force"] is None for k in ((1, 2), (2, 0)) for c in question_queries.STICKY)
