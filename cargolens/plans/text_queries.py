@@ -119,10 +119,32 @@ register(
 )
 
 
-def forms(d: DataFrame) -> DataFrame:
+# the same without loss: odd lines of the whole text as the text layer, even lines as what was read from the image
+HALVES = r"""h AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents),
+p AS (SELECT doc_id, trim(coalesce(array_to_string(list_filter(w, lambda x, i: i % 2 = 1), chr(10)), '')) AS t, trim(coalesce(array_to_string(list_filter(w, lambda x, i: i % 2 = 0), chr(10)), '')) AS o FROM h),
+n AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: length(w) > 1)) AS n FROM p)"""
+
+
+def halves(d: DataFrame) -> DataFrame:
+    every = F.split("text", "\n")
+    part = lambda r: F.array_join(F.filter(every, lambda _, i: i % 2 == r), "\n")
+    return d.select("doc_id", part(0).alias("t"), part(1).alias("o"))
+
+
+def whole(f: Callable[[Column, Column], Column]):
+    return lambda d: halves(d).select("doc_id", f(F.col("t"), F.col("o")).alias("text"))
+
+
+register("text_reconcile_pdf_whole", DOCS, whole(chunking.reconcile_pdf), SQL["text_reconcile_pdf"].replace(PARTS, HALVES))
+register("text_reconcile_render_whole", DOCS, whole(chunking.reconcile_render), SQL["text_reconcile_render"].replace(PARTS, HALVES))
+register("text_reconcile_word_whole", DOCS, lambda d: whole(chunking.reconcile_word)(d).select("doc_id", "text.*"), SQL["text_reconcile_word"].replace(PARTS, HALVES))
+
+
+def forms(d: DataFrame, value: Column | None = None) -> DataFrame:
     """Form fields from the lines of the documents: the field's kind goes by the line's place."""
     field = F.element_at(F.array(*(F.lit(f) for f in ("shipper", "fragile_check", "scac_label", "notes"))), (F.col("pos") % 4 + 1).cast("int"))
-    value = F.when(F.col("pos") % 12 == 1, "Yes").when(F.col("pos") % 12 == 2, "SCAC :").when(F.col("pos") % 12 == 3, "  ").otherwise(F.left("chunk", F.lit(40)))
+    text = F.left("chunk", F.lit(40)) if value is None else value
+    value = F.when(F.col("pos") % 12 == 1, "Yes").when(F.col("pos") % 12 == 2, "SCAC :").when(F.col("pos") % 12 == 3, "  ").otherwise(text)
     return lines(d).select("doc_id", "pos", field.alias("field"), value.alias("value"))
 
 
@@ -131,6 +153,7 @@ FORM_SQL = f"""WITH {LINES}, f AS (SELECT doc_id, pos, (['shipper', 'fragile_che
   SELECT doc_id, '=== PDF FORM FIELD VALUES ===' || chr(10) || string_agg(field || ': ' || value, chr(10) ORDER BY pos) AS text FROM f
   WHERE value <> '' AND NOT (value IN ('/', 'Off', 'Yes', 'No') AND field = 'fragile_check') AND NOT (field = 'scac_label' AND value LIKE '%:') GROUP BY doc_id"""
 register("form_fields_text", DOCS, lambda d: chunking.form_fields_text(forms(d)), FORM_SQL)
+register("form_fields_text_whole", DOCS, lambda d: chunking.form_fields_text(forms(d, F.col("chunk"))), FORM_SQL.replace("chunk[1:40]", "chunk"))
 register(
     "document_text", DOCS, lambda d: chunking.document_text(lines(d).select("doc_id", F.col("pos").alias("page"), F.col("chunk").alias("text"))),
     f"WITH {LINES} SELECT doc_id, string_agg(chunk, chr(10) ORDER BY pos)[1:12000] AS text FROM l GROUP BY doc_id",

@@ -174,3 +174,15 @@ def test_follow_ups_reuse_what_was_said(spark):
     want = {"customercode": "AB12", "companycode": "C9", "currencycode": "USD", "orderstatus": "Confirmed", "pin": "92881", "location_side": "pickup"}
     assert {k: got[1, 3][f"{k}_in_force"] for k in want} == want
     assert all(got[k][f"{c}_in_force"] is None for k in ((1, 2), (2, 0)) for c in question_queries.STICKY)
+
+
+@pytest.mark.parametrize("name", ["text_reconcile_pdf_whole", "form_fields_text_whole"])
+def test_whole_texts_take_part(spark, name):
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["text"] for r in registry.QUERIES[name](spark, DATA).collect()}
+    lines = lambda t, k: [x.strip() for x in t.split("\n")][::k]
+    if name.startswith("text"):
+        long = [d for d, t in text.items() if len(" ".join(lines(t, 2)).split()) > 60]
+        assert long and all(" ".join(lines(text[d], 2)).split() == got[d].split("=== EMBEDDED")[0].split() for d in long)
+    else:
+        assert any(len(x) > 60 for t in got.values() for x in t.split("\n"))
