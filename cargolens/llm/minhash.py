@@ -351,7 +351,15 @@ def deduplicate(docs: DataFrame, per_cent: int = 80, k: int = SHINGLE) -> DataFr
     found = near_duplicates(docs, per_cent, k).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = free_name(docs.columns, "_gone")
     left = docs.join(found.withColumnRenamed("_gone", gone), F.col("doc_id") == F.col(f"`{gone}`"), "left_anti")
-    return left
+    ids = left.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    again = free_name(docs.columns, "_again")
+    repeated = cut(ids.filter("n > 1").select(F.col("doc_id").alias(again)))
+    if repeated.isEmpty():
+        return left
+    same, columns = F.col("doc_id") == F.col(f"`{again}`"), [F.col(f"`{c}`") for c in docs.columns]
+    row = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(again)
+    one = left.join(repeated, same, "left_semi").groupBy("doc_id").agg(row).select(*(F.col(f"`{again}`")[c].alias(c) for c in docs.columns))
+    return left.join(repeated, same, "left_anti").unionByName(one)
 
 
 OP9_SQL = r"""

@@ -333,3 +333,11 @@ def test_toxicity_uses_every_term(spark):
         for e in r["evidence"]:
             j = e["doc_id"]
             assert abs(e["cosine"] - sum(x * vec[j].get(w, 0) for w, x in vec[i].items()) / norm[i] / norm[j]) < 1e-9
+
+
+def test_one_row_of_a_kept_document_stays(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(1, words[0])] * 3 + [(2, words[0])] * 2 + [(3, words[1])] + [(None, words[2])] * 2
+    left = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert left.columns == ["doc_id", "text"]
+    assert sorted((tuple(r) for r in left.collect()), key=repr) == sorted([(1, words[0]), (3, words[1]), (None, words[2]), (None, words[2])], key=repr)
