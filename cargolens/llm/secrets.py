@@ -16,6 +16,7 @@ unless their class holds one (none does); a secret of several kinds has a span f
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -56,6 +57,8 @@ RULES = (
     Rule("bearer", r"bearer\x20+[A-Za-z0-9+/_.=-]+", 27, False, True),
 )
 BASE = ("assign", "access", "hex")
+#: What follows the header of a private key: its own headers, base64 lines (line breaks may be escaped) and the END line.
+KEY_BODY = re.compile(r"(?:[ \t]*\r?\n(?:Proc-Type|DEK-Info): [^\r\n]*)*(?:[A-Za-z0-9+/=]|[ \t]*(?:[\r\n]|\\[rn])[ \t]*)*(?:-----END [A-Z ]*PRIVATE KEY-----)?")
 
 
 class Scanner:
@@ -131,6 +134,8 @@ def find_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The documents with every secret replaced by ``[kind]``; overlapping spans are one.
 
+    A private key goes from its header to its END line, or as far as base64 lines go.
+
     Columns and their order stay. A character count column, if there is one, is brought up
     to date where the text changed. Null text stays null.
     """
@@ -146,7 +151,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
             for x in found:
                 if x["start"] >= at:
                     parts += [text[at : x["start"]], f"[{x['kind']}]"]
-                at = max(at, x["end"])
+                end = KEY_BODY.match(text, x["end"]).end() if x["kind"] == "private_key" else x["end"]
+                at = max(at, end)
             out.append("".join([*parts, text[at:]]) if found else text)
         return pa.array(out, type=pa.string())
 

@@ -341,3 +341,17 @@ def test_one_row_of_a_kept_document_stays(spark):
     left = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
     assert left.columns == ["doc_id", "text"]
     assert sorted((tuple(r) for r in left.collect()), key=repr) == sorted([(1, words[0]), (3, words[1]), (None, words[2]), (None, words[2])], key=repr)
+
+
+def test_whole_private_keys_are_redacted(spark):
+    body = "\n".join("MIIEvQIBADAN+/" + "Ab9" * 16 for _ in range(6)) + "\nq8Zz=="
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    rows = [
+        (1, f"before\n{head}\n{body}\n{end}\nafter it", "before\n[private_key]\nafter it"),
+        (2, f"x {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n{end} y", "x [private_key] y"),
+        (3, f'"{head}\\n' + body.replace("\n", "\\n") + f'\\n{end}\\n"', '"[private_key]\\n"'),
+        (4, f"{head}\n{body}", "[private_key]"),
+        (5, f"{head} of a key", "[private_key] of a key"),
+    ]
+    out = secrets.redact(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: t for i, _, t in rows}
