@@ -140,25 +140,16 @@ def outer_squares(docs: DataFrame, vocab: np.ndarray, n_docs: int) -> DataFrame:
     return sums.join(copies.hint("merge"), "key").select("key", (F.col("total") / F.col("copies")).alias("square"))
 
 
-class Starts:
-    """First entry of each cell of (term, block), found in the entries' sorted cells."""
-
-    def __init__(self, cells: np.ndarray):
-        self.cells = cells
-
-    def __getitem__(self, cell):
-        return np.searchsorted(self.cells, cell)
-
-
 class Greatest:
-    """Greatest weight of each non-empty cell, by term."""
+    """Greatest weight of each non-empty cell of (term, block), and where the cell's entries begin."""
 
     def __init__(self, cells: np.ndarray, weights: np.ndarray, shape: tuple[int, int]):
         self.shape = shape
-        self.cells, first = np.unique(cells, return_index=True)
-        self.lo, self.hi = first, np.append(first[1:], len(cells))
+        own, first = np.unique(cells, return_index=True)
+        self.block = (own % shape[1]).astype(np.int32)
+        self.lo = np.append(first, len(cells)).astype(np.int32)
         self.weight = np.maximum.reduceat(weights, first) if len(first) else np.zeros(0)
-        self.start = np.searchsorted(self.cells, np.arange(shape[0] + 1) * shape[1])
+        self.start = np.searchsorted(own, np.arange(shape[0] + 1) * shape[1]).astype(np.int32)
 
     def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells of these terms, and how many each has."""
@@ -166,6 +157,20 @@ class Greatest:
         return spans(lo, n), n
 
 
+class Starts:
+    """First entry of each cell, empty ones too."""
+
+    def __init__(self, most: Greatest):
+        self.most = most
+
+    def __getitem__(self, cell: int) -> int:
+        term, block = divmod(int(cell), self.most.shape[1])
+        at = int(self.most.start[term])
+        if block:
+            at += int(np.searchsorted(self.most.block[at : self.most.start[term + 1]], block))
+        return int(self.most.lo[at])
+
+
 def spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     """``n`` neighbouring places from each ``lo`` on."""
     return np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
@@ -193,9 +198,9 @@ class BlockMaxIndex:
         order = np.lexsort((ex, term))
         self.example, self.weight = ex[order].astype(np.int32), w[order]
         n_blocks = max(1, -(-len(ids) // INDEX_BLOCK))
-        cell = term[order] * n_blocks + self.example // INDEX_BLOCK
-        self.start = Starts(cell)
+        cell = term[order].astype(np.int64) * n_blocks + self.example // INDEX_BLOCK
         self.most = Greatest(cell, self.weight, (len(vocab), n_blocks))
+        self.start = Starts(self.most)
 
     def weigh(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (1 + np.log(n)) * self.idf[term]
@@ -222,7 +227,7 @@ class BlockMaxIndex:
         """Places and cosines of the k nearest examples, best first; those at cosine 0 are none."""
         most, n_blocks = self.most, self.most.shape[1]
         cells, n = most.of(terms)
-        block, own = most.cells[cells] % n_blocks, np.repeat(w, n)
+        block, own = most.block[cells], np.repeat(w, n)
         bound = np.bincount(block, own * most.weight[cells], minlength=n_blocks)
         blocks = np.argsort(-bound, kind="stable")
         blocks = blocks[bound[blocks] > 0]
@@ -239,7 +244,8 @@ class BlockMaxIndex:
             now = np.zeros(n_blocks, dtype=bool)
             now[here] = True
             now = now[block]
-            lo, size = most.lo[cells[now]], (most.hi - most.lo)[cells[now]]
+            lo = most.lo[cells[now]]
+            size = most.lo[cells[now] + 1] - lo
             pos = spans(lo, size)
             score = np.bincount(self.example[pos], self.weight[pos] * np.repeat(own[now], size), minlength=len(self.ids))
             found = np.flatnonzero(score)
@@ -325,17 +331,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int
     rows = examples.select("doc_id", "label", "weight").collect()  # bounded by the sample
     if not rows:
         return Model(None)
-    found = _vectors(examples).toPandas()  # the distinct terms of the examples
-    vocab = np.unique(found["term"].to_numpy().astype(np.int64).view(np.uint64))
+    found = _vectors(examples).toArrow()  # the distinct terms of the examples
+    hashes = found.column("term").to_numpy().view(np.uint64)
+    vocab = np.unique(hashes)
     if not len(vocab) or len({r["label"] for r in rows}) < 2:
         w = sum(r["weight"] for r in rows)
         return Model(None, none=sum(r["label"] * r["weight"] for r in rows) / w)
     n_docs, df = docs.count(), document_frequency(keyed, vocab)
-    at = {r["doc_id"]: i for i, r in enumerate(rows)}
-    ex = np.array([at[i] for i in found["doc_id"]], dtype=np.int64)
-    term = np.searchsorted(vocab, found["term"].to_numpy().astype(np.int64).view(np.uint64))
-    entries = (ex, term, found["n"].to_numpy().astype(np.int64))
     ids = np.array([r["doc_id"] for r in rows])
+    by_id = np.argsort(ids)
+    ex = by_id[np.searchsorted(ids[by_id], found.column("doc_id").to_numpy())].astype(np.int32)
+    entries = (ex, np.searchsorted(vocab, hashes).astype(np.int32), found.column("n").to_numpy().astype(np.int32))
+    del found, hashes
     index = BlockMaxIndex(
         vocab, df, n_docs, ids, np.array([r["label"] for r in rows]), np.array([r["weight"] for r in rows], dtype=float), entries
     )
