@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..functions import questions as q
+
 MAX_TURNS = 20
-FOLLOW_UP = r"(?iu)\b(that|this|same|it|its|uska|uski|uske|wo|woh|previous|again)\b"
+#: What a follow-up takes from the turns before it.
+STICKY = (
+    "customername", "customercode", "orderstatus", "currencycode", "companycode", "pickup_location", "delivery_location", "pin",
+    "state", "city", "address", "location", "location_side", "salesmanname", "commodityname",
+)
+CARRIED = (*STICKY, "order_token")
 
 
 def session_tail(turns: DataFrame, n: int = MAX_TURNS) -> DataFrame:
@@ -42,6 +49,21 @@ def session_append(sessions: DataFrame, new_turns: DataFrame, now: Column, n: in
     )
 
 
+def with_entities(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, text) with what each turn names: filters, ``location_side``, ``order_token``, ``follow_up``, ``about_last_order``."""
+    d = F.col("_d")
+    named = q.filter_columns(d)
+    located = F.coalesce(*(named[n] for n in ("pin", "state", "city", "address", "location")), q.country(d)).isNotNull()
+    named |= {"location_side": F.when(located, q.side(d)), "order_token": q.order_token(d), "follow_up": q.follow_up(d), "about_last_order": q.about_last_order(d)}
+    return turns.withColumn("_d", q.read(F.col("text"))).withColumns(named).drop("_d")
+
+
+def carry(turns: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, text) with ``<name>_in_force`` for all that is carried on."""
+    d = sticky(with_entities(turns), list(STICKY), F.col("follow_up"))
+    return sticky(d, ["order_token"], F.col("about_last_order"))
+
+
 def sticky(annotated: DataFrame, columns: list[str], follow_up: Column) -> DataFrame:
     """Each column's value in force: the turn's own, or the session's last one on a follow-up."""
     past = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)

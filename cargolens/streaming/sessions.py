@@ -8,42 +8,44 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import questions as q
-from ..operators.sessions import FOLLOW_UP, MAX_TURNS
+from ..operators.sessions import CARRIED, MAX_TURNS, with_entities
 
-OUT = "conv_id long, turn long, n_turns int, order_token_in_force string, orderstatus_in_force string"
-STATE = "turns array<bigint>, token string, status string"
+OUT = ["conv_id", "turn", "n_turns", *(f"{c}_in_force" for c in CARRIED)]
 
 
-def annotate(turns: DataFrame) -> DataFrame:
-    t = F.col("text")
-    return turns.select(
-        "conv_id", "turn", q.order_token(t).alias("token"), q.status(t).alias("status"), F.coalesce(t.rlike(FOLLOW_UP), F.lit(False)).alias("follow_up")
-    )
-
+def session_stream(turns: DataFrame, timeout: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Per new turn of (conv_id, turn, text, ts): turns held (the last 20 at most) and all values in force.
 
-def session_stream(turns: DataFrame, timeout: str = "1 hour") -> DataFrame:
-    """Per new turn of (conv_id, turn, text): turns held (the last 20 at most) and values in force.
-
-    Turns of a session come in order. A session without turns for the timeout is forgotten.
+    ``ts`` is the time of the turn; turns of a session come in order. Turns that are later
+    than the watermark, the greatest time seen less ``delay``, are dropped. A session is
+    forgotten when the watermark is ``timeout`` past its last turn: state and output depend
+    on the turns only, never on the clock, and a finite stream ends.
     """
-    hours = pd.Timedelta(timeout)
+    idle = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held, token, status = state.get if state.exists else ([], None, None)
-        held = list(held)
-        rows = pd.concat(list(frames)).sort_values("turn")
+        held, values, latest = state.get if state.exists else ([], [None] * len(CARRIED), 0)
+        held, values = list(held), list(values)
         out = []
-        for r in rows.itertuples():
+        for r in pd.concat(list(frames)).sort_values("turn").itertuples():
             held = [*held, r.turn][-MAX_TURNS:]
-            own_token, own_status = (None if pd.isna(x) else x for x in (r.token, r.status))
-            out.append((key[0], r.turn, len(held), own_token or (token if r.follow_up else None), own_status or (status if r.follow_up else None)))
-            token, status = own_token or token, own_status or status
-        state.update((held, token, status))
-        state.setTimeoutDuration(int(hours.total_seconds() * 1000))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-
-    return annotate(turns).groupBy("conv_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+            in_force = []
+            for i, (name, own) in enumerate(zip(CARRIED, r.named, strict=True)):
+                leans = r.about_last_order if name == "order_token" else r.follow_up
+                in_force.append(own if own is not None else values[i] if leans else None)
+                values[i] = own if own is not None else values[i]
+            out.append((key[0], r.turn, len(held), *in_force))
+            latest = max(latest, r.ms)
+        state.update((held, values, latest))
+        state.setTimeoutTimestamp(max(latest + idle, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=OUT)
+
+    d = with_entities(turns.withWatermark("ts", delay)).select(
+        "conv_id", "turn", "ts", F.unix_millis("ts").alias("ms"), F.array(*CARRIED).alias("named"), "follow_up", "about_last_order"
+    )
+    out = "conv_id long, turn long, n_turns int, " + ", ".join(f"{c} string" for c in OUT[3:])
+    held = "turns array<bigint>, named array<string>, latest bigint"
+    return d.groupBy("conv_id").applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,21 +1,50 @@
-from pyspark.sql import functions as F
+import datetime as dt
 
-from cargolens.functions import questions as q
-from cargolens.operators.sessions import FOLLOW_UP, sticky
+from cargolens.operators.sessions import CARRIED, carry
 from cargolens.streaming.sessions import session_stream
 
+SCHEMA = "conv_id long, turn long, text string, ts timestamp"
+START = dt.datetime(2026, 3, 1)
+
+
+def run(spark, tmp_path, batches, **options):
+    """Feeds the batches one after another; the values of all rows put out, by conversation and turn."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, rows in enumerate(batches):
+        rows = [(c, t, text, START + dt.timedelta(minutes=m)) for c, t, text, m in rows]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{source}/{i}")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        turns = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+        writer = session_stream(turns, **options).writeStream.format("parquet").option("path", out)
+        query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert query.awaitTermination(55)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    return {(r["conv_id"], r["turn"]): r for r in spark.read.parquet(out).collect()}
+
 
 def test_stream_equals_batch(spark, tmp_path):
-    talk = ["give me order MRP3301", "and its freight?", "list confirmed orders", "the same again", "how are you"]
-    rows = [(c, t, talk[(c + t) % 5]) for c in range(6) for t in range(8)]
-    schema = "conv_id long, turn long, text string"
-    source = str(tmp_path / "in")
-    for part in (lambda t: t < 4, lambda t: t >= 4):
-        spark.createDataFrame([r for r in rows if part(r[1])], schema).coalesce(1).write.mode("append").parquet(source)
-        stream = session_stream(spark.readStream.schema(schema).parquet(source))
-        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = {(r["conv_id"], r["turn"]): (r["n_turns"], r["order_token_in_force"], r["orderstatus_in_force"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    t = F.col("text")
-    d = spark.createDataFrame(rows, schema).withColumn("order_token", q.order_token(t)).withColumn("orderstatus", q.status(t))
-    want = {(r["conv_id"], r["turn"]): (r["turn"] + 1, r["order_token_in_force"], r["orderstatus_in_force"]) for r in sticky(d, ["order_token", "orderstatus"], t.rlike(FOLLOW_UP)).collect()}
-    assert got == want
+    talk = ["give me order MRP3301", "and what of tax", "list confirmed orders in Texas for customer code AB1", "the same again", "how are you"]
+    rows = [(c, t, talk[(c + t) % 5], t) for c in range(5) for t in range(8)]
+    got = run(spark, tmp_path, [[r for r in rows if r[1] < 4], [r for r in rows if r[1] >= 4]])
+    batch = carry(spark.createDataFrame([r[:3] for r in rows], "conv_id long, turn long, text string"))
+    want = {(r["conv_id"], r["turn"]): r for r in batch.collect()}
+    assert got.keys() == want.keys()
+    for key, r in got.items():
+        assert r["n_turns"] == key[1] + 1
+        assert [r[f"{c}_in_force"] for c in CARRIED] == [want[key][f"{c}_in_force"] for c in CARRIED]
+    assert any(r["state_in_force"] == "TX" for r in got.values())
+
+
+def test_late_turns_are_dropped_and_idle_sessions_forgotten(spark, tmp_path):
+    first = [(1, 0, "give me order MRP1", 0), (2, 0, "give me order MRP2", 0)]
+    second = [(1, 1, "what of its freight", 5), (3, 0, "hello", 600)]
+    third = [(3, 1, "hello", 601)]
+    fourth = [(2, 1, "what of its freight", 660), (4, 0, "too late", 30), (3, 2, "hello", 661)]
+    got = run(spark, tmp_path, [first, second, third, fourth], timeout="2 hours", delay="1 hour")
+    assert got.keys() == {(1, 0), (2, 0), (1, 1), (3, 0), (3, 1), (2, 1), (3, 2)}
+    assert got[1, 1]["order_token_in_force"] == "MRP1"
+    assert got[2, 1]["order_token_in_force"] is None and got[2, 1]["n_turns"] == 1
+    assert got[3, 2]["n_turns"] == 3
