@@ -2,26 +2,29 @@
 
 A document's set holds its distinct word shingles. Each random permutation of the shingle
 hashes gives two signature values, the smallest and the largest, so that a signature of
-128 values costs 64 hash evaluations per shingle. Both agree for two sets with about the
+240 values costs 120 hash evaluations per shingle. Both agree for two sets with about the
 probability of their Jaccard similarity, and the pair of them estimates it with a lower
-variance than two minima of separate permutations. Four values (two permutations) make a
-band; 32 bands miss a pair at similarity 0.8 with probability (1 - 0.8^4)^32 < 5e-8.
+variance than two minima of separate permutations. Six values (three permutations) make a
+band; 40 bands miss a pair at similarity 0.85 with probability (1 - 0.85^6)^40 < 1e-8 and
+one at 0.8 with (1 - 0.8^6)^40 < 1e-5.
 
 How it scales:
 
 * Documents with equal sets are one class; only its smallest id goes on. Groups of exact
   copies of any size are combined before the shuffle.
 * Band buckets are counted and joined back; no pairs are made inside a bucket. A bucket
-  ties its members to its smallest member, and the components of these ties (*families*)
-  contain every pair that shares a bucket.
-* A family is cut into blocks of bounded size. Each block also gets the family's hubs, its
-  members with the largest buckets. Inside a block a member is compared only with members
-  it is not yet connected to, so that a family of near copies costs about one comparison a
-  member. Blocks are joined through their hubs.
-* What then lies outside a family's main component is compared with every block of that
-  family, again in bounded blocks, so that no link between blocks is lost. Sets that hold
-  too many shingles of their own to be linked with anything are left out of that.
-* Sets are computed once, for members of families only, and travel once per block.
+  ties its members to its *pivot*, the smallest of them. Near copies share most buckets, so
+  that a document has few pivots, whatever the number of its buckets.
+* The documents tied to a pivot are cut into blocks of bounded size, each with the pivot.
+  Inside a block a member is compared only with members it is not yet connected to, so that
+  a group of near copies costs about one comparison a member.
+* A pivot with one block has all its pairs compared. With more blocks, the documents outside
+  the pivot's most frequent component are *open*. An open document of which too many
+  shingles stand in no other document of the pivot cannot be linked there; this takes only
+  the shingles that the pivot itself does not hold. The few others are compared with all
+  documents of the pivot that have another component, again in bounded blocks. So each pair
+  that shares a bucket is compared, connected already or known not to be linked.
+* Sets are computed once, for members of buckets only, and travel once per block.
 
 Defined results: null or empty text and text without words has an empty set, is linked with
 nothing and kept; a text with fewer words than a shingle has its whole word sequence as the
@@ -37,19 +40,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from .components import connected_components
 from .exprs import free_name
-from .lineage import cut, spread, stored
+from .lineage import cut, stored
 from .wordhash import BASE, Words, batches, mix, runs
 
 SHINGLE = 5
-BANDS = 32
-#: Members of a family that are compared in one task at a time, and hubs added to each such block.
-BLOCK, HUBS = 64, 16
-#: Parts of a family in which hubs are looked for first.
-PARTS = 64
+#: Bands of a signature, and permutations (two values each) of a band.
+BANDS, PERMUTATIONS = 40, 3
+#: Documents that are compared in one task at a time, and blocks of a pivot for each slot of its shingles.
+BLOCK, SLOT_BLOCKS = 64, 16
 
 
 def shingle_sets(texts: pa.Array, k: int, words: Words) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -77,13 +78,15 @@ def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     x = (flat >> np.uint64(32)).astype(np.uint32)
-    draw = mix(np.arange(1, 4 * bands + 1, dtype=np.uint64))
-    factor, shift = (draw[: 2 * bands] | np.uint64(1)).astype(np.uint32), draw[2 * bands :].astype(np.uint32)
-    keys = np.empty((len(sets), bands), dtype=np.uint64)
+    n = bands * PERMUTATIONS
+    draw = mix(np.arange(1, 2 * n + 1, dtype=np.uint64))
+    factor, shift = (draw[:n] | np.uint64(1)).astype(np.uint32), draw[n:].astype(np.uint32)
+    keys, y = np.empty((len(sets), bands), dtype=np.uint64), np.empty_like(x)
     for band in range(bands):
         key = np.full(len(sets), band, dtype=np.uint64)
-        for p in (2 * band, 2 * band + 1):
-            y = x * factor[p] + shift[p]
+        for p in range(band * PERMUTATIONS, (band + 1) * PERMUTATIONS):
+            np.multiply(x, factor[p], out=y)
+            y += shift[p]
             for value in (np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)):
                 key = mix(key * np.uint64(BASE) + value)
         keys[:, band] = key
@@ -120,22 +123,22 @@ def signatures(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS) -> DataFra
     return d.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
-def link(sets: list[np.ndarray], seeds: list[int], labels: list, per_cent: int) -> list[tuple[int, int]]:
-    """Links (seed, other) that connect everything connectable through a seed.
+def link(sets: list[np.ndarray], seeds: list[int], labels: list, per_cent: int) -> list[tuple]:
+    """Labels (label, smallest label) of each component that links between a seed and another set make.
 
     Members that are connected already, by equal labels or by links found here, are not
     compared again.
     """
-    n = len(sets)
     sizes = np.array([len(s) for s in sets])
     _, place = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    names: dict = {}
-    root = np.array([names.setdefault(x, i) for i, x in enumerate(labels)])
-    mark = np.zeros(int(place.max()) + 1, dtype=np.int64)
-    out = []
+    names, root = np.unique(np.array(labels), return_inverse=True)
+    of_name = np.arange(len(names))
+    mark = np.zeros(int(place.max()) + 1, dtype=np.int32)
     for s in seeds:
-        other = root != root[s]
+        # sets whose sizes differ too much cannot be linked
+        small, large = np.minimum(sizes, sizes[s]), np.maximum(sizes, sizes[s])
+        other = (root != root[s]) & (100 * small >= per_cent * large)
         if not other.any():
             continue
         own = place[starts[s] : starts[s] + sizes[s]]
@@ -143,10 +146,10 @@ def link(sets: list[np.ndarray], seeds: list[int], labels: list, per_cent: int)
         shared = np.add.reduceat(mark[place], starts)
         mark[own] = 0
         for o in np.flatnonzero(other & (100 * shared >= per_cent * (sizes + sizes[s] - shared))):
-            if root[o] != root[s]:
-                out.append((s, int(o)))
-                root[root == root[o]] = root[s]
-    return out
+            x, y = root[s], root[o]
+            if x != y:  # the smaller name stands for both
+                root[root == max(x, y)] = of_name[of_name == max(x, y)] = min(x, y)
+    return [(names[i], names[j]) for i, j in enumerate(of_name.tolist()) if i != j]
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -164,160 +167,147 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return nodes.select("node").join(d, "node").mapInArrow(to_sets, "node long, shingles binary")
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of neighbours that are equal in the first column."""
+    held: list[tuple] = []
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][0] != r[0]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _together(rows: DataFrame, gid: str) -> DataFrame:
+    """Dealt so that groups of bounded size stand together in one partition."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, gid).sortWithinPartitions(gid)
+
+
 def _verified(sets: DataFrame, members: DataFrame, per_cent: int) -> DataFrame:
-    """Links (a, b) inside each group of ``members`` (node, gid, label, seed), on full sets."""
+    """Links (a, b) between labels inside each group of ``members`` (node, gid, label, seed), on full sets."""
     pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def one_group(rows: list[tuple]) -> list[tuple[int, int]]:
-        full = [np.frombuffer(r[4], dtype=np.uint64) for r in rows]
-        keep = [i for i, s in enumerate(full) if len(s)]
-        rows, full = [rows[i] for i in keep], [full[i] for i in keep]
-        if len(rows) < 2:
-            return []
-        found = link(full, [i for i, r in enumerate(rows) if r[3]], [r[2] for r in rows], per_cent)
-        return [(rows[i][1], rows[j][1]) for i, j in found]
-
     def by_group(batches_in):
-        held: list[tuple] = []
-        for b in batches_in:
-            out = []
-            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][0] != r[0]:
-                    out += one_group(held)
-                    held = []
-                held.append(r)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*out, strict=True)], schema=pairs)
-        if held and (out := one_group(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*out, strict=True)], schema=pairs)
-
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = members.join(sets, "node").select("gid", "node", "label", "seed", "shingles")
-    return rows.repartition(n, "gid").sortWithinPartitions("gid", "node").mapInArrow(by_group, "a long, b long")
-
-
-def _linkable(sets: DataFrame, nodes: DataFrame, everyone: DataFrame, per_cent: int) -> DataFrame:
-    """The nodes that share enough shingles with any other of ``everyone`` to be linked at all.
-
-    ``everyone`` has (node, family, block). A set cannot reach the similarity with any other
-    if too many of its shingles are its own. Shingles are counted inside each batch before they are shuffled; a shingle that
-    stands once carries its node. Nodes with several rows are always kept.
-    """
-    counted = pa.schema([("shingle", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+        for rows in groups(batches_in):
+            if len(rows) > 1:
+                full = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+                out = link(full, [i for i, r in enumerate(rows) if r[2]], [r[1] for r in rows], per_cent)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*out, strict=True)], schema=pairs)
+
+    rows = members.join(sets, "node").select("gid", "label", "seed", "shingles")
+    return _together(rows, "gid").mapInArrow(by_group, "a long, b long")
 
-    def count(batches_in):
-        for b in batches_in:
-            parts = [np.frombuffer(x.as_py(), dtype=np.int64) for x in b.column(1)]
-            if parts:
-                node = np.repeat(b.column(0).to_numpy(), [len(p) for p in parts])
-                own, first, n = np.unique(np.concatenate(parts), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n), pa.array(node[first])], schema=counted)
-
-    # members of one block share most shingles, so that these are counted together
-    n_parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gid = F.xxhash64("family", "block").alias("gid")
-    rows = everyone.select("node", gid).join(sets, "node").select("node", "shingles", "gid").repartition(n_parts, "gid")
-    own = (
-        rows.mapInArrow(count, "shingle long, n long, node long")
-        .groupBy("shingle")
-        .agg(F.sum("n").alias("n"), F.min("node").alias("node"))
-        .filter("n = 1")
-        .groupBy("node")
-        .agg(F.count(F.lit(1)).alias("own"))
-    )
-    size = (
-        nodes.select("node")
-        .join(sets, "node")
-        .groupBy("node")
-        .agg((F.max(F.length("shingles")) / 8).cast("long").alias("size"), F.count(F.lit(1)).alias("rows"))
-    )
-    shared = F.col("size") - F.coalesce("own", F.lit(0))
-    return size.join(own, "node", "left").filter((F.col("rows") > 1) | (shared * 100 >= F.col("size") * per_cent)).select("node")
 
+def _lone_shingles(sets: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(pivot, node, size, own): of the node's shingles, how many no other node of the pivot holds, nor the pivot.
 
-def families(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): classes (digest, rep); members (node, family, degree) of all that share a bucket."""
+    ``grouped``: (pivot, node, gid, blocks), a pivot among the nodes of each of its groups.
+    Shingles that a pivot does not hold travel packed, one row per group and slot; a slot
+    takes those of one part of all hashes.
+    """
+    kept = pa.schema([("slot", pa.int64()), ("pivot", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("shingles", pa.binary())])
+    counts = pa.schema([("pivot", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("own", pa.int64())])
+
+    def new_ones(batches_in):
+        for rows in groups(batches_in):
+            pivot, slots = rows[0][1], -(-rows[0][3] // SLOT_BLOCKS)
+            heads = [np.frombuffer(r[4], dtype=np.int64) for r in rows if r[2] == pivot]
+            known = np.unique(np.concatenate(heads)) if heads else np.zeros(0, dtype=np.int64)
+            own = [np.frombuffer(r[4], dtype=np.int64) for r in rows]
+            new = [x[~np.isin(x, known)] for x in own]
+            n = [len(x) for x in new]
+            flat, node, size = np.concatenate(new), np.repeat([r[2] for r in rows], n), np.repeat([len(x) for x in own], n)
+            slot = flat.view(np.uint64) % np.uint64(slots)
+            for k in np.unique(slot):
+                here = slot == k
+                packed = [pa.array([x[here].astype(np.int64).tobytes()], type=pa.binary()) for x in (node, size, flat)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([pivot]), *packed], schema=kept)
+
+    def lone(batches_in):
+        for rows in groups(batches_in):
+            node, size, shingle = (np.concatenate([np.frombuffer(r[i], dtype=np.int64) for r in rows]) for i in (2, 3, 4))
+            _, first, n = np.unique(shingle, return_index=True, return_counts=True)
+            alone = first[n == 1]
+            who, at, own = np.unique(node[alone], return_index=True, return_counts=True)
+            if len(who):
+                columns = (np.full(len(who), rows[0][1]), who, size[alone][at], own)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=counts)
+
+    rows = _together(grouped.join(sets, "node").select("gid", "pivot", "node", "blocks", "shingles"), "gid")
+    packed = rows.mapInArrow(new_ones, "slot long, pivot long, nodes binary, sizes binary, shingles binary")
+    packed = packed.withColumn("gid", F.xxhash64("pivot", "slot")).select("gid", "pivot", "nodes", "sizes", "shingles")
+    return _together(packed, "gid").mapInArrow(lone, "pivot long, node long, size long, own long")
+
+
+def bucket_ties(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digest, rep) of the classes; distinct (node, pivot): each member of a bucket and the bucket's smallest one."""
     classes = cut(
         sig.filter("digest is not null and doc_id is not null")
         .groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     )
-    bands = classes.select("rep", F.explode("keys").alias("key"))
-    buckets = spread(
-        bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1")
-    )
-    ties = cut(bands.join(buckets, "key").groupBy("rep", "first").agg(F.sum("size").alias("weight")))
-    family = connected_components(ties.select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    degree = ties.groupBy(F.col("rep").alias("node")).agg(F.sum("weight").alias("degree"))
-    members = spread(
-        degree.join(family, "node").select("node", F.col("component").alias("family"), "degree")
-    )
-    return classes.select("digest", "rep"), members
+    bands = classes.select(F.col("rep").alias("node"), F.explode("keys").alias("key"))
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+    return classes.select("digest", "rep"), cut(bands.join(buckets, "key").filter("node <> pivot").select("node", "pivot").distinct())
 
 
-def links(docs: DataFrame, members: DataFrame, per_cent: int, k: int = SHINGLE) -> DataFrame:
-    """Component (node, component) of every linked node, exact within each family."""
-    sizes = spread(
-        members.groupBy("family")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("blocks", F.when(F.col("n") <= BLOCK + HUBS, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int"))
-    )
-    placed = cut(
-        members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    )
-    sets = stored(sets_of(docs, placed, k))
-    large = placed.filter("blocks > 1")
-    split = not large.isEmpty()
-    everyone = placed.select("node", "family", "block")
-    if split:
-        # the best of each part of a family first, so that no task ranks a whole family
-        best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("degree"), "node"))
-        part = large.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PARTS)))
-        part = part.withColumn("rank", best("family", "part")).filter(F.col("rank") <= HUBS).drop("rank")
-        hubs = part.withColumn("rank", best("family")).filter(F.col("rank") <= HUBS)
-        everyone = everyone.unionByName(
-            hubs.select("node", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            .filter("other <> block")
-            .select("node", "family", F.col("other").alias("block"))
-        )
-    grouped = everyone.select(
-        "node", F.xxhash64("family", "block").alias("gid"), F.col("node").alias("label"), F.lit(True).alias("seed")
-    )
-    found = cut(_verified(sets, grouped, per_cent))
-    comps = connected_components(found)
-    if not split:
-        return comps
-    # what is not in its family's main component, and can be linked at all, meets all other blocks of the family
-    labelled = spread(
-        large.join(comps, "node", "left").select("node", "family", "block", F.coalesce("component", "node").alias("label"))
-    )
-    count = labelled.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = spread(count.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main")))
-    outside = spread(labelled.join(main, "family").filter("label <> main").select("node", "family", "label"))
-    if outside.isEmpty():
-        return comps
-    apart = spread(outside.join(_linkable(sets, outside, large, per_cent), "node", "left_semi"))
+def _in_blocks(tied: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(pivot, node, gid, blocks): the nodes of each pivot (pivot, blocks), dealt to its blocks, and the pivot in each of them."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    rows = tied.join(pivots, "pivot").filter("node <> pivot").select("pivot", "node", F.xxhash64("pivot", block).alias("gid"), "blocks")
+    heads = pivots.select("pivot", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return rows.unionByName(heads.select("pivot", F.col("pivot").alias("node"), F.xxhash64("pivot", "block").alias("gid"), "blocks"))
+
+
+def _open_nodes(sets: DataFrame, placed: DataFrame, per_cent: int) -> DataFrame:
+    """(pivot, node, label) outside their pivot's main component that may be linked with another node of the pivot.
+
+    ``placed``: (pivot, node, label, main, blocks). A set cannot reach the similarity with
+    any other if too many of its shingles stand in no other. Nodes with several texts stay.
+    """
+    grouped = _in_blocks(placed.select("pivot", "node"), placed.select("pivot", "blocks").distinct())
+    lost = _lone_shingles(sets, grouped).groupBy("pivot", "node").agg(F.sum("own").alias("own"), F.min("size").alias("size"))
+    lost = lost.filter((F.col("size") - F.col("own")) * 100 < F.col("size") * per_cent)
+    several = sets.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lost = lost.join(several, "node", "left_anti").select("pivot", "node")
+    return placed.filter("label <> main").join(lost, ["pivot", "node"], "left_anti").select("pivot", "node", "label")
+
+
+def links(docs: DataFrame, ties: DataFrame, per_cent: int, k: int = SHINGLE) -> DataFrame:
+    """Component (node, component) of every linked node, exact for all pairs that share a bucket."""
+    size = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
+    pivots = cut(ties.groupBy("pivot").agg(size.alias("blocks")))
+    heads = pivots.select(F.col("pivot").alias("node"))
+    sets = stored(sets_of(docs, ties.select("node").unionByName(heads).distinct(), k).filter(F.length("shingles") > 0))
+    grouped = _in_blocks(ties, pivots).select("node", "gid", F.col("node").alias("label"), F.lit(True).alias("seed"))
+    comps = connected_components(_verified(sets, grouped, per_cent))
+
+    large = pivots.filter("blocks > 1")
+    near = ties.join(large, "pivot").select("pivot", "node", "blocks").unionByName(large.select("pivot", F.col("pivot").alias("node"), "blocks"))
+    labelled = cut(near.join(comps, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"))
+    per_label = labelled.groupBy("pivot", "label").agg(F.count(F.lit(1)).alias("c"))
+    per_pivot = per_label.groupBy("pivot").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"))
+    placed = cut(labelled.join(per_pivot.filter("labels > 1").select("pivot", "main"), "pivot"))
+    apart = cut(_open_nodes(sets, placed, per_cent))
     if apart.isEmpty():
         return comps
-    parts = (
-        apart.groupBy("family")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    )
-    blocks = spread(sizes.join(parts, "family").select("family", "blocks", "parts"))
-    here = (
-        labelled.join(blocks, "family")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("node", F.xxhash64("family", "block", "part").alias("gid"), "label", F.lit(False).alias("seed"))
-    )
-    there = (
-        apart.join(blocks, "family")
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("node", F.xxhash64("family", "block", "part").alias("gid"), "label", F.lit(True).alias("seed"))
-    )
-    more = cut(_verified(sets, there.unionByName(here), per_cent))
-    return connected_components(found.unionByName(more))
+    parts = apart.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    among = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n).cast("long")).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    gid = F.xxhash64("pivot", "block", "part").alias("gid")
+    here = placed.join(parts, "pivot").withColumn("block", among("blocks", 2)).withColumn("part", each("parts"))
+    counts = placed.select("pivot", "blocks").distinct().join(parts, "pivot")
+    there = apart.join(counts, "pivot").withColumn("part", among("parts", 3)).withColumn("block", each("blocks"))
+    rows = here.select("node", gid, "label", F.lit(False).alias("seed")).unionByName(there.select("node", gid, "label", F.lit(True).alias("seed")))
+    joined = connected_components(_verified(sets, rows, per_cent))
+    last = joined.select(F.col("node").alias("component"), F.col("component").alias("last"))
+    linked = comps.join(last, "component", "left").select("node", F.coalesce("last", "component").alias("component"))
+    # a label may be a node that was not linked before
+    return cut(linked.unionByName(joined.join(comps, "node", "left_anti")))
 
 
 def near_duplicates(docs: DataFrame, per_cent: int = 80, k: int = SHINGLE, bands: int = BANDS) -> DataFrame:
@@ -326,9 +316,9 @@ def near_duplicates(docs: DataFrame, per_cent: int = 80, k: int = SHINGLE, bands
     Two documents are linked if 100 * intersection >= per_cent * union of their sets.
     """
     sig = cut(signatures(docs, k, bands))
-    classes, members = families(sig)
-    comps = links(docs, members, per_cent, k)
-    of_class = spread(
+    classes, ties = bucket_ties(sig)
+    comps = links(docs, ties, per_cent, k)
+    of_class = cut(
         classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
             "digest", F.coalesce("component", "rep").alias("component")
         )
