@@ -10,7 +10,12 @@ what is left over is packed by first fit, and the patterns are opened into seque
 arithmetic: the rest of rank r in its class belongs to the r-th place for that class.
 
 Ranks are global but never sorted globally: documents are ranked inside many buckets of a
-class, and a small table of bucket counts gives each bucket its first rank.
+class, and a small table of bucket counts gives each bucket its first rank. Full pieces need
+no rank: each is a sequence of its own, numbered by its place in the stored pieces.
+
+The program ends when no pattern is worth more than ``NEAR`` sequences. Its prices divided
+by the best pattern's worth give a lower bound of any packing of the rounded rests, so that
+the solution states how far from the optimum it can be at most.
 
 Defined results: null text is empty and consists of the end id; a document keeps its pieces
 in order, each id in exactly one piece; full pieces are sequences of their own; rows that
@@ -23,18 +28,20 @@ from __future__ import annotations
 
 import struct
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .lineage import cut, spread
+from .lineage import cut
 
 CAPACITY = 2048
 STEP = 16
 END_ID = 1
-#: Buckets that ranks are counted in, per class.
+#: Buckets that ranks are counted in, per class, at least; half as many as there are partitions if that is more.
 BUCKETS = 64
 #: Distinct pieces of text whose ids a task keeps.
 CACHE = 400_000
@@ -192,26 +199,41 @@ def price_pattern(value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
 NEAR = 1.003
 
 
-def solve(demand: np.ndarray, capacity: int, rounds: int = 6000) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often to use them, covering the demand exactly.
+class Solution(NamedTuple):
+    #: Patterns (class -> copies) and how often each is used.
+    patterns: list[tuple[np.ndarray, int]]
+    #: No packing of the demand takes fewer sequences.
+    bound: float
+
+    @property
+    def gap(self) -> float:
+        """By which part of the bound the solution can be too large at most."""
+        return sum(n for _, n in self.patterns) / self.bound - 1 if self.bound else 0.0
+
+
+def solve(demand: np.ndarray, capacity: int, rounds: int = 6000) -> Solution:
+    """Patterns and how often to use them, covering the demand exactly, with a bound of the optimum.
 
     ``demand[c]`` rests take c + 1 of ``capacity`` units. Revised simplex on the covering
     program; the first basis has one pattern per class, as many copies as fit.
     """
     classes = np.flatnonzero(demand)
     if not len(classes):
-        return []
+        return Solution([], 0.0)
     want = demand[classes].astype(float)
     n = len(classes)
     basis = np.diag([float(capacity // (c + 1)) for c in classes])
     inverse = np.diag(1 / np.diag(basis))
     level = inverse @ want
     value = np.zeros(capacity)
+    bound = float((demand * np.arange(1, len(demand) + 1)).sum()) / capacity
     for _ in range(rounds):
         price = inverse.sum(axis=0)  # each pattern costs one sequence
         value[:] = 0
         value[classes] = price
         worth, pattern = price_pattern(np.maximum(value, 0), capacity)
+        # prices that no pattern exceeds bound the program from below
+        bound = max(bound, float(np.maximum(price, 0) @ want) / max(worth, 1.0))
         if worth <= NEAR:
             break
         column = inverse @ pattern[classes].astype(float)
@@ -251,7 +273,7 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = 6000) -> list[tuple[n
             else:
                 pattern = np.zeros(len(demand), dtype=np.int64)
                 bins.append((pattern, capacity))
-    return plan + [(p, 1) for p, _ in bins]
+    return Solution(plan + [(p, 1) for p, _ in bins], bound)
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, step: int = STEP, order_by: tuple[str, ...] = ()) -> DataFrame:
@@ -260,20 +282,21 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, step: int = STEP, order_by:
     ``order_by``: columns (bucket, place) that rank the documents of a class; by default
     they are ranked by a hash. Ranks run bucket by bucket.
     """
-    spark = parts.sparkSession
     parts = cut(parts)
-    size_class = F.when(F.col("length") == capacity, F.lit(-1)).otherwise(F.ceil(F.col("length") / step).cast("int") - 1)
-    bucket = F.col(f"`{order_by[0]}`") if order_by else F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS))
+    own = [c for c in parts.columns if c not in order_by]
+    full, rests = parts.filter(F.col("length") == capacity), parts.filter(F.col("length") < capacity)
+    buckets = max(BUCKETS, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    size_class = F.ceil(F.col("length") / step).cast("int") - 1
+    bucket = F.col(f"`{order_by[0]}`") if order_by else F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets))
     place = [F.col(f"`{c}`") for c in order_by[1:]] if order_by else []
-    keyed = parts.withColumn("_class", size_class).withColumn("_bucket", bucket)
+    keyed = rests.withColumn("_class", size_class).withColumn("_bucket", bucket)
     counts = keyed.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     firsts = cut(counts.withColumn("_first", F.coalesce(before, F.lit(0))))
     totals = {r[0]: r[1] for r in firsts.groupBy("_class").agg(F.sum("_n")).collect()}  # one row a class
     demand = np.array([totals.get(c, 0) for c in range(capacity // step)], dtype=np.int64)
-    plan = solve(demand, capacity // step)
-    full = int(totals.get(-1, 0))
-    base = full + np.concatenate([[0], np.cumsum([t for _, t in plan])]).astype(np.int64)
+    plan = solve(demand, capacity // step).patterns
+    base = np.concatenate([[0], np.cumsum([t for _, t in plan])]).astype(np.int64)
     # per class: places by pattern; rank -> pattern by the running number of places
     slots: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for c in np.flatnonzero(demand):
@@ -281,10 +304,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, step: int = STEP, order_by:
         ends = np.cumsum([a * t for _, a, t in use])
         slots[int(c)] = (ends, np.array([base[i] for i, _, _ in use]), np.array([a for _, a, _ in use]))
     local = F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy(*place, "doc_id", "start", "ids_crc32")) - 1
-    ranked = keyed.withColumn("_local", local).join(
-        F.broadcast(firsts.select("_class", "_bucket", "_first")) if not order_by else firsts.select("_class", "_bucket", "_first"),
-        ["_class", "_bucket"],
-    )
+    ranked = keyed.withColumn("_local", local).join(firsts.select("_class", "_bucket", "_first"), ["_class", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_first") + F.col("_local"))
 
     @F.arrow_udf("long")
@@ -301,21 +321,23 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, step: int = STEP, order_by:
 
     placed = ranked.withColumn("sequence_id", sequence("_class", "_rank"))
     ahead = Window.partitionBy("sequence_id").orderBy(F.desc("_class"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    own = [c for c in parts.columns if c not in order_by]
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long")).select(
-        *own, "sequence_id", "offset"
-    )
+    packed = placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long"))
+    # behind all packed sequences; the checkpoint keeps the places
+    alone = full.withColumn("sequence_id", F.lit(int(base[-1])) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return packed.select(*own, "sequence_id", "offset").unionByName(alone.select(*own, "sequence_id", "offset"))
 
 
 def pack_in_order(docs: DataFrame, tokenizer: tuple[str, str | None], capacity: int = CAPACITY) -> DataFrame:
     """As ``pack``, ranking the documents by the order in which their files hold them.
 
-    ``docs`` are read from files whose names sort in the order of the rows.
+    ``docs`` are read from files whose names sort in the order of the rows; rows that come
+    from no file have no order and are ranked as in ``pack``.
     """
-    placed = docs.select(
-        "doc_id", "text", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index")
-    )
-    extra = ("file_name", "row_index")
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return pack(pieces(docs, tokenizer, capacity), capacity)
+    extra = ("_file", "_row")
     return pack(pieces(placed, tokenizer, capacity, extra), capacity, order_by=extra)
 
 
