@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.addresses import order_geo
+from ..functions.addresses import order_parts, shown
 from ..schema import FORMULAS, KNOWN_STATUSES
 from .filters import country_pattern, side_columns
 from .orders import with_numbers
@@ -31,11 +31,19 @@ def status_summary(orders: DataFrame) -> DataFrame:
 
 
 def geo_counts(orders: DataFrame, by: str = "state", side: str = "both", limit: int = 50, canonical: bool = False) -> DataFrame:
-    """Orders by (country, state) or (city, state, country), most first; ``groups`` is the number before the limit."""
+    """Orders by (country, state) or (city, state, country), most first; ``groups`` is the number before the limit.
+
+    Addresses are grouped in lower case and only the groups get their shown form. The number
+    of groups needs their counts too, so that both branches share one exchange.
+    """
     keys = ["country", "state"] if by == "state" else ["city", "state", "country"]
-    g = orders.select(order_geo(side, canonical).alias("g")).filter("g is not null").select("g.*")
+    g = orders.select(order_parts(side, canonical).alias("g")).filter("g is not null").select("g.*")
     counted = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    groups = counted.agg(F.count(F.lit(1)).alias("groups"))
+    look = shown({k: F.col(k) if k in keys else F.lit(None).cast("string") for k in ("city", "state", "country")}, canonical)
+    counted = counted.select(*(look[k].alias(k) for k in keys), "n")
+    if canonical:  # different spellings of a state
+        counted = counted.groupBy(*keys).agg(F.sum("n").alias("n"))
+    groups = counted.agg(F.count_if(F.col("n") > 0).alias("groups"))
     top = counted.orderBy(F.desc("n"), *keys).limit(min(100, max(1, limit)))
     return top.crossJoin(F.broadcast(groups))  # one row
 
@@ -135,9 +143,11 @@ def field_aggs(orders: DataFrame, fields: list[str], where: Column | None = None
 
 
 def run_formulas(orders: DataFrame, ids: tuple[str, ...] | None = None, where: Column | None = None) -> DataFrame:
-    """(formula, value) of the asked formulas, or all, from one aggregate.
+    """(formula, value, text, avg, min, max, components) of the asked formulas, or all, from one aggregate.
 
-    Expressions are over ``sum_<field>``; other names are refused.
+    ``text`` is the formula as SQL. Average and extremes of the field go with sums, the sums
+    that an expression is made of, in its order, go with expressions. Expressions are over
+    ``sum_<field>``; other names are refused.
     """
     chosen = [f for f in FORMULAS if ids is None or f[0] in ids]
     o = with_numbers(orders)
@@ -152,6 +162,25 @@ def run_formulas(orders: DataFrame, ids: tuple[str, ...] | None = None, where: C
     aggs = [F.count(F.lit(1)).cast("double").alias("order_count")]
     for f in sorted(fields):
         aggs += [total(f).alias(f"sum_{f}"), F.avg(F.col(f).cast(MONEY)).cast("double").alias(f"avg_{f}")]
+        aggs += [F.min(f).cast("double").alias(f"min_{f}"), F.max(f).cast("double").alias(f"max_{f}")]
     value = lambda kind, f: F.expr("order_count" if kind == "count" else f if kind == "expression" else f"{kind}_{f}")
-    rows = [F.struct(F.lit(i).alias("formula"), F.round(value(kind, f), 4).alias("value")) for i, kind, f in chosen]
-    return o.agg(*aggs).select(F.inline(F.array(*rows)))
+    four = lambda c: F.round(c, 4)
+    none = F.lit(None).cast("double")
+
+    def row(name: str, kind: str, f: str | None) -> Column:
+        stats = {s: four(F.col(f"{s}_{f}")) if kind == "sum" else none for s in ("avg", "min", "max")}
+        parts = [four(F.col(w)) for w in f.split() if w.startswith("sum_")] if kind == "expression" else []
+        text = "COUNT(orders)" if kind == "count" else f.replace("sum_", "") if kind == "expression" else f"{kind.upper()}({f})"
+        return F.struct(
+            F.lit(name).alias("formula"), four(value(kind, f)).alias("value"), F.lit(text).alias("text"),
+            *(c.alias(s) for s, c in stats.items()), F.array(*parts).cast("array<double>").alias("components"),
+        )
+
+    return o.agg(*aggs).select(F.inline(F.array(*(row(*c) for c in chosen))))
+
+
+def namespace_counts(documents: DataFrame) -> DataFrame:
+    """(namespace, n, markers): stored orders and setup markers of each namespace, and of all in the row without a namespace."""
+    return documents.rollup("namespace").agg(
+        F.count_if(F.col("doc_type") == "order").alias("n"), F.count_if(F.coalesce(F.col("doc_type") != "order", F.lit(True))).alias("markers")
+    )

@@ -35,18 +35,17 @@ def find_orders(orders: DataFrame, tokens: DataFrame) -> DataFrame:
     """(token, *order) for a table of tokens: by id, number or temporary number, first match kept.
 
     Digits are looked up in all three columns, anything else in the two numbers; numbers
-    compare without case. Three equi-joins, so that no token meets an order it cannot be.
+    compare without case. Orders are read once: each is listed under its keys and met by one
+    equi-join.
     """
-    t = tokens.select("token", F.upper(F.trim("token")).alias("key")).filter("key <> ''").distinct()
-    digits = t.filter(F.col("key").rlike(r"^\d+$")).withColumn("id", F.expr("try_cast(key as bigint)"))
-    by_id = digits.join(orders, digits["id"] == orders["orderid"]).select("token", F.lit(1).alias("how"), *orders.columns)
-    parts = [by_id]
-    for how, column in ((2, "ordernumber"), (3, "tempordernumber")):
-        keyed = orders.withColumn("_key", F.upper(column))
-        parts.append(t.join(keyed, t["key"] == keyed["_key"]).select("token", F.lit(how).alias("how"), *orders.columns))
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    first = F.row_number().over(Window.partitionBy("token").orderBy("how", "orderid"))
-    return found.withColumn("_n", first).filter("_n = 1").drop("_n", "how")
+    named, numbered = lambda c: F.concat(F.lit("n"), F.upper(c)), lambda c: F.concat(F.lit("i"), c.cast("string"))
+    key = F.upper(F.trim("token"))
+    asked = F.array_compact(F.array(named(key), numbered(F.when(key.rlike(r"^\d+$"), F.expr("try_cast(trim(token) as bigint)")))))
+    t = tokens.filter(key != "").select("token").distinct().select("token", F.explode(asked).alias("_key"))
+    own = [numbered(F.col("orderid")), named(F.col("ordernumber")), named(F.col("tempordernumber"))]
+    keyed = orders.select("*", F.posexplode(F.array(*own)).alias("_how", "_key")).filter("_key is not null")
+    first = F.row_number().over(Window.partitionBy("token").orderBy("_how", "orderid"))
+    return t.join(keyed, "_key").withColumn("_n", first).filter("_n = 1").select("token", *orders.columns)
 
 
 #: Shown first in a detail, in this order.
@@ -59,10 +58,16 @@ INTERNAL = ("namespace", "doc_type", "page_content", "embedding", "metadata")
 
 
 def order_detail(found: DataFrame, max_fields: int = 120) -> DataFrame:
-    """(token, position, field, value): priority fields first, then the others, without empty values."""
+    """(token, position, field, value): priority fields first, then the others, without empty values.
+
+    Numbers with a fraction are written plainly, to six digits at most.
+    """
+    plain = lambda c: F.regexp_replace(F.col(c).cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+    kinds = dict(found.dtypes)
+    written = lambda c: plain(c) if kinds[c] in ("double", "float") else F.col(c).cast("string")
     fields = [c for c in (*PRIORITY, *(c for c in found.columns if c not in PRIORITY)) if c in found.columns and c not in (*INTERNAL, "token")]
     cells = F.array(
-        *(F.struct(F.lit(i).alias("i"), F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for i, c in enumerate(fields))
+        *(F.struct(F.lit(i).alias("i"), F.lit(c).alias("field"), written(c).alias("value")) for i, c in enumerate(fields))
     )
     full = F.slice(F.filter(cells, lambda x: x["value"].isNotNull() & (F.trim(x["value"]) != "")), 1, max_fields)
     return found.select("token", F.posexplode(full)).select("token", (F.col("pos") + 1).alias("position"), "col.field", "col.value")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.addresses import order_geo, resolve_state
 from ..operators import metrics, orders as ops
 from ..operators.filters import order_filter, scope
+from ..sources import tables
+from ..sources.tables import scratch
 from ..schema import DEFAULT_FORMULAS, FORMULAS, KNOWN_STATUSES, LISTED, STATE_OF_NAME
 from .orders_doc import NAMESPACE, ORDERS_DOC_SQL, orders_doc
 
@@ -129,13 +131,14 @@ NUMBERS = {"orderid", "totalfreight", "grosstotalfreight", "taxes", "totaltaxamo
 
 
 def detail_input(o: DataFrame, *wanted: str) -> DataFrame:
-    """Texts only: engines print doubles in different ways."""
-    found = ops.find_orders(o, tokens(o)) if not wanted else ops.find_orders(o, o.sparkSession.createDataFrame([(w,) for w in wanted], "token string"))
-    return found.drop(*(NUMBERS - {"orderid"}))
+    return ops.find_orders(o, tokens(o)) if not wanted else ops.find_orders(o, o.sparkSession.createDataFrame([(w,) for w in wanted], "token string"))
 
 
-TEXTS = [c for c in DETAIL if c not in NUMBERS or c == "orderid"]
-CELLS = "[" + ", ".join(f"{{'field': '{c}', 'value': CAST({c} AS STRING)}}" for c in TEXTS) + "]"
+def plain(c: str) -> str:
+    return f"CAST({c} AS STRING)" if c not in NUMBERS or c == "orderid" else f"regexp_replace(CAST(CAST({c} AS DECIMAL(38,6)) AS STRING), '\\.?0+$', '')"
+
+
+CELLS = "[" + ", ".join(f"{{'field': '{c}', 'value': {plain(c)}}}" for c in DETAIL) + "]"
 register(
     "order_detail",
     lambda o: ops.order_detail(detail_input(o)),
@@ -227,16 +230,18 @@ def formula_sql(ids: tuple[str, ...] | None, where: str = "true") -> str:
     for name, kind, f in FORMULAS:
         if ids is not None and name not in ids:
             continue
+        stats, sums = "NULL, NULL, NULL", []
         if kind == "count":
-            value = "CAST(count(*) AS DOUBLE)"
+            value, text = "CAST(count(*) AS DOUBLE)", "COUNT(orders)"
         elif kind == "sum":
-            value = SUM.format(f)
+            value, text, stats = SUM.format(f), f"SUM({f})", f"round({avg_sql(f)}, 4), round(CAST(min({f}) AS DOUBLE), 4), round(CAST(max({f}) AS DOUBLE), 4)"
         elif kind == "avg":
-            value = avg_sql(f)
+            value, text = avg_sql(f), f"AVG({f})"
         else:
-            value = " ".join(SUM.format(w[4:]) if w.startswith("sum_") else w for w in f.split())
-        parts.append(f"SELECT '{name}' AS formula, round({value}, 4) AS value FROM orders_doc WHERE {where}")
-    return " UNION ALL ".join(parts)
+            value, text = " ".join(SUM.format(w[4:]) if w.startswith("sum_") else w for w in f.split()), f.replace("sum_", "")
+            sums = [f"round({SUM.format(w[4:])}, 4)" for w in f.split() if w.startswith("sum_")]
+        parts.append(f"SELECT '{name}' AS formula, round({value}, 4) AS value, '{text}' AS text, {stats}, CAST([{', '.join(sums)}] AS DOUBLE[]) AS components FROM orders_doc WHERE {where}")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") t(formula, value, text, avg, min, max, components)"
 
 
 register("formulas_all", metrics.run_formulas, formula_sql(None))
@@ -244,4 +249,35 @@ register("formula_default_bundle", lambda o: metrics.run_formulas(o, DEFAULT_FOR
 register("formula_net_after_tax", lambda o: metrics.run_formulas(o, ("net_after_tax_estimate",)), formula_sql(("net_after_tax_estimate",)))
 register("formula_freight_plus_fuel", lambda o: metrics.run_formulas(o, ("freight_plus_fuel",)), formula_sql(("freight_plus_fuel",)))
 register("formula_filtered", lambda o: metrics.run_formulas(o, None, order_filter(companycode="BUILDING", currencycode="USD")), formula_sql(None, "lower(companycode) = 'building' AND currencycode = 'USD'"))
-register("namespace_counts", lambda o: o.groupBy("namespace").agg(F.count(F.lit(1)).alias("n")), "SELECT namespace, count(*) AS n FROM orders_doc GROUP BY 1")
+
+
+# namespaces: the orders of each company are one, and each has a marker
+def stored_rows(o: DataFrame) -> DataFrame:
+    rows = o.withColumn("namespace", F.col("companycode"))
+    markers = rows.select("namespace").distinct().select("namespace", F.lit("setup").alias("doc_type"))
+    return rows.select("namespace", "doc_type").unionByName(markers)
+
+
+register(
+    "namespace_counts",
+    lambda o: metrics.namespace_counts(stored_rows(o)),
+    "SELECT companycode AS namespace, count(*) AS n, count(DISTINCT companycode) + CASE WHEN companycode IS NULL AND grouping(companycode) = 0 THEN 1 ELSE 0 END AS markers FROM orders_doc GROUP BY ROLLUP (companycode)",
+)
+
+
+def replaced(o: DataFrame) -> DataFrame:
+    """All orders by company; then one company's even ids replace it, another one's go, and a third one's stand twice."""
+    path = scratch(o.sparkSession)
+    rows = o.select("orderid", F.col("companycode").alias("namespace"))
+    tables.write_namespace(rows, path)
+    tables.write_namespace(rows.filter("namespace = 'BUILDING' and orderid % 2 = 0"), path)
+    tables.write_namespace(rows.limit(0), path, namespace="MACHINERY")
+    tables.write_namespace(rows.filter("namespace = 'FURNITURE'"), path, replace=False)
+    return o.sparkSession.read.schema("orderid long, namespace string").parquet(path)
+
+
+register(
+    "sink_replace_namespace",
+    replaced,
+    "SELECT orderid, companycode AS namespace FROM orders_doc WHERE companycode <> 'MACHINERY' AND (companycode <> 'BUILDING' OR orderid % 2 = 0) UNION ALL SELECT orderid, companycode FROM orders_doc WHERE companycode = 'FURNITURE'",
+)

@@ -251,7 +251,28 @@ UNION ALL SELECT orderid, 0, 0, NULL, NULL, NULL, NULL FROM o WHERE k = 4
 UNION ALL SELECT orderid, 0, CAST(i AS INTEGER), (['A', 'B', 'C'])[i + 1], '10', (['1 lb', '2 lb', NULL])[i + 1], ordernumber FROM (SELECT *, unnest([0, 1, 2]) AS i FROM o WHERE k = 2)"""
 register("shipment_rows", ORDERS, rows, ROWS_SQL)
 register("shipment_explode", ORDERS, lambda o: rows(o).groupBy("resp_id").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.array_sort(F.collect_list("commodity"))).alias("goods")), f"SELECT resp_id, count(*) AS n, coalesce(string_agg(commodity, ',' ORDER BY commodity), '') AS goods FROM ({ROWS_SQL}) GROUP BY 1")
-register("shipment_fill", ORDERS, lambda o: shipments.shipment_rows(shipments.parse_responses(responses(o))).select("resp_id", "pos", "ship", "line", *(F.col(f"`{k}`").alias(k.replace(".", "_")) for k in shipments.SHIPMENT_KEYS)))
+FILL = {"commodity": "commodity", "pickup_location": "pickup_location", "No.OfPackage": "packages", "weight": "weight"}
+FILL_SQL = f"SELECT resp_id, pos, CAST(0 AS INTEGER) AS ship, line, {', '.join(FILL.get(k, 'CAST(NULL AS STRING)') + ' AS ' + chr(34) + k.replace('.', '_') + chr(34) for k in shipments.SHIPMENT_KEYS)} FROM ({ROWS_SQL})"
+register("shipment_fill", ORDERS, lambda o: shipments.shipment_rows(shipments.parse_responses(responses(o))).select("resp_id", "pos", "ship", "line", *(F.col(f"`{k}`").alias(k.replace(".", "_")) for k in shipments.SHIPMENT_KEYS)), FILL_SQL)
 register("parse_response_json", ORDERS, lambda o: shipments.parse_responses(responses(o)).select("resp_id", "pos", F.to_json("obj").alias("obj"), "raw"))
 COMMODITY = "CASE orderid % 6 WHEN 0 THEN '4 pcs, 4624 lbs' WHEN 1 THEN orderid || ' pallets' WHEN 2 THEN '44000 LB' WHEN 3 THEN '4624 lbs steel coils' WHEN 4 THEN commodityname ELSE '' END"
 register("commodity_valid", ORDERS, lambda o: o.selectExpr("orderid", f"{COMMODITY} AS c").select("orderid", "c", (~shipments.invalid_commodity(F.col("c"))).alias("valid")), f"{WITH} SELECT orderid, {COMMODITY} AS c, orderid % 6 NOT IN (0, 1, 2) AS valid FROM orders_doc")
+
+
+# vectors are stored by label, then one label's are replaced by half of them and another one's by none
+def stored_vectors(e: DataFrame) -> DataFrame:
+    path = tables.scratch(e.sparkSession)
+    chunks = e.select("vec_id", "embedding", F.concat(F.lit("label "), F.col("label").cast("string")).alias("namespace"))
+    tables.write_namespace(chunks, path)
+    tables.write_vectors(chunks.filter("namespace = 'label 1' and vec_id % 2 = 0"), path, "label 1")
+    tables.write_vectors(chunks.limit(0), path, "label 2")
+    tables.write_vectors(chunks.filter("namespace = 'label 3' and vec_id % 2 = 0"), path, "label 3", replace=False)
+    stored = e.sparkSession.read.schema("vec_id long, embedding array<float>, namespace string").parquet(path)
+    return stored.select("vec_id", "namespace", F.size("embedding").alias("dimensions"))
+
+
+register(
+    "sink_vectors", EMB, stored_vectors,
+    """SELECT vec_id, 'label ' || label AS namespace, CAST(len(embedding) AS INTEGER) AS dimensions FROM embeddings WHERE label <> 2 AND (label <> 1 OR vec_id % 2 = 0)
+    UNION ALL SELECT vec_id, 'label 3', CAST(len(embedding) AS INTEGER) FROM embeddings WHERE label = 3 AND vec_id % 2 = 0""",
+)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import tempfile
+import uuid
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Fields of the searchable text, in order.
 PREFERRED = (
@@ -40,13 +44,31 @@ def build_documents(orders: DataFrame, source: str, ingested_at: Column, embeddi
     )
 
 
-def write_namespace(df: DataFrame, path: str, replace: bool = True) -> None:
-    """Replaces the partitions of the namespaces in ``df``, or adds to them."""
-    writer = df.write.partitionBy("namespace")
-    if replace:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def write_namespace(df: DataFrame, path: str, replace: bool = True, namespace: str | None = None) -> None:
+    """Replaces the partitions of the namespaces in ``df``, or adds to them.
+
+    With a ``namespace`` all rows go there, and replacing it by no rows empties it.
+    """
+    if namespace is not None:
+        rows = df.drop("namespace").write.mode("overwrite" if replace else "append")
+        rows.parquet(f"{path}/namespace={quote(namespace, safe=' ')}")
+    elif replace:
+        df.write.partitionBy("namespace").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
-        writer.mode("append").parquet(path)
+        df.write.partitionBy("namespace").mode("append").parquet(path)
+
+
+def write_vectors(chunks: DataFrame, path: str, namespace: str, replace: bool = True) -> None:
+    """Chunks (chunk_id, text, embedding, metadata ...) as the namespace's rows, or added to them; rows without a vector are no matches and stay out."""
+    write_namespace(chunks.filter(F.size("embedding") > 0), path, replace, namespace)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster names for checkpoints; a temporary one only in a local session without it."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder or tempfile.mkdtemp(prefix='spark-')}/stored-{uuid.uuid4().hex}"
 
 
 def read_namespace(df: DataFrame, namespace: str) -> DataFrame | None:
