@@ -9,24 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's ``spark.checkpoint.dir``; only where none is set (tests) a folder of its own."""
+    """Uses the cluster's ``spark.checkpoint.dir``. Only a local session (tests) may go without: it gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in reliable storage: lost executors cost no recomputation.
-
-    What the rows were computed from is then garbage. The driver is asked to collect it, so
-    that Spark's cleaner drops its shuffle files now and not at some later collection.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    kept = df.checkpoint(eager=True)
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return kept
+    """The rows, computed once and kept in reliable storage: lost executors cost no recomputation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -38,13 +33,21 @@ def spread(df: DataFrame) -> DataFrame:
     return cut(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def stored(df: DataFrame) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """As ``cut``, as a compressed table in the checkpoint folder: for rows with texts."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = path or scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return kept
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing will read again."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -8,14 +8,17 @@ all windows is ever shuffled:
    sequences inside it. Equal windows have equal fingerprints at the same place, and
    neighbouring windows mostly share one, so that a text has about one fingerprint for
    fourteen windows.
-2. **Log-structured index.** A batch of documents adds one immutable run (fingerprint,
-   places), sorted by fingerprint. Runs are merge-joined; when there are too many they are
-   compacted into one. A fingerprint with one place in all runs proves that its windows
-   are unique.
-3. **Verification.** Windows whose fingerprint stands in two or more places are compared
-   themselves, by a 64-bit and a second, independent 32-bit hash, counted over the corpus
-   and combined before the shuffle. Documents with equal word sequences are one class, and
-   only one of them takes part, with its weight.
+2. **Log-structured index.** A batch of documents adds one immutable run with a row for each
+   fingerprint (fingerprint, number of places, the place if it is the only one), bucketed
+   and sorted by fingerprint. The new run is merge-joined with every older one; neither side
+   is shuffled again. A fingerprint that an older run knows, or that stands twice in the
+   batch, is *repeated*: the batch's documents that hold it and the one older document whose
+   only place in a run it was are hits. All other places of it became hits when they came in. When
+   there are more runs than the fan-out they are compacted into one.
+3. **Verification.** Windows of the hits whose fingerprint is repeated are compared
+   themselves, by two independent 64-bit hashes of their words, counted over the corpus and
+   combined before the shuffle. Documents with equal word sequences are one class, and only
+   one of them takes part, with its weight.
 4. **Removal.** The windows found to be repeated go back to their documents.
 
 Nothing is collected to the driver; a passage that a third of all documents share is a hot
@@ -35,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .lineage import cut, ensure_checkpoint_dir, spread, stored
+from .lineage import cut, discard, scratch, spread, stored
 from .wordhash import Words, batches, mix, runs
 
 WINDOW = 35
@@ -138,51 +141,80 @@ def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, n) in the shared folder.
+    """Sorted immutable runs of (fp, n, key): ``n`` is 1 or 2 (two or more places), ``key`` the place if n is 1.
 
-    ``add`` writes a run for a batch and compacts when there are more than ``fanout``;
-    ``known`` merge-joins a batch with all history; ``repeated`` are fingerprints with two
-    or more places in all runs together.
+    Runs are tables under ``path``, in the shared folder by default; ``runs`` holds their
+    names. An index with the same path and runs goes on where another one stopped.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 3):
-        ensure_checkpoint_dir(spark)
-        self.spark, self.fanout = spark, fanout
-        self.path = path or f"{spark.sparkContext.getCheckpointDir()}/fingerprints-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self._next = 0
+    def __init__(self, spark: SparkSession, path: str | None = None, runs: list[str] | None = None, fanout: int = 2):
+        self.spark, self.fanout, self.runs = spark, fanout, list(runs or ())
+        self.path = path or scratch(spark)
 
     def _write(self, rows: DataFrame) -> str:
-        name = f"{self.path}/run-{self._next:05d}"
-        self._next += 1
-        counts = rows.groupBy("fp").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"))
-        counts.sortWithinPartitions("fp").write.parquet(name)
+        """``rows``: (fp, n, key), any number for a fingerprint."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"fingerprints_{n}_{uuid.uuid4().hex}"
+        one = rows.groupBy("fp").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min("key").alias("key"))
+        one = one.withColumn("key", F.when(F.col("n") == 1, F.col("key"))).repartition(n, "fp").sortWithinPartitions("fp")
+        one.write.bucketBy(n, "fp").sortBy("fp").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
-    def _all(self) -> DataFrame:
-        return self.spark.read.schema("fp long, n int").parquet(*self.runs)
-
-    def add(self, prints: DataFrame) -> None:
-        self.runs.append(self._write(prints.select("fp", "n")))
+    def table(self, run: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(run):
+            buckets = int(run.split("_")[1])
+            self.spark.sql(
+                f"CREATE TABLE {run} (fp BIGINT, n INT, key BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {buckets} BUCKETS LOCATION '{self.path}/{run}'"
+            )
+        return self.spark.table(run)
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        discard(self.spark, f"{self.path}/{run}")
+
+    def known(self, run: str) -> DataFrame:
+        """(fp, n, key) of the older runs for each fingerprint of a run: one merge join for each of them."""
+        own = self.table(run).select("fp").hint("merge")
+        older = [self.table(r).join(own, "fp") for r in self.runs if r != run]
+        out = self.table(run).limit(0)
+        for o in older:
+            out = out.unionByName(o)
+        return out
+
+    def add(self, prints: DataFrame) -> DataFrame:
+        """Adds a batch (fp, key, n); the hits (fp, key), in it and in older batches, of fingerprints that are now repeated."""
+        batch = scratch(self.spark)
+        prints = stored(prints, batch)
+        run = self._write(prints)
+        old = cut(self.known(run))
+        self.runs.append(run)
+        twice = self.table(run).filter("n > 1").select("fp").unionByName(old.select("fp")).distinct()
+        hits = prints.select("fp", "key").join(twice, "fp", "left_semi").unionByName(old.filter("n = 1").select("fp", "key"))
+        hits = cut(hits)
+        discard(self.spark, batch)
         if len(self.runs) > self.fanout:
             self.compact()
+        return hits
 
     def compact(self) -> None:
         if len(self.runs) > 1:
-            self.runs = [self._write(self._all())]
-
-    def known(self, prints: DataFrame) -> DataFrame:
-        """The batch's rows whose fingerprint stands in an earlier run."""
-        return prints.join(self._all().select("fp").distinct(), "fp", "left_semi")
+            rows = self.table(self.runs[0])
+            for r in self.runs[1:]:
+                rows = rows.unionByName(self.table(r))
+            old, self.runs = self.runs, [self._write(rows)]
+            for r in old:
+                self._drop(r)
 
-    def repeated(self) -> DataFrame:
-        return self._all().groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp")
+    def drop(self) -> None:
+        for r in self.runs:
+            self._drop(r)
+        self.runs = []
 
 
 def _candidate_windows(found: DataFrame, window: int) -> DataFrame:
     """(h, v, key, n) per distinct window of (key, text, fps, weight) whose fingerprint is repeated."""
     words, second = Words(fold=False), Words(fold=False, seed=77)
-    shape = pa.schema([("h", pa.int64()), ("v", pa.int32()), ("key", pa.int64()), ("n", pa.int32())])
+    shape = pa.schema([("h", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
 
     def check(batches_in):
         for b in batches_in:
@@ -210,33 +242,36 @@ def _candidate_windows(found: DataFrame, window: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(own.view(np.int64)),
-                            pa.array((other >> np.uint64(33)).astype(np.int32)),
+                            pa.array(other.view(np.int64)),
                             pa.array(key.astype(np.int64)),
                             pa.array(n.astype(np.int32)),
                         ],
                         schema=shape,
                     )
 
-    return found.select("key", "text", "fps", "weight").mapInArrow(check, "h long, v int, key long, n int")
+    return found.select("key", "text", "fps", "weight").mapInArrow(check, "h long, v long, key long, n int")
 
 
 def _without(found: DataFrame, window: int) -> DataFrame:
-    """(key, n_removed, kept_text, kept_sha) of (key, text, repeated window hashes)."""
-    words = Words(fold=False)
+    """(key, n_removed, kept_text, kept_sha) of (key, text, hs, vs), the hashes of repeated windows."""
+    words, second = Words(fold=False), Words(fold=False, seed=77)
     shape = pa.schema([("key", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha", pa.string())])
 
     def remove(batches_in):
         for b in batches_in:
-            keys, repeated = b.column(0).to_numpy(), b.column(2)
+            keys = b.column(0).to_numpy()
+            repeated = lambda c, i: np.asarray(b.column(c)[i].values.to_numpy()).view(np.uint64)  # noqa: B023, E731
             for row, to, data, offsets in batches(b.column(1)):
                 hashes, at, starts = _windows(words, data, offsets, window)
-                h = runs(hashes, window)[starts] if len(starts) else starts.astype(np.uint64)
+                h = v = starts.astype(np.uint64)
+                if len(starts):
+                    h, v = runs(hashes, window)[starts], runs(second.of(data, offsets)[0], window)[starts]
                 edge, raw = np.searchsorted(starts, at), data.tobytes()
                 gone_n, kept = [], []
                 for i in range(to - row):
                     lo, hi = edge[i], edge[i + 1]
                     cover = np.zeros(at[i + 1] - at[i] + 1, dtype=np.int32)
-                    bad = starts[lo:hi][np.isin(h[lo:hi], np.asarray(repeated[row + i].values.to_numpy()).view(np.uint64))] - at[i]
+                    bad = starts[lo:hi][np.isin(h[lo:hi], repeated(2, row + i)) & np.isin(v[lo:hi], repeated(3, row + i))] - at[i]
                     np.add.at(cover, bad, 1)
                     np.add.at(cover, bad + window, -1)
                     gone = np.cumsum(cover[:-1]) > 0
@@ -256,27 +291,34 @@ def _without(found: DataFrame, window: int) -> DataFrame:
     return found.mapInArrow(remove, "key long, n_removed long, kept_text string, kept_sha string")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, n_batches: int = 2, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, n_batches: int = 4, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]) per row of (doc_id, text).
 
-    The documents are added to the index in ``n_batches`` batches, as they would come in
-    over time; the verdict is that of the whole corpus. ``kept_text`` is null where nothing
-    was removed.
+    The documents are added to an index in ``n_batches`` batches, as they would come in over
+    time; the verdict is that of the whole corpus. ``kept_text`` is null where nothing was
+    removed.
     """
-    if window < GRAM:
-        raise ValueError(f"a window needs {GRAM} words at least")
     spark = docs.sparkSession
     index = FingerprintIndex(spark)
     in_batch = F.pmod(F.xxhash64("doc_id"), F.lit(n_batches))
+    hits = None
     for i in range(n_batches):
-        index.add(fingerprints(docs.filter(in_batch == i) if n_batches > 1 else docs, window))
+        new = index.add(fingerprints(docs.filter(in_batch == i), window))
+        hits = new if hits is None else hits.unionByName(new)
+    index.drop()
+    return remove_verified(docs, hits, window, with_text)
+
+
+def remove_verified(docs: DataFrame, hits: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
+    """As ``remove_repeats``, for all documents in an index, given the hits of all its batches."""
+    if window < GRAM:
+        raise ValueError(f"a window needs {GRAM} words at least")
     known = cut(facts(docs))
     copies = spread(
         known.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first")).filter("copies > 1")
     )
     of_class = known.join(copies, "sha", "left")
-    twice = spread(index.repeated())
-    prints = fingerprints(docs, window).join(twice, "fp").groupBy("key").agg(F.collect_set("fp").alias("fps"))
+    prints = hits.groupBy("key").agg(F.collect_set("fp").alias("fps"))
     role = (
         of_class.filter("copies is null or key = first")
         .select("key", F.when(F.col("copies").isNull(), 1).otherwise(2).alias("weight"))
@@ -286,7 +328,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, n_batches: int = 2, wi
     windows = _candidate_windows(found, window)
     repeated = spread(windows.groupBy("h", "v").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "v"))
     single = _candidate_windows(found.filter("weight = 1"), window)
-    back = single.join(repeated, ["h", "v"]).groupBy("key").agg(F.collect_list("h").alias("hs"))
+    back = single.join(repeated, ["h", "v"]).groupBy("key").agg(F.collect_list("h").alias("hs"), F.collect_list("v").alias("vs"))
     cleaned = _without(found.filter("weight = 1").select("key", "text").join(back, "key"), window)
     if not with_text:
         cleaned = cleaned.drop("kept_text")
