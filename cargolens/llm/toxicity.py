@@ -6,10 +6,15 @@ holds every term of the examples, with document frequencies counted over all doc
 A document's other terms meet no example but count in its norm: their frequencies come from
 a join of all documents' terms by key.
 
-The example vectors form an inverted index in blocks of ``INDEX_BLOCK`` examples that knows
-each term's greatest weight in each block. A document's terms give an upper bound of every
-block; blocks are evaluated exactly, best bound first, until no bound reaches the k-th best
-cosine. The result is that of comparing with all examples.
+The example vectors form an inverted index. Its long lists, those of common terms, are cut
+into blocks of ``INDEX_BLOCK`` examples, and the index knows each term's greatest weight in
+each block. A document's rare terms are added up entry by entry; the greatest of these sums
+in a block and the block's greatest weights of the common terms bound all its cosines.
+Blocks with the best bounds are evaluated first, then only those whose bound reaches the
+k-th best cosine so far. Blocks are evaluated for a batch of documents at a time, as matrix
+products in single precision; whatever may be among the k best then gets its cosine in
+double precision. The result is that of comparing with all examples; equal cosines (to
+twelve digits) go by the smaller id.
 
 Neighbours vote with the square of their cosine, examples weighted by how many labelled
 documents they stand for. Leaving each example out of its own vote gives votes with known
@@ -21,9 +26,10 @@ map-only pass over whole texts, and the norm is joined to what it found.
 
 Defined results: null and empty texts, and texts without any term of the vocabulary, get the
 rate of such examples; with no labelled rows at all every score is 0; labels that are null or
-not 0 or 1 are not used; a document with several labels counts as toxic if any says so; rows
-with a null id are scored and belong to no fold (``held_out`` is false); repeated rows are
-scored alike.
+not 0 or 1 are not used; a document with several labels counts as toxic if any says so; of
+several texts of one labelled id the one with the smallest hash is the example; rows with a
+null id are scored and belong to no fold (``held_out`` is false); repeated rows are scored
+alike.
 """
 
 from __future__ import annotations
@@ -33,11 +39,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .lineage import cut
-from .wordhash import Words, batches
+from .wordhash import Words, batches, mix
 
 #: Examples of each label at most, neighbours.
 EXAMPLES, K = 4000, 48
 INDEX_BLOCK = 64
+#: Longest lists that are kept dense, and documents that are evaluated at a time.
+DENSE, BATCH = 512, 64
+#: What single precision can be wrong by, at most, in a sum of products of unit vectors.
+SLACK = 1e-4
 
 
 class Terms(Words):
@@ -59,21 +69,25 @@ def sample_examples(labels: DataFrame, label_col: str, most: int = EXAMPLES) ->
     known = rows.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     known = cut(known)
     count = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows
-    out = None
+    out, share = None, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     for label in (0, 1):
-        part = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        n = max(1, count.get(label, 0))
+        # a few more than needed pass, so that no task sorts more
+        part = known.filter((F.col("label") == label) & (share <= 1.1 * (most + 200) / n))
+        part = part.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(most)
         part = part.withColumn("weight", F.lit(max(1.0, count.get(label, 0) / most)))
         out = part if out is None else out.unionByName(part)
     return cut(out)
 
 
 def _doc_terms(texts: pa.Array, terms: Terms):
-    """(row, distinct term hashes, their counts) of each text."""
+    """(first row, end row, row of each entry from the first on, term hash, count): the distinct terms of some texts at a time."""
     for row, to, data, offsets in batches(texts):
         hashes, at = terms.of(data, offsets)
-        for i in range(to - row):
-            own, n = np.unique(hashes[at[i] : at[i + 1]], return_counts=True)
-            yield row + i, own, n
+        text = np.repeat(np.arange(to - row), np.diff(at))
+        _, first, n = np.unique(mix(hashes ^ mix(text.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+        order = np.argsort(first)
+        yield row, to, text[first[order]], hashes[first[order]], n[order]
 
 
 def _vectors(docs: DataFrame, without: np.ndarray | None = None) -> DataFrame:
@@ -82,26 +96,13 @@ def _vectors(docs: DataFrame, without: np.ndarray | None = None) -> DataFrame:
 
     def unfold(batches_in):
         for b in batches_in:
-            rows, hashes, counts = [], [], []
-            for row, own, n in _doc_terms(b.column(1), terms):
+            for row, _, text, own, n in _doc_terms(b.column(1), terms):
                 if without is not None and len(without):
-                    at = np.searchsorted(without, own)
-                    at[at == len(without)] = 0
-                    keep = without[at] != own
-                    own, n = own[keep], n[keep]
-                rows.append(np.full(len(own), row))
-                hashes.append(own)
-                counts.append(n)
-            if rows:
-                took = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(took),
-                        pa.array(np.concatenate(hashes).view(np.int64)),
-                        pa.array(np.concatenate(counts).astype(np.int64)),
-                    ],
-                    names=["doc_id", "term", "n"],
-                )
+                    keep = lookup(without, own) < 0
+                    text, own, n = text[keep], own[keep], n[keep]
+                if len(own):
+                    columns = [b.column(0).take(pa.array(row + text)), pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "term", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(unfold, "doc_id long, term long, n long")
 
@@ -113,10 +114,9 @@ def document_frequency(docs: DataFrame, vocab: np.ndarray) -> np.ndarray:
     def count(batches_in):
         total = np.zeros(len(vocab), dtype=np.int64)
         for b in batches_in:
-            for _, own, _ in _doc_terms(b.column(0), terms):
-                at = np.searchsorted(vocab, own)
-                at[at == len(vocab)] = 0
-                total[at[vocab[at] == own]] += 1
+            for _, _, _, own, _ in _doc_terms(b.column(0), terms):
+                at = lookup(vocab, own)
+                total += np.bincount(at[at >= 0], minlength=len(vocab))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
@@ -140,35 +140,11 @@ def outer_squares(docs: DataFrame, vocab: np.ndarray, n_docs: int) -> DataFrame:
     return sums.join(copies.hint("merge"), "key").select("key", (F.col("total") / F.col("copies")).alias("square"))
 
 
-class Greatest:
-    """Greatest weight of each non-empty cell of (term, block), and where the cell's entries begin."""
-
-    def __init__(self, cells: np.ndarray, weights: np.ndarray, shape: tuple[int, int]):
-        self.shape = shape
-        own, first = np.unique(cells, return_index=True)
-        self.block = (own % shape[1]).astype(np.int32)
-        self.lo = np.append(first, len(cells)).astype(np.int32)
-        self.weight = np.maximum.reduceat(weights, first) if len(first) else np.zeros(0)
-        self.start = np.searchsorted(own, np.arange(shape[0] + 1) * shape[1]).astype(np.int32)
-
-    def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cells of these terms, and how many each has."""
-        lo, n = self.start[terms], self.start[terms + 1] - self.start[terms]
-        return spans(lo, n), n
-
-
-class Starts:
-    """First entry of each cell, empty ones too."""
-
-    def __init__(self, most: Greatest):
-        self.most = most
-
-    def __getitem__(self, cell: int) -> int:
-        term, block = divmod(int(cell), self.most.shape[1])
-        at = int(self.most.start[term])
-        if block:
-            at += int(np.searchsorted(self.most.block[at : self.most.start[term + 1]], block))
-        return int(self.most.lo[at])
+def lookup(vocab: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place of each hash in the sorted vocabulary, or -1."""
+    at = np.searchsorted(vocab, hashes)
+    at[at == len(vocab)] = 0
+    return np.where(vocab[at] == hashes, at, -1) if len(vocab) else np.full(len(hashes), -1)
 
 
 def spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -181,9 +157,10 @@ class BlockMaxIndex:
 
     def __init__(self, vocab: np.ndarray, df: np.ndarray, n_docs: int, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray]):
         """``entries``: example, term and count of each non-zero of the example vectors."""
-        self.vocab, self.n_docs, self.idf = vocab, n_docs, np.log((1 + n_docs) / (1 + df)) + 1
+        self.vocab, self.idf = vocab, np.log((1 + n_docs) / (1 + df)) + 1
+        self.n_docs = n_docs
         ex, term, n = entries
-        w = self.weigh(term, n)
+        w = (1 + np.log(n)) * self.idf[term]
         norm = np.sqrt(np.bincount(ex, w * w, minlength=len(ids)))
         w = w / norm[ex]
         # examples whose heaviest term is the same share blocks, so that bounds are tight
@@ -191,69 +168,81 @@ class BlockMaxIndex:
         order = np.lexsort((w, ex))
         top[ex[order]] = term[order]
         rank = np.lexsort((ids, labels, top))
-        place = np.empty(len(ids), dtype=np.int64)
-        place[rank] = np.arange(len(ids))
+        place = np.empty(len(ids), dtype=np.int32)
+        place[rank] = np.arange(len(ids), dtype=np.int32)
         self.ids, self.labels, self.weights = ids[rank], labels[rank], weights[rank]
         ex = place[ex]
         order = np.lexsort((ex, term))
-        self.example, self.weight = ex[order].astype(np.int32), w[order]
-        n_blocks = max(1, -(-len(ids) // INDEX_BLOCK))
-        cell = term[order].astype(np.int64) * n_blocks + self.example // INDEX_BLOCK
-        self.most = Greatest(cell, self.weight, (len(vocab), n_blocks))
-        self.start = Starts(self.most)
-
-    def weigh(self, term: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (1 + np.log(n)) * self.idf[term]
-
-    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of the vocabulary and unit weights."""
-        if not len(self.vocab) or not len(hashes):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        at = np.searchsorted(self.vocab, hashes)
-        at[at == len(self.vocab)] = 0
-        hit = self.vocab[at] == hashes
-        w = self.weigh(at[hit], counts[hit])
-        return at[hit], w / np.sqrt((w * w).sum()) if len(w) else w
-
-    def square(self, hashes: np.ndarray, counts: np.ndarray) -> float:
-        """Squared weights of the terms of the vocabulary."""
-        at = np.searchsorted(self.vocab, hashes)
-        at[at == len(self.vocab)] = 0
-        hit = self.vocab[at] == hashes
-        w = self.weigh(at[hit], counts[hit])
-        return float((w * w).sum())
-
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, best first; those at cosine 0 are none."""
-        most, n_blocks = self.most, self.most.shape[1]
-        cells, n = most.of(terms)
-        block, own = most.block[cells], np.repeat(w, n)
-        bound = np.bincount(block, own * most.weight[cells], minlength=n_blocks)
-        blocks = np.argsort(-bound, kind="stable")
-        blocks = blocks[bound[blocks] > 0]
-        best_i, best_s = np.zeros(0, dtype=np.int64), np.zeros(0)
-        at, take = 0, 2
-        while at < len(blocks):
-            if len(best_s) == k:
-                over = bound[blocks[at]] - best_s[-1]
-                # equal cosines go by place, and later blocks of the same bound hold later places only
-                if over < -1e-12 or (over < 1e-12 and blocks[at] * INDEX_BLOCK > best_i[-1]):
-                    break
-            here = blocks[at : at + take]
-            at, take = at + take, 4 * take
-            now = np.zeros(n_blocks, dtype=bool)
-            now[here] = True
-            now = now[block]
-            lo = most.lo[cells[now]]
-            size = most.lo[cells[now] + 1] - lo
-            pos = spans(lo, size)
-            score = np.bincount(self.example[pos], self.weight[pos] * np.repeat(own[now], size), minlength=len(self.ids))
-            found = np.flatnonzero(score)
-            score = score[found]
-            best_i, best_s = np.concatenate([best_i, found]), np.concatenate([best_s, score])
-            order = np.lexsort((best_i, -best_s))[:k]
-            best_i, best_s = best_i[order], best_s[order]
-        return best_i, best_s
+        self.term, self.example, self.weight = term[order].astype(np.int32), ex[order], w[order]
+        self.n_blocks = max(1, -(-len(ids) // INDEX_BLOCK))
+        self.ready = False
+
+    def _unfold(self) -> None:
+        """What follows from the entries; it does not travel with the index."""
+        self.lists = np.searchsorted(self.term, np.arange(len(self.vocab) + 1))
+        self.at = self.example.astype(np.int64)
+        length = np.bincount(self.term, minlength=len(self.vocab))
+        long = np.sort(np.argsort(-length, kind="stable")[:DENSE])
+        self.column = np.full(len(self.vocab), -1)
+        self.column[long] = np.arange(len(long))
+        mine = self.column[self.term]
+        #: one row per example
+        self.dense = np.zeros((self.n_blocks * INDEX_BLOCK, len(long)))
+        self.dense[self.at[mine >= 0], mine[mine >= 0]] = self.weight[mine >= 0]
+        by_block = self.dense.reshape(self.n_blocks, INDEX_BLOCK, len(long))
+        self.dense_most = by_block.max(axis=1).T
+        self.single = np.ascontiguousarray(by_block.transpose(0, 2, 1), dtype=np.float32)
+        self.term = self.example = None
+        self.ready = True
+
+    def vectors(self, doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, unit weight) of entries in the vocabulary, and the squared length of each of n documents before."""
+        term = lookup(self.vocab, hashes)
+        doc, counts, term = doc[term >= 0], counts[term >= 0], term[term >= 0]
+        w = (1 + np.log(counts)) * self.idf[term]
+        square = np.bincount(doc, w * w, minlength=n)
+        return doc, term, w / np.sqrt(square)[doc], square
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of the k nearest examples of each of n documents, best first; those at cosine 0 are none."""
+        if not self.ready:
+            self._unfold()
+        n_blocks, width = self.n_blocks, self.n_blocks * INDEX_BLOCK
+        col = self.column[term]
+        head = np.zeros((n, self.dense.shape[1]))
+        head[doc[col >= 0], col[col >= 0]] = w[col >= 0]
+        doc, term, w = doc[col < 0], term[col < 0], w[col < 0]
+        size = self.lists[term + 1] - self.lists[term]
+        pos = spans(self.lists[term], size)
+        to = np.repeat(doc * width, size)
+        to += self.at[pos]
+        rare = np.bincount(to, np.repeat(w, size) * self.weight[pos], minlength=n * width).reshape(n, width)
+        bound = head @ self.dense_most + rare.reshape(n, n_blocks, INDEX_BLOCK).max(axis=2)
+        common, left, head_single = np.zeros((n, width), dtype=np.float32), bound > 0, head.astype(np.float32)
+
+        def evaluate(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows = np.flatnonzero(wanted[:, b])
+                common[rows, b * INDEX_BLOCK : (b + 1) * INDEX_BLOCK] = head_single[rows] @ self.single[b]
+
+        first = np.zeros_like(left)
+        most = min(n_blocks, -(-3 * k // INDEX_BLOCK))
+        np.put_along_axis(first, np.argpartition(-bound, most - 1, axis=1)[:, :most], True, axis=1)
+        first &= left
+        evaluate(first)
+        kth = lambda total: np.partition(total, width - k, axis=1)[:, width - k] if k < width else np.zeros(n)
+        single = rare.astype(np.float32)
+        least = kth(common + single) - SLACK
+        evaluate(left & ~first & (bound >= least[:, None]))
+        total = common + single
+        least = np.maximum(kth(total) - SLACK, 0)
+        out = []
+        for i in range(n):
+            found = np.flatnonzero((total[i] >= least[i]) & (total[i] > 0))
+            exact = np.round(rare[i, found] + self.dense[found] @ head[i], 12)
+            best = np.lexsort((self.ids[found], -exact))[:k]
+            out.append((found[best], exact[best]))
+        return out
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         say = cosine * cosine * self.weights[near]
@@ -274,52 +263,62 @@ def monotone_fit(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
 
 
 class Model:
-    def __init__(self, index: BlockMaxIndex | None, ids: list | None = None, entries=None, k: int = K, none: float = 0.0):
+    """Votes of the nearest examples, turned into probabilities by rising knots."""
+
+    def __init__(self, index: BlockMaxIndex | None, k: int = K, none: float = 0.0):
         self.index, self.k, self.none = index, k, none
         self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        if index is None:
-            return
-        # votes without the example's own
-        votes, truth, weight = [], [], []
-        ex, term, n = entries
-        order = np.lexsort((term, ex))
-        cuts = np.searchsorted(ex[order], np.arange(len(index.ids) + 1))
-        by_id = {i: p for p, i in enumerate(index.ids.tolist())}
-        empty = []
-        for i, own_id in enumerate(ids):
-            sel = order[cuts[i] : cuts[i + 1]]
-            me = by_id[own_id]
-            if not len(sel):
-                empty.append(me)
-                continue
-            w = index.weigh(term[sel], n[sel])
-            near, cosine = index.nearest(term[sel], w / np.sqrt((w * w).sum()), k + 1)
-            keep = near != me
-            near, cosine = near[keep][:k], cosine[keep][:k]
-            if len(near):
-                votes.append(index.vote(near, cosine))
-                truth.append(index.labels[me])
-                weight.append(index.weights[me])
-            else:
-                empty.append(me)
-        prior = (index.labels * index.weights).sum() / index.weights.sum()
-        own = index.weights[empty]
-        self.none = float(((index.labels[empty] * own).sum() + prior) / (own.sum() + 1))
-        if votes:
-            self.knots = monotone_fit(np.array(votes), np.array(truth, dtype=float), np.array(weight))
-
-    def score(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
-        """Probability, and the nearest examples as (id, label, cosine over the vocabulary)."""
-        if self.index is None:
-            return self.none, []
-        terms, w = self.index.vector(hashes, counts)
-        if not len(terms):
-            return self.none, []
-        near, cosine = self.index.nearest(terms, w, self.k)
-        if not len(near):
-            return self.none, []
-        p = float(np.interp(self.index.vote(near, cosine), *self.knots))
-        return p, list(zip(self.index.ids[near[:3]].tolist(), self.index.labels[near[:3]].tolist(), cosine[:3].tolist(), strict=True))
+
+    def calibrate(self, votes: dict[int, float | None]) -> None:
+        """``votes``: each example's vote without itself, None if it has no neighbour."""
+        ix = self.index
+        vote = np.array([np.nan if votes.get(i) is None else votes[i] for i in ix.ids.tolist()])
+        some = ~np.isnan(vote)
+        prior = (ix.labels * ix.weights).sum() / ix.weights.sum()
+        own = ix.weights[~some]
+        self.none = float(((ix.labels[~some] * own).sum() + prior) / (own.sum() + 1))
+        if some.any():
+            self.knots = monotone_fit(vote[some], ix.labels[some].astype(float), ix.weights[some])
+
+    def search(self, texts: pa.Array, terms: Terms, k: int):
+        """(row, places, cosines in the vocabulary, squared length there) of each text with a neighbour."""
+        for row, to, doc, hashes, counts in _doc_terms(texts, terms):
+            doc, term, w, square = self.index.vectors(doc, hashes, counts, to - row)
+            for lo in range(0, to - row, BATCH):
+                a, b = np.searchsorted(doc, (lo, lo + BATCH))
+                size = min(BATCH, to - row - lo)
+                for i, (near, cosine) in enumerate(self.index.nearest(doc[a:b] - lo, term[a:b], w[a:b], size, k)):
+                    if len(near):
+                        yield row + lo + i, near, cosine, float(square[lo + i])
+
+
+def _own_votes(examples: DataFrame, model: Model) -> dict[int, float | None]:
+    """The vote of each example's neighbours, without itself."""
+    terms = Terms()
+
+    def run(batches_in):
+        for b in batches_in:
+            ids, votes = b.column(0).to_numpy(), np.full(b.num_rows, np.nan)
+            for row, near, cosine, _ in model.search(b.column(1), terms, model.k + 1):
+                keep = model.index.ids[near] != ids[row]
+                near, cosine = near[keep][: model.k], cosine[keep][: model.k]
+                if len(near):
+                    votes[row] = model.index.vote(near, cosine)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, mask=np.isnan(votes))], names=["doc_id", "vote"])
+
+    rows = examples.select("doc_id", "text").mapInArrow(run, "doc_id long, vote double").collect()  # bounded by the sample
+    return {r[0]: r[1] for r in rows}
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = EXAMPLES) -> Model:
+    """Learns from (doc_id, text) and (doc_id, label). Ids serve to find an example's text only."""
+    chosen = sample_examples(labels, label_col, most)
+    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # 2 * most ids at most: a bounded broadcast
+    texts = keyed.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    examples = cut(texts)
+    rows = examples.select("doc_id", "text").mapInArrow(run, "doc_id long, vote double").collect()  # bounded by the sample
+    return {r[0]: r[1] for r in rows}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = EXAMPLES) -> Model:
@@ -346,7 +345,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int
     index = BlockMaxIndex(
         vocab, df, n_docs, ids, np.array([r["label"] for r in rows]), np.array([r["weight"] for r in rows], dtype=float), entries
     )
-    return Model(index, ids.tolist(), entries)
+    model = Model(index)
+    model.calibrate(_own_votes(examples, model))
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -357,16 +358,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shape = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("inner", pa.float64()), ("score", pa.float64()), ("evidence", evidence)])
 
     def run(batches_in):
+        ix = model.index
         for b in batches_in:
-            scores, inner, why = [], [], []
-            for _, own, n in _doc_terms(b.column(2), terms):
-                p, near = model.score(own, n)
-                scores.append(p)
-                inner.append(model.index.square(own, n) if near else 0.0)
-                why.append([{"doc_id": i, "label": y, "cosine": c} for i, y, c in near])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(inner, type=pa.float64()), pa.array(scores, type=pa.float64()), pa.array(why, type=evidence)], schema=shape
-            )
+            scores, inner, why = np.full(b.num_rows, model.none), np.zeros(b.num_rows), [[]] * b.num_rows
+            for row, near, cosine, square in model.search(b.column(2), terms, model.k) if ix else ():
+                scores[row] = np.interp(ix.vote(near, cosine), *model.knots)
+                inner[row] = square
+                best = zip(ix.ids[near[:3]].tolist(), ix.labels[near[:3]].tolist(), cosine[:3].tolist(), strict=True)
+                why[row] = [{"doc_id": i, "label": y, "cosine": c} for i, y, c in best]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(inner), pa.array(scores), pa.array(why, type=evidence)], schema=shape)
 
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("key"), "text")
