@@ -186,9 +186,9 @@ class FingerprintIndex:
         batch = scratch(self.spark)
         prints = stored(prints, batch)
         run = self._write(prints)
-        old = cut(self.known(run))
+        old = spread(self.known(run))
         self.runs.append(run)
-        twice = self.table(run).filter("n > 1").select("fp").unionByName(old.select("fp")).distinct()
+        twice = self.table(run).filter("n > 1").select("fp").unionByName(old.select("fp"))
         hits = prints.select("fp", "key").join(twice, "fp", "left_semi").unionByName(old.filter("n = 1").select("fp", "key"))
         hits = cut(hits)
         discard(self.spark, batch)
@@ -198,9 +198,8 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         if len(self.runs) > 1:
-            rows = self.table(self.runs[0])
-            for r in self.runs[1:]:
-                rows = rows.unionByName(self.table(r))
+            # as files: Spark takes a union of bucketed tables to be dealt by their key, which it is not
+            rows = self.spark.read.schema("fp long, n int, key long").parquet(*(f"{self.path}/{r}" for r in self.runs))
             old, self.runs = self.runs, [self._write(rows)]
             for r in old:
                 self._drop(r)
@@ -302,10 +301,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, n_batches: int = 4, wi
     index = FingerprintIndex(spark)
     in_batch = F.pmod(F.xxhash64("doc_id"), F.lit(n_batches))
     hits = None
-    for i in range(n_batches):
-        new = index.add(fingerprints(docs.filter(in_batch == i), window))
-        hits = new if hits is None else hits.unionByName(new)
-    index.drop()
+    try:
+        for i in range(n_batches):
+            new = index.add(fingerprints(docs.filter(in_batch == i), window))
+            hits = new if hits is None else hits.unionByName(new)
+    finally:
+        index.drop()
     return remove_verified(docs, hits, window, with_text)
 
 
