@@ -1,14 +1,18 @@
 """The operators against SQL, brute force and hand-made cases."""
 
+import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cargolens.llm import automaton, licenses, lm_scoring, minhash, mixing, packing, quality, queries, secrets, substrings, topk, toxicity
+from cargolens.llm import automaton, licenses, lm_scoring, minhash, mixing, packing, quality, queries, secrets, substrings, topk, toxicity, wordhash
 
 from ..oracle import DATA, same
 
@@ -36,12 +40,154 @@ def test_odd_rows_and_empty_tables(odd, op):
     assert op(odd.limit(0)).count() == 0
 
 
-def test_learned_operators_on_odd_rows(spark, odd):
-    labels = spark.createDataFrame([(4, 1, 1), (7, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+@pytest.fixture(scope="module")
+def few_labels(spark):
+    return spark.createDataFrame([(4, 1, 1), (7, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("op", [toxicity.op1, lm_scoring.op7], ids=lambda f: f.__name__)
+def test_learned_operators_on_odd_rows(odd, few_labels, op):
+    assert op(odd, few_labels).count() == len(ROWS)
+    assert op(odd.limit(0), few_labels).count() == 0
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def by_id(df, *columns):
+    """The values of these columns by id; repeated rows must agree."""
+    out = {}
+    for r in df.collect():
+        values = tuple(r[c] for c in columns)
+        assert out.setdefault(r["doc_id"], values) == values
+    return out
+
+
+def test_packing_values_on_odd_rows(odd):
+    none = zlib.crc32((1).to_bytes(4, "little"))
+    got = by_id(packing.op2(odd), "start", "doc_tokens", "ids_crc32")
+    assert got[1] == got[2] == (0, 1, none) and got[4][1] > 1 and got.keys() == {i for i, _ in ROWS}
+
+
+def test_substring_values_on_odd_rows(odd):
+    got = by_id(substrings.op5(odd), "n_words", "n_removed", "kept_sha256")
+    assert got[1] == got[2] == got[3] == (0, 0, sha("")) and got[4] == (2, 0, sha("one two")) and got[6] == (400, 400, sha(""))
+    assert got[None] == (6, 0, sha("one two three four five six"))
+
+
+def test_near_duplicate_values_on_odd_rows(odd):
+    got = by_id(minhash.op9(odd), "n_shingles", "component_id", "kept")
+    assert got[1] == (0, 1, True) and got[3] == (0, 3, True) and got[4] == (1, 4, True) and got[None] == (2, None, True) and got[6] == (1, 6, True)
+
+
+def test_scan_and_mix_values_on_odd_rows(odd):
+    got = by_id(licenses.op10(odd), "n_words", "n_base", "first_word", "last_word", "base_labels", "score")
+    assert got[1] == got[3] == (0, 0, None, None, "", 0.0) and got[7][:5] == (8, 3, 0, 5, "cc-by,gpl,reserved") and got[7][5] > 0
+    got = by_id(secrets.op8(odd), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    text = dict(ROWS)[5]
+    spans = [(m.start(), "assign", m.end()) for m in re.finditer("token = 'abcdefgh12", text)] + [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text)]
+    assert got[1] == got[2] == (0, 0, 0, sha(""), "") and got[5][:4] == (1, 1, 0, sha(",".join(f"{k}:{a}:{b}" for a, k, b in spans)))
+    rows = mixing.op3(odd).collect()
+    assert sorted(r["mix_order"] for r in rows) == list(range(len(ROWS))) and {r["block"] for r in rows} == {0}
+
+
+def test_toxicity_values_on_odd_rows(odd, few_labels):
+    got = by_id(toxicity.op1(odd, few_labels), "held_out", "score", "predicted")
+    assert got[1][1] == got[2][1] == got[3][1] == got[6][1] and not got[None][0] and all(0 <= v[1] <= 1 and v[2] == (v[1] >= 0.5) for v in got.values())
+    got = by_id(toxicity.op1(odd, few_labels.limit(0)), "score", "predicted", "evidence")
+    assert set(got.values()) == {(0.0, 0, "")}
+
+
+def test_lm_values_on_odd_rows(odd, few_labels):
+    got = by_id(lm_scoring.op7(odd, few_labels), "n_tokens", "target_loss", "score")
+    assert got[1] == got[2] == got[3] == (0, None, 0.0) and got[4][0] == 2 and got[4][2] < 0 < got[6][2]
+    assert {v[0] for v in by_id(lm_scoring.op7(odd, few_labels.limit(0)), "score").values()} == {0.0}
+
+
+LONG_WORDS = [f"w{random.Random(i).randrange(10**6)}" for i in range(90_000)]
+LONG, ONE = " ".join(LONG_WORDS), "x" * 600_000
+N_WORDS = {1: 90_000, 2: 90_001, 3: 1, 4: 3}
+
+
+@pytest.fixture(scope="module")
+def very_long(spark):
+    assert len(LONG) > wordhash.CHUNK and len(ONE) > wordhash.CHUNK
+    return spark.createDataFrame([(1, LONG, "s"), (2, LONG + " end", "s"), (3, ONE, None), (4, f"a {ONE} b", "t")], "doc_id long, text string, source string")
+
+
+def test_native_scans_of_very_long_texts(very_long):
+    assert {k: v[0] for k, v in by_id(quality.op4(very_long), "n_words").items()} == N_WORDS
+    assert {k: v[0] for k, v in by_id(licenses.op10(very_long), "n_words").items()} == N_WORDS
+    secret = very_long.withColumn("text", F.concat(F.col("text"), F.lit(" password=abcdef1")))
+    assert {v[0] for v in by_id(secrets.op8(secret), "n_assign").values()} == {1}
+
+
+def test_repeats_in_very_long_texts(very_long):
+    got = by_id(substrings.op5(very_long), "n_words", "n_removed", "kept_sha256")
+    assert {k: v[0] for k, v in got.items()} == N_WORDS
+    assert got[1][1:] == (90_000, sha("")) and got[2][1:] == (90_000, sha("end")) and got[3][1:] == (0, sha(ONE)) and got[4][1:] == (0, sha(f"a {ONE} b"))
+    shingles = len({" ".join(LONG_WORDS[i : i + 5]) for i in range(89_996)})
+    got = by_id(minhash.op9(very_long), "n_shingles", "component_id")
+    assert got[1] == (shingles, 1) and got[2] == (shingles + 1, 1) and got[3] == (1, 3) and got[4] == (1, 4)
+
+
+def test_models_of_very_long_texts(spark, very_long):
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {k: v[0] for k, v in by_id(lm_scoring.op7(very_long, labels), "n_tokens").items()} == N_WORDS
+    assert len(by_id(toxicity.op1(very_long, labels), "score")) == 4
+
+
+def test_order_and_packing_of_very_long_texts(very_long):
+    sums = packing.op2(very_long).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"), F.max("length").alias("most")).collect()
+    assert all(r["n"] == r["all"] and r["most"] <= 2048 for r in sums) and len(sums) == 4
+    assert mixing.op3(very_long).count() == 4
+
+
+def test_a_cut_between_words_changes_no_hash(monkeypatch):
+    w, data = wordhash.Words(fold=True), np.frombuffer(LONG[:5000].encode() + ONE[:900].encode() + b" tail", dtype=np.uint8)
+    whole = w.of(data, np.array([0, len(data)]))[0]
+    monkeypatch.setattr(wordhash, "CHUNK", 100)
+    assert (w.of(data, np.array([0, len(data)]))[0] == whole).all()
+
+
+NAMES = ["_gone", "_again", "node", "kept", "slot", "_source", "_row", "_file", "_class", "sequence_id", "length", "n", "spans", "key", "SHINGLES"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    columns = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES)
+    return spark.createDataFrame([(i, f"{words} password: abc{i}defgh", "en", "ab"[i % 2], 9, *NAMES) for i in range(6)], columns)
+
+
+STAGE_LIKE = {
+    "deduplicate": (minhash.deduplicate, 1), "redact": (secrets.redact, 6), "mixed": (lambda d: mixing.mixed(d, {"a": 2, "b": 1}), 6), "filter_docs": (quality.filter_docs, 0),
+}
+
+
+@pytest.mark.parametrize("name", STAGE_LIKE)
+def test_stages_keep_clashing_columns(clashing, name):
+    stage, n = STAGE_LIKE[name]
+    out = stage(clashing)
+    assert out.columns == clashing.columns
+    rows = out.collect()
+    assert len(rows) == n and all(r[x] == x for r in rows for x in NAMES)
+
+
+@pytest.mark.parametrize("op", OPS, ids=lambda f: f.__name__)
+def test_queries_on_clashing_columns(clashing, op):
+    assert op(clashing).count() == 6
+
+
+def test_learned_and_ordered_operators_on_clashing_columns(spark, clashing, tmp_path):
+    labels = spark.createDataFrame([(0, 1, 1, "x"), (1, 0, 0, "y")], "doc_id long, quality int, toxic int, text string")
     for op in (toxicity.op1, lm_scoring.op7):
-        assert op(odd, labels).count() == len(ROWS)
-        assert op(odd, labels.limit(0)).count() == len(ROWS)
-        assert op(odd.limit(0), labels).count() == 0
+        assert op(clashing, labels).count() == 6
+    clashing.write.parquet(str(tmp_path / "d"))
+    assert packing.pack_in_order(spark.read.parquet(str(tmp_path / "d")), packing.vocabulary()).count() == 6
+    vectors = spark.createDataFrame([(i, [float(i), 1.0], "x", "y", "z") for i in range(60)], "vec_id long, embedding array<float>, rank string, score string, query_id string")
+    assert topk.op6(vectors).count() == 10
 
 
 def test_quality_verdicts(odd):
@@ -88,7 +234,7 @@ def by_hand(rows, per_cent):
 @pytest.mark.parametrize("per_cent", [80, 85])
 def test_near_duplicates_in_small_blocks(spark, monkeypatch, per_cent):
     monkeypatch.setattr(minhash, "BLOCK", 6)
-    monkeypatch.setattr(minhash, "HUBS", 2)
+    monkeypatch.setattr(minhash, "SLOT_BLOCKS", 4)
     rows = family(5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted([tuple(r)[:3] for r in minhash.near_duplicates(df, per_cent).collect()], key=repr)
@@ -138,6 +284,24 @@ def test_license_rules_hold_their_keywords_and_gates(spark):
     assert row["license_spans"] == "gpl-2.0:0:6,mit:6:10,all-rights-reserved:14:17" and (row["n_base"], row["first_word"], row["last_word"]) == (3, 10, 14)
 
 
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, w, i - 1 AS place, CASE WHEN w[i:i + 1] = ['cc', 'by'] THEN 'cc-by' WHEN w[i:i + 2] = ['general', 'public', 'license'] THEN 'gpl' WHEN w[i:i + 2] = ['all', 'rights', 'reserved'] THEN 'reserved' END AS label
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+b AS (SELECT doc_id, count(*) AS n, min(place) AS f, max(place) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, f AS first_word, l AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN b ON b.doc_id = d.doc_id
+"""
+
+
+def test_license_base_against_sql(spark):
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    for folder in (DATA, "/root/testdata/sf0.01"):
+        same(licenses.op10(spark.read.parquet(f"{folder}/documents.parquet")).select(columns), BASE_SQL, folder)
+    texts = ["CC BY\u212a cc by cc BY", "general public l\u0130cense", "\u0130 All-Rights\tReserved \u212a", "é CC\x00by", None]
+    got = licenses.op10(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(columns)
+    assert sorted(map(tuple, got.collect())) == [(0, 6, 2, 2, 4, "cc-by"), (1, 3, 0, None, None, ""), (2, 5, 1, 1, 1, "reserved"), (3, 3, 1, 1, 1, "cc-by"), (4, 0, 0, None, None, "")]
+
+
 def test_license_spans_by_regex(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = {r["doc_id"]: (r["n_words"], r["license_spans"]) for r in licenses.op10(docs).collect()}
@@ -183,11 +347,43 @@ def test_column_generation_covers_demand():
     rng = np.random.default_rng(0)
     for n in (0, 1, 50, 20000):
         demand = np.bincount(rng.integers(0, 128, n), minlength=128)
-        plan = packing.solve(demand, 128)
-        units = np.arange(1, 129)
+        solved, units = packing.solve(demand, 128), np.arange(1, 129)
+        plan = solved.patterns
         assert (sum((p * t for p, t in plan), np.zeros(128, dtype=int)) == demand).all() and all((p * units).sum() <= 128 for p, _ in plan)
         if n > 1000:
-            assert sum(t for _, t in plan) < 1.02 * (demand * units).sum() / 128 + 2
+            assert sum(t for _, t in plan) < 1.02 * (demand * units).sum() / 128 + 2 and 0 <= solved.gap < 0.01
+        assert solved.bound <= sum(t for _, t in plan)
+
+
+def test_the_bound_is_below_the_best_packing():
+    def fewest(items, room=12):
+        best = len(items)
+
+        def go(rest, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if not rest:
+                best = len(bins)
+                return
+            for i in range(len(bins)):
+                if bins[i] >= rest[0]:
+                    go(rest[1:], bins[:i] + [bins[i] - rest[0]] + bins[i + 1 :])
+            go(rest[1:], [*bins, room - rest[0]])
+
+        go(sorted(items, reverse=True), [])
+        return best
+
+    rng = random.Random(5)
+    for _ in range(25):
+        items = [rng.randint(1, 12) for _ in range(rng.randint(1, 9))]
+        solved = packing.solve(np.bincount(np.array(items) - 1, minlength=12), 12)
+        assert solved.bound <= fewest(items) + 1e-9 <= sum(n for _, n in solved.patterns) + 1e-9
+
+
+def test_packing_of_rows_from_no_file(spark):
+    out = packing.pack_in_order(spark.createDataFrame([(1, "one two"), (2, None), (1, "one two")], "doc_id long, text string"), packing.vocabulary())
+    assert sorted((r["doc_id"], r["length"]) for r in out.collect()) == [(1, 3), (1, 3), (2, 1)]
 
 
 def test_pfair_lag_is_less_than_a_block():
@@ -212,6 +408,49 @@ def test_mix_keeps_all_rows_in_weight(spark):
     assert (first.count("a"), first.count("b"), first.count("c")) == (80, 40, 40)
 
 
+def earliest_deadline_first(blocks, weights):
+    """The source of each slot, one slot at a time, with exact weights; a new phase begins when a source has run out."""
+    left, order = dict(blocks), []
+    while left:
+        total = sum(weights[s] for s in left)
+        w, start, done = {s: weights[s] / total for s in left}, len(order), dict.fromkeys(left, 0)
+        while True:
+            t = len(order) - start
+            ready = [s for s in left if left[s] and done[s] / w[s] < t + 1]  # block done + 1 is released at floor(done / w)
+            s = min(ready, key=lambda s: (math.ceil((done[s] + 1) / w[s]), -w[s], s))
+            order.append(s)
+            done[s] += 1
+            left[s] -= 1
+            assert all(abs(done[x] - w[x] * (t + 1)) < 1 for x in w)
+            if not left[s]:
+                del left[s]
+                break
+    return order
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.0007, "b": 0.4996, "c": 0.4997}, {"a": 0.123456, "b": 0.876544, "c": 0.1}, {"a": 1 / 3, "b": 2 / 7, "c": 8 / 21}, {}])
+def test_mix_is_earliest_deadline_first(spark, weights):
+    counts = {"a": 37, "b": 900, "c": 611, "": 150}
+    rows = [(i, s or None) for s, n in counts.items() for i in range(n)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {s: w for s, w in weights.items()} or None, block=2).collect()
+    least = min(weights.values(), default=1)
+    exact = {s: Fraction(weights.get(s, least)).limit_denominator(10**6) for s in counts}
+    want = earliest_deadline_first({s: -(-n // 2) for s, n in counts.items()}, exact)
+    slots = {r["slot"]: r["source"] or "" for r in got}
+    assert [slots[t] for t in range(len(want))] == want and len(got) == len(rows)
+    for s, n in counts.items():
+        own = sorted((r["mix_order"], r["block"]) for r in got if (r["source"] or "") == s)
+        assert [b for _, b in own] == [k // 2 for k in range(n)]
+
+
+def test_weights_without_a_common_period_are_an_error():
+    assert mixing.quotas([0.0007, 0.4996, 0.4997]) == [7, 4996, 4997] and mixing.quotas([1 / 3, 0.5]) == [2, 3]
+    with pytest.raises(ValueError, match="period"):
+        mixing.plan({"a": 5, "b": 5}, {"a": 3.141592653589793, "b": 2.718281828459045})
+    with pytest.raises(ValueError, match="positive"):
+        mixing.plan({"a": 5}, {"a": 0})
+
+
 def test_top_k_reads_until_sure():
     rng = np.random.default_rng(2)
     x, q = rng.integers(-90, 90, (700, 16)), rng.integers(-90, 90, (40, 16))
@@ -231,13 +470,42 @@ def test_top_k_odd_vectors(spark):
     assert topk.op6(df.limit(0)).count() == 0
 
 
-def test_index_compacts_runs(spark):
+def test_fingerprint_runs_are_joined_and_compacted(spark):
     index = substrings.FingerprintIndex(spark, fanout=2)
+    hits = []
     for i in range(4):
-        index.add(spark.createDataFrame([(i, 1), (7, 1), (i + 100, 2)], "fp long, n int"))
-    assert len(index.runs) <= 2
-    assert sorted(r["fp"] for r in index.repeated().collect()) == [7, 100, 101, 102, 103]
-    assert index.known(spark.createDataFrame([(0, 1), (55, 1)], "fp long, n int")).count() == 1
+        batch = [(i, i, 1), (7, i, 1), (i + 100, i, 2), (i // 2 + 50, i, 1)]
+        new = index.add(spark.createDataFrame(batch, "fp long, key long, n int"))
+        hits.append(sorted(map(tuple, new.select("fp", "key").collect())))
+        assert len(index.runs) <= 2
+    assert hits == [[(100, 0)], [(7, 0), (7, 1), (50, 0), (50, 1), (101, 1)], [(7, 0), (7, 1), (7, 2), (102, 2)], [(7, 3), (51, 2), (51, 3), (103, 3)]]
+    # another index goes on with the same runs
+    again = substrings.FingerprintIndex(spark, index.path, index.runs)
+    assert sorted(map(tuple, again.add(spark.createDataFrame([(0, 9, 1), (7, 9, 1), (200, 9, 1)], "fp long, key long, n int")).collect())) == [(0, 0), (0, 9), (7, 3), (7, 9)]
+    rows = {r["fp"]: (r["n"], r["key"]) for run in again.runs for r in again.table(run).collect()}
+    assert rows[7] == (2, None) and rows[3] == (1, 3) and rows[100] == (2, None)
+    again.drop()
+
+
+def test_batches_one_by_one_equal_the_whole(spark):
+    rng = random.Random(9)
+    passages = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(60)) for _ in range(4)]
+    own = lambda: " ".join(f"u{rng.random()}" for _ in range(rng.randrange(90)))
+    rows = [(i, " ".join([own(), *([rng.choice(passages)[rng.randrange(30) :]] if rng.random() < 0.5 else []), own()])) for i in range(60)]
+    rows += [(60, rows[3][1]), (60, rows[3][1]), (61, None), (62, ""), (None, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = Counter(tuple(w[i : i + 35]) for _, t in rows for w in [(t or "").split()] for i in range(len(w) - 34))
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {j for k in range(len(w) - 34) if n[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)}
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    index, hits = substrings.FingerprintIndex(spark), []
+    for part in range(3):
+        hits.append(index.add(substrings.fingerprints(docs.filter(F.coalesce("doc_id", F.lit(0)) % 3 == part))))
+    both = hits[0].unionByName(hits[1]).unionByName(hits[2])
+    for got in (substrings.remove_verified(docs, both), substrings.remove_repeats(docs, n_batches=1), substrings.op5(docs)):
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -257,7 +525,9 @@ def test_quality_lm_on_held_out_rows(spark):
     assert (rank[x.quality == 1].sum() - good * (good + 1) / 2) / (good * (len(x) - good)) > 0.75
 
 
-def test_block_max_index_is_exact():
+@pytest.mark.parametrize("dense", [0, 7, 100])
+def test_block_max_index_is_exact(monkeypatch, dense):
+    monkeypatch.setattr(toxicity, "DENSE", dense)
     rng = np.random.default_rng(0)
     n, terms = 600, 30
     dense = np.where(rng.random((n, terms)) < 0.08, rng.integers(1, 4, (n, terms)), 0)
@@ -266,23 +536,19 @@ def test_block_max_index_is_exact():
     vocab = np.sort(rng.integers(1, 1 << 60, terms).astype(np.uint64))
     index = toxicity.BlockMaxIndex(vocab, rng.integers(1, 50, terms), 1000, np.arange(n), rng.integers(0, 2, n), np.ones(n), entries)
     full = np.zeros((n, terms))
-    n_blocks = index.most.shape[1]
-    for t in range(terms):
-        own = slice(index.start[t * n_blocks], index.start[(t + 1) * n_blocks])
-        full[index.example[own], t] = index.weight[own]
-    for _ in range(200):
-        at = np.unique(rng.integers(0, terms, rng.integers(1, 6)))
-        w = rng.random(len(at))
-        w /= np.sqrt((w * w).sum())
-        score = full[:, at] @ w
-        want = np.lexsort((np.arange(n), -np.round(score, 12)))[:20]
-        near, cosine = index.nearest(at, w, 20)
-        assert np.allclose(cosine, score[want][score[want] > 0][: len(cosine)])
+    full[index.example, index.term] = index.weight  # before the first search unfolds them
+    docs = [np.unique(rng.integers(0, terms, rng.integers(0, 6))) for _ in range(200)]
+    weights = [rng.random(len(d)) for d in docs]
+    weights = [w / np.sqrt((w * w).sum()) if len(w) else w for w in weights]
+    doc = np.repeat(np.arange(200), [len(d) for d in docs])
+    got = index.nearest(doc, np.concatenate(docs), np.concatenate(weights), 200, 20)
+    for (near, cosine), at, w in zip(got, docs, weights, strict=True):
+        score = np.round(full[:, at] @ w, 12)
+        want = [i for i in np.lexsort((index.ids, -score))[:20] if score[i] > 0]
+        assert index.ids[near].tolist() == index.ids[want].tolist() and np.allclose(cosine, score[want])
 
 
 def test_lm_counts_are_exact_in_a_large_vocabulary(spark):
-    from collections import Counter
-
     rng = random.Random(4)
     texts = [" ".join(f"w{rng.randrange(60000)}" if rng.random() < 0.8 else f"c{rng.randrange(9)}" for _ in range(250)) for _ in range(300)]
     rows = [*enumerate(texts), (0, texts[0]), (None, texts[1]), (900, ""), (901, None)]
@@ -328,8 +594,21 @@ def test_toxicity_uses_every_term(spark):
     df = {w: sum(w in c for c in count.values()) for c in count.values() for w in c}
     vec = {i: {w: (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in c.items()} for i, c in count.items()}
     norm = {i: np.sqrt(sum(x * x for x in v.values())) for i, v in vec.items()}
+    cos = lambda i, j: sum(x * vec[j].get(w, 0) for w, x in vec[i].items()) / norm[i] / norm[j]
+    learned = [i for i in range(240) if zlib.crc32(str(i).encode()) % 5]
+
+    def near(i, k, but=None):
+        return sorted(((-round(c, 11), j) for j in learned if j != but and (c := cos(i, j)) > 0))[:k]
+
+    def vote(found):
+        return sum(c * c * (j % 2) for c, j in found) / sum(c * c for c, _ in found)
+
+    own = [vote(near(i, toxicity.K, i)) for i in learned]
+    knots = toxicity.monotone_fit(np.array(own), np.array([float(i % 2) for i in learned]), np.ones(len(learned)))
     for i, r in got.items():
-        assert r["evidence"]
+        found = near(i, toxicity.K)
+        assert abs(r["score"] - np.interp(vote(found), *knots)) < 1e-6
+        assert [e["doc_id"] for e in r["evidence"]] == [j for _, j in found[:3]]
         for e in r["evidence"]:
             j = e["doc_id"]
             assert abs(e["cosine"] - sum(x * vec[j].get(w, 0) for w, x in vec[i].items()) / norm[i] / norm[j]) < 1e-9
