@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,3 +52,15 @@ def discard(spark: SparkSession, path: str) -> None:
     """Deletes a table that nothing will read again."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Between two large steps: has the driver drop the shuffle files of plans that nothing holds any more.
+
+    Spark's cleaner removes them when the driver collects its garbage, which it may not do
+    for a long time. Without a JVM beside this process nothing happens.
+    """
+    gc.collect()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()

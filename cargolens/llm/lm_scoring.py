@@ -8,11 +8,16 @@ bigram's probability is interpolated with the unigram's, which is smoothed by on
 A document's score is the mean over its tokens of the target model's loss minus the
 background model's: the lower, the more it reads like the target.
 
-The models are tables and never leave the executors; the driver gets five sums. Counting is
-one pass over the texts per model, added up inside each task before the shuffle. A bigram's
-two losses follow from its own counts and those of its words, joined once per distinct
-bigram. They are joined to the distinct bigrams of each text and added up per text. A text
-goes by a 64-bit hash: copies of a text have the same mean, however often they stand.
+The models are tables and never leave the executors; the driver gets a few sums. All distinct
+bigrams of the corpus and of its texts take several times the room of the corpus itself.
+They are therefore worked on in ``SLICES`` parts of all first words, one after another, so
+that shuffle files take a bounded share of the input; each slice reads the texts again.
+
+In a slice bigrams are counted for either model, added up inside each task before the
+shuffle. A bigram's two losses follow from its own counts and those of its words, joined once
+per distinct bigram. They are joined to the distinct bigrams of each text and added up per
+text. A text goes by a 64-bit hash: copies of a text have the same mean, however often they
+stand.
 
 Defined results: null text and text without words has no tokens, losses null and score 0;
 without target documents both models are the background model and all scores are 0; repeated
@@ -22,15 +27,20 @@ documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .lineage import cut
+from .lineage import cut, release, stored
 from .wordhash import BASE, Words, batches, mix
 
 #: Weight of the bigram part; tokens that a task adds up at a time.
 BLEND, HELD = 0.6, 1 << 20
+#: Parts of all bigrams, by their first word.
+SLICES = 6
 
 
 def _bigrams(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +59,35 @@ def _rows(before: np.ndarray, start: np.ndarray, hashes: np.ndarray, n: np.ndarr
     return [pa.array(before.view(np.int64), mask=start), pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))]
 
 
-def bigram_counts(docs: DataFrame) -> DataFrame:
+def _part(before: np.ndarray, part: tuple[int, int] | None) -> np.ndarray:
+    """Which bigrams belong to part (i, of n), by the word before."""
+    return np.ones(len(before), dtype=bool) if part is None else mix(before + np.uint64(1)) % np.uint64(part[1]) == part[0]
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over all texts, added up inside each task."""
+    words = Words(fold=True)
+
+    def count(batches_in):
+        held: list[np.ndarray] = []
+
+        def emit():
+            own, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+        for b in batches_in:
+            for _, _, data, offsets in batches(b.column(0)):
+                held.append(words.of(data, offsets)[0])
+                if sum(map(len, held)) > HELD:
+                    yield emit()
+                    held = []
+        if held:
+            yield emit()
+
+    return docs.select("text").mapInArrow(count, "word long, n long")
+
+
+def bigram_counts(docs: DataFrame, part: tuple[int, int] | None = None) -> DataFrame:
     """(before, word, n) over all texts, added up inside each task; ``before`` is null at a text's start."""
     words = Words(fold=True)
 
@@ -64,9 +102,10 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
         for b in batches_in:
             for _, _, data, offsets in batches(b.column(0)):
                 hashes, at = words.of(data, offsets)
-                if len(hashes):
-                    before, start, pair = _bigrams(hashes, at)
-                    held.append((before, start, hashes, pair))
+                before, start, pair = _bigrams(hashes, at)
+                mine = _part(before, part)
+                if mine.any():
+                    held.append((before[mine], start[mine], hashes[mine], pair[mine]))
                 if sum(len(h[0]) for h in held) > HELD:
                     yield emit()
                     held = []
@@ -76,7 +115,7 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "before long, word long, n long")
 
 
-def text_bigrams(docs: DataFrame) -> DataFrame:
+def text_bigrams(docs: DataFrame, part: tuple[int, int] | None = None) -> DataFrame:
     """(key, before, word, n): the distinct bigrams of each text of (key, text)."""
     words = Words(fold=True)
 
@@ -84,11 +123,13 @@ def text_bigrams(docs: DataFrame) -> DataFrame:
         for b in batches_in:
             for row, _, data, offsets in batches(b.column(1)):
                 hashes, at = words.of(data, offsets)
-                if not len(hashes):
-                    continue
                 before, start, pair = _bigrams(hashes, at)
-                text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                mine = _part(before, part)
+                text = np.repeat(np.arange(len(at) - 1), np.diff(at))[mine]
+                before, start, pair, hashes = before[mine], start[mine], pair[mine], hashes[mine]
                 _, first, n = np.unique(mix(pair ^ mix(text.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+                order = np.argsort(first)  # the rows of a text together, so that their keys take no room
+                first, n = first[order], n[order]
                 keys = b.column(0).take(pa.array(row + text[first]))
                 yield pa.RecordBatch.from_arrays([keys, *_rows(before[first], start[first], hashes[first], n)], names=["key", "before", "word", "n"])
 
@@ -110,44 +151,69 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(count, "doc_id long, key long, n_tokens long")
 
 
-def bigram_losses(texts: DataFrame, target_texts: DataFrame) -> DataFrame:
-    """(pair, target_loss, background_loss) of each distinct bigram of the texts."""
+class Sums(NamedTuple):
+    """Tokens and texts with a token, of all documents (n) and of the target (t), and the size of the vocabulary."""
+
+    words: int
+    n: int
+    t: int
+    n_texts: int
+    t_texts: int
+
+
+def both_counts(texts: DataFrame, target_texts: DataFrame, count: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """(*keys, n, t): counts over all texts and over the target's."""
     none = F.lit(0).cast("long")
-    both = bigram_counts(texts).withColumn("t", none).unionByName(bigram_counts(target_texts).select("before", "word", none.alias("n"), F.col("n").alias("t")))
-    pairs = cut(both.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
-    single = cut(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
-    total = single.agg(F.count(F.lit(1)).alias("words"), F.coalesce(F.sum("n"), none).alias("n"), F.coalesce(F.sum("t"), none).alias("t")).first()
-    starts = pairs.filter("before is null").agg(F.coalesce(F.sum("n"), none).alias("n"), F.coalesce(F.sum("t"), none).alias("t")).first()
+    both = count(texts).withColumn("t", none).unionByName(count(target_texts).select(*keys, none.alias("n"), F.col("n").alias("t")))
+    return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def bigram_losses(texts: DataFrame, target_texts: DataFrame, single: DataFrame, sums: Sums, part: tuple[int, int] | None = None) -> DataFrame:
+    """(pair, target_loss, background_loss) of each distinct bigram of the texts, or of a part of them."""
+    pairs = both_counts(texts, target_texts, lambda d: bigram_counts(d, part), ["before", "word"])
     # the counts grow with the corpus: joined by sort-merge at every size
     first = single.select(F.col("word").alias("before"), F.col("n").alias("before_n"), F.col("t").alias("before_t")).hint("merge")
     second = single.select("word", F.col("n").alias("word_n"), F.col("t").alias("word_t")).hint("merge")
     known = pairs.join(first, "before", "left").join(second, "word")
 
     def loss(c: str) -> Column:
-        if not total["t"]:
+        if not sums.t:
             c = "n"
-        context = F.greatest(F.coalesce(F.col(f"before_{c}"), F.lit(starts[c])), F.lit(1))
-        return -F.log(F.lit(BLEND) * F.col(c) / context + F.lit(1 - BLEND) * (F.col(f"word_{c}") + 1) / F.lit(float(total[c] + total["words"])))
+        total, starts = (sums.n, sums.n_texts) if c == "n" else (sums.t, sums.t_texts)
+        context = F.greatest(F.coalesce(F.col(f"before_{c}"), F.lit(starts)), F.lit(1))
+        return -F.log(F.lit(BLEND) * F.col(c) / context + F.lit(1 - BLEND) * (F.col(f"word_{c}") + 1) / F.lit(float(total + sums.words)))
 
     return known.select(F.xxhash64("before", "word").alias("pair"), loss("t").alias("target_loss"), loss("n").alias("background_loss"))
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, slices: int = SLICES) -> DataFrame:
     """Scores of all documents; ``target_ids`` (doc_id) name the target documents, of any number."""
+    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = texts.withColumn("key", F.xxhash64("text"))
     wanted = target_ids.select(F.col("doc_id").cast("long")).distinct()
     # one strategy at every size: the labelled ids grow with the corpus and are never broadcast
-    losses = cut(bigram_losses(texts, texts.join(wanted.hint("merge"), "doc_id", "left_semi")))
-    keyed = texts.withColumn("key", F.xxhash64("text"))
-    own = text_bigrams(keyed).select("key", F.xxhash64("before", "word").alias("pair"), "n")
-    sums = (
-        own.join(losses.hint("merge"), "pair")
-        .groupBy("key")
-        .agg(F.sum(F.col("n") * F.col("target_loss")).alias("t"), F.sum(F.col("n") * F.col("background_loss")).alias("b"), F.sum("n").alias("n"))
-    )
-    means = cut(sums.select("key", (F.col("t") / F.col("n")).alias("target_loss"), (F.col("b") / F.col("n")).alias("background_loss")))
+    target = stored(texts.join(wanted.hint("merge"), "doc_id", "left_semi"))
+    known = cut(token_counts(keyed))
+    in_target = known.join(wanted.hint("merge"), "doc_id", "left_semi")
+    single = cut(both_counts(texts, target, word_counts, ["word"]))
+    tokens = lambda d: d.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.count_if(F.col("n_tokens") > 0).alias("texts")).first()
+    n, t = tokens(known), tokens(in_target)
+    sums = Sums(single.count(), n["n"], t["n"], n["texts"], t["texts"])
+
+    def one(i: int) -> DataFrame:
+        losses = bigram_losses(texts, target, single, sums, (i, slices))
+        own = text_bigrams(keyed, (i, slices)).select("key", F.xxhash64("before", "word").alias("pair"), "n")
+        both = own.join(losses.hint("merge"), "pair").groupBy("key")
+        return cut(both.agg(F.sum(F.col("n") * F.col("target_loss")).alias("t"), F.sum(F.col("n") * F.col("background_loss")).alias("b"), F.sum("n").alias("n")))
+
+    parts = one(0)
+    for i in range(1, slices):
+        release(spark)
+        parts = parts.unionByName(one(i))
+    means = parts.groupBy("key").agg((F.sum("t") / F.sum("n")).alias("target_loss"), (F.sum("b") / F.sum("n")).alias("background_loss"))
     score = F.coalesce(F.col("target_loss") - F.col("background_loss"), F.lit(0.0)).alias("score")
-    return token_counts(keyed).join(means.hint("merge"), "key", "left").select("doc_id", "n_tokens", "target_loss", "background_loss", score)
+    return known.join(means.hint("merge"), "key", "left").select("doc_id", "n_tokens", "target_loss", "background_loss", score)
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
