@@ -55,7 +55,7 @@ def nra(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k:
         found[j] = rows[best], scores[best]
 
     active = np.arange(len(q))
-    if n > 8 * k and d and kind is not object:
+    if n > k and d and kind is not object:
         order = np.argsort(x, axis=0, kind="stable")
         ordered = np.take_along_axis(x, order, axis=0)
         rank = np.empty_like(order)
