@@ -44,8 +44,8 @@ from .wordhash import Words, batches, mix
 #: Examples of each label at most, neighbours.
 EXAMPLES, K = 4000, 48
 INDEX_BLOCK = 64
-#: Longest lists that are kept dense, and documents that are evaluated at a time.
-DENSE, BATCH = 512, 64
+#: Longest lists that are kept dense; documents that are evaluated at a time, and their entries in other lists, at most.
+DENSE, BATCH, ENTRIES = 512, 64, 1 << 19
 #: What single precision can be wrong by, at most, in a sum of products of unit vectors.
 SLACK = 1e-4
 
@@ -177,8 +177,10 @@ class BlockMaxIndex:
         self.n_blocks = max(1, -(-len(ids) // INDEX_BLOCK))
         self.ready = False
 
-    def _unfold(self) -> None:
-        """What follows from the entries; it does not travel with the index."""
+    def unfold(self) -> None:
+        """Works out, once, what follows from the entries; it does not travel with the index."""
+        if self.ready:
+            return
         self.lists = np.searchsorted(self.term, np.arange(len(self.vocab) + 1))
         self.at = self.example.astype(np.int64)
         length = np.bincount(self.term, minlength=len(self.vocab))
@@ -191,6 +193,7 @@ class BlockMaxIndex:
         self.dense[self.at[mine >= 0], mine[mine >= 0]] = self.weight[mine >= 0]
         by_block = self.dense.reshape(self.n_blocks, INDEX_BLOCK, len(long))
         self.dense_most = by_block.max(axis=1).T
+        self.rare = np.where(self.column < 0, length, 0)
         self.single = np.ascontiguousarray(by_block.transpose(0, 2, 1), dtype=np.float32)
         self.term = self.example = None
         self.ready = True
@@ -205,8 +208,6 @@ class BlockMaxIndex:
 
     def nearest(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and cosines of the k nearest examples of each of n documents, best first; those at cosine 0 are none."""
-        if not self.ready:
-            self._unfold()
         n_blocks, width = self.n_blocks, self.n_blocks * INDEX_BLOCK
         col = self.column[term]
         head = np.zeros((n, self.dense.shape[1]))
@@ -282,14 +283,20 @@ class Model:
 
     def search(self, texts: pa.Array, terms: Terms, k: int):
         """(row, places, cosines in the vocabulary, squared length there) of each text with a neighbour."""
+        self.index.unfold()
         for row, to, doc, hashes, counts in _doc_terms(texts, terms):
             doc, term, w, square = self.index.vectors(doc, hashes, counts, to - row)
-            for lo in range(0, to - row, BATCH):
-                a, b = np.searchsorted(doc, (lo, lo + BATCH))
-                size = min(BATCH, to - row - lo)
-                for i, (near, cosine) in enumerate(self.index.nearest(doc[a:b] - lo, term[a:b], w[a:b], size, k)):
+            # as many documents as stay below both bounds, one at least
+            upto = np.cumsum(np.bincount(doc, self.index.rare[term], minlength=to - row))
+            lo = 0
+            while lo < to - row:
+                before = upto[lo - 1] if lo else 0
+                hi = min(lo + BATCH, max(lo + 1, int(np.searchsorted(upto, before + ENTRIES, side="right"))), to - row)
+                a, b = np.searchsorted(doc, (lo, hi))
+                for i, (near, cosine) in enumerate(self.index.nearest(doc[a:b] - lo, term[a:b], w[a:b], hi - lo, k)):
                     if len(near):
                         yield row + lo + i, near, cosine, float(square[lo + i])
+                lo = hi
 
 
 def _own_votes(examples: DataFrame, model: Model) -> dict[int, float | None]:

@@ -536,7 +536,8 @@ def test_block_max_index_is_exact(monkeypatch, dense):
     vocab = np.sort(rng.integers(1, 1 << 60, terms).astype(np.uint64))
     index = toxicity.BlockMaxIndex(vocab, rng.integers(1, 50, terms), 1000, np.arange(n), rng.integers(0, 2, n), np.ones(n), entries)
     full = np.zeros((n, terms))
-    full[index.example, index.term] = index.weight  # before the first search unfolds them
+    full[index.example, index.term] = index.weight
+    index.unfold()
     docs = [np.unique(rng.integers(0, terms, rng.integers(0, 6))) for _ in range(200)]
     weights = [rng.random(len(d)) for d in docs]
     weights = [w / np.sqrt((w * w).sum()) if len(w) else w for w in weights]
