@@ -123,16 +123,16 @@ CASES = [
 ]
 
 
-def test_annotations(spark):
-    df = spark.createDataFrame([(text,) for _, text, _ in CASES], "t string").select("t", q.read(F.col("t")).alias("d"))
-    parts = [df.filter(F.col("t").eqNullSafe(F.lit(text))).limit(1).select(F.lit(i).alias("i"), F.to_json(F.struct(f(F.col("d")).alias("x"))).alias("x")) for i, (f, text, _) in enumerate(CASES)]
-    got = {}
-    for k in range(0, len(parts), 20):
-        some = parts[k]
-        for p in parts[k + 1 : k + 20]:
-            some = some.unionAll(p)
-        got |= {r["i"]: json.loads(r["x"]).get("x") for r in some.collect()}
-    assert {text: got[i] for i, (_, text, _) in enumerate(CASES) if got[i] != CASES[i][2]} == {}
+@pytest.mark.parametrize("at", range(0, len(CASES), 20))
+def test_annotations(spark, at):
+    """Twenty cases at a time, as one union."""
+    some = None
+    for i, (f, text, _) in enumerate(CASES[at : at + 20]):
+        one = spark.createDataFrame([(text,)], "t string").select(q.read(F.col("t")).alias("d"))
+        one = one.select(F.lit(i).alias("i"), F.to_json(F.struct(f(F.col("d")).alias("x"))).alias("x"))
+        some = one if some is None else some.unionAll(one)
+    got = {r["i"]: json.loads(r["x"]).get("x") for r in some.collect()}
+    assert {text: got[i] for i, (_, text, want) in enumerate(CASES[at : at + 20]) if got[i] != want} == {}
 
 
 def test_commodities(spark):
