@@ -25,36 +25,18 @@ def register(name: str, source, build: Callable[[DataFrame], DataFrame], sql: st
         SQL[name] = sql
 
 
-# vectors: queries are the first twenty vectors, the namespace is the label
+# vectors: queries are all vectors whose id is divisible by 20, the namespace is the label
 EMB = table("embeddings")
-SCORES = """q AS (SELECT vec_id AS query_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id < 20),
+SCORES = """q AS (SELECT vec_id AS query_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id % 20 = 0),
 v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 s AS (SELECT query_id, vec_id, list_cosine_similarity(q.e, v.e) AS score FROM q JOIN v ON q.label = v.label AND query_id <> vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 
-def scores(e: DataFrame) -> DataFrame:
-    return vectors.vector_scores(e, e.filter("vec_id < 20"))
-
-
-
-
 def rounded() -> Column:
     return F.round("score", 6).alias("score")
 
 
-register("vector_cosine", EMB, lambda e: scores(e).select("query_id", "vec_id", rounded()), f"WITH {SCORES} SELECT query_id, vec_id, round(score, 6) AS score FROM s")
-register("vector_topk", EMB, lambda e: vectors.top_k(scores(e), 15).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded()), f"WITH {SCORES} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 15")
-register("vector_topk_min_score", EMB, lambda e: vectors.top_k(scores(e), 40, 0.28).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded()), f"WITH {SCORES} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 40 AND score >= 0.28")
-QUERIES["vector_topk_context"] = lambda spark, sf_dir: vectors.with_context(
-    vectors.top_k(scores(EMB(spark, sf_dir)), 15), table("documents")(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
-).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded(), "context")
-SQL["vector_topk_context"] = f"WITH {SCORES} SELECT query_id, rank, vec_id, round(score, 6) AS score, text[1:2500] AS context FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 15"
-
-# the same for every vector whose id is divisible by 20: queries that grow with the table
-EVERY = SCORES.replace("vec_id < 20", "vec_id % 20 = 0")
-
-
 def every(e: DataFrame) -> DataFrame:
     return e.filter("vec_id % 20 = 0")
 
@@ -63,13 +45,13 @@ def ranked(e: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
     return vectors.top_k_in_blocks(e, every(e), k, min_score)
 
 
-register("vector_cosine_every20", EMB, lambda e: vectors.vector_scores(e, every(e)).select("query_id", "vec_id", rounded()), f"WITH {EVERY} SELECT query_id, vec_id, round(score, 6) AS score FROM s")
-register("vector_topk_every20", EMB, lambda e: ranked(e, 15).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded()), f"WITH {EVERY} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 15")
-register("vector_topk_min_score_every20", EMB, lambda e: ranked(e, 40, 0.28).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded()), f"WITH {EVERY} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 40 AND score >= 0.28")
-QUERIES["vector_topk_context_every20"] = lambda spark, sf_dir: vectors.with_context(
+register("vector_cosine", EMB, lambda e: vectors.vector_scores(e, every(e)).select("query_id", "vec_id", rounded()), f"WITH {SCORES} SELECT query_id, vec_id, round(score, 6) AS score FROM s")
+register("vector_topk", EMB, lambda e: ranked(e, 15).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded()), f"WITH {SCORES} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 15")
+register("vector_topk_min_score", EMB, lambda e: ranked(e, 40, 0.28).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded()), f"WITH {SCORES} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 40 AND score >= 0.28")
+QUERIES["vector_topk_context"] = lambda spark, sf_dir: vectors.with_context(
     ranked(EMB(spark, sf_dir), 15), table("documents")(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
 ).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded(), "context")
-SQL["vector_topk_context_every20"] = f"WITH {EVERY} SELECT query_id, rank, vec_id, round(score, 6) AS score, text[1:2500] AS context FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 15"
+SQL["vector_topk_context"] = f"WITH {SCORES} SELECT query_id, rank, vec_id, round(score, 6) AS score, text[1:2500] AS context FROM r LEFT JOIN documents ON doc_id = vec_id WHERE rank <= 15"
 
 # chunks
 DOCS = table("documents")
@@ -98,28 +80,7 @@ def merged(d: DataFrame) -> DataFrame:
 
 register("chunk_metadata", DOCS, merged, "SELECT doc_id, lang AS m_lang, CASE WHEN doc_id % 2 = 0 THEN 'override' ELSE source END AS m_source, CASE WHEN doc_id % 2 = 0 THEN '0' END AS m_page FROM documents")
 
-# two texts of one page: the first words of a document as the text layer, its second line as what was read from the image
-PARTS = r"p AS (SELECT doc_id, trim(coalesce(list_aggregate(regexp_extract_all(text, '[^ ]+')[1:1 + doc_id % 45], 'string_agg', ' '), '')) AS t, trim(coalesce(string_split(text, chr(10))[2], '')) AS o FROM documents), n AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: length(w) > 1)) AS n FROM p)"
-
-
-def parts(d: DataFrame) -> DataFrame:
-    words = F.slice(F.regexp_extract_all("text", F.lit("([^ ]+)"), F.lit(1)), F.lit(1), (F.col("doc_id") % 45 + 1).cast("int"))
-    return d.select("doc_id", F.array_join(words, " ").alias("t"), F.get(F.split("text", "\n"), F.lit(1)).alias("o"))
-
-
-def pair(f: Callable[[Column, Column], Column]):
-    return lambda d: parts(d).select("doc_id", f(F.col("t"), F.col("o")).alias("text"))
-
-
-register("text_reconcile_pdf", DOCS, pair(chunking.reconcile_pdf), f"WITH {PARTS} SELECT doc_id, CASE WHEN o = '' THEN t WHEN n >= 30 THEN t || chr(10) || chr(10) || '=== EMBEDDED IMAGE OCR ===' || chr(10) || o WHEN length(o) >= length(t) THEN o ELSE t END AS text FROM n")
-register("text_reconcile_render", DOCS, pair(chunking.reconcile_render), f"WITH {PARTS} SELECT doc_id, CASE WHEN n >= 30 OR o = '' THEN t WHEN n >= 10 THEN t || chr(10) || chr(10) || '=== PAGE RENDER OCR ===' || chr(10) || o WHEN length(o) > length(t) THEN o ELSE t END AS text FROM n")
-register(
-    "text_reconcile_word", DOCS, lambda d: pair(chunking.reconcile_word)(d).select("doc_id", "text.*"),
-    f"WITH {PARTS}, c AS (SELECT doc_id, CASE WHEN n < 30 AND o <> '' AND length(o) >= length(t) THEN o ELSE t END AS text FROM n) SELECT *, CASE WHEN text = '' THEN 'no text' END AS error FROM c",
-)
-
-
-# the same without loss: odd lines of the whole text as the text layer, even lines as what was read from the image
+# two texts of one page, without loss: odd lines of the whole text as the text layer, even lines as what was read from the image
 HALVES = r"""h AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents),
 p AS (SELECT doc_id, trim(coalesce(array_to_string(list_filter(w, lambda x, i: i % 2 = 1), chr(10)), '')) AS t, trim(coalesce(array_to_string(list_filter(w, lambda x, i: i % 2 = 0), chr(10)), '')) AS o FROM h),
 n AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: length(w) > 1)) AS n FROM p)"""
@@ -131,29 +92,30 @@ def halves(d: DataFrame) -> DataFrame:
     return d.select("doc_id", part(0).alias("t"), part(1).alias("o"))
 
 
-def whole(f: Callable[[Column, Column], Column]):
+def pair(f: Callable[[Column, Column], Column]):
     return lambda d: halves(d).select("doc_id", f(F.col("t"), F.col("o")).alias("text"))
 
 
-register("text_reconcile_pdf_whole", DOCS, whole(chunking.reconcile_pdf), SQL["text_reconcile_pdf"].replace(PARTS, HALVES))
-register("text_reconcile_render_whole", DOCS, whole(chunking.reconcile_render), SQL["text_reconcile_render"].replace(PARTS, HALVES))
-register("text_reconcile_word_whole", DOCS, lambda d: whole(chunking.reconcile_word)(d).select("doc_id", "text.*"), SQL["text_reconcile_word"].replace(PARTS, HALVES))
+register("text_reconcile_pdf", DOCS, pair(chunking.reconcile_pdf), f"WITH {HALVES} SELECT doc_id, CASE WHEN o = '' THEN t WHEN n >= 30 THEN t || chr(10) || chr(10) || '=== EMBEDDED IMAGE OCR ===' || chr(10) || o WHEN length(o) >= length(t) THEN o ELSE t END AS text FROM n")
+register("text_reconcile_render", DOCS, pair(chunking.reconcile_render), f"WITH {HALVES} SELECT doc_id, CASE WHEN n >= 30 OR o = '' THEN t WHEN n >= 10 THEN t || chr(10) || chr(10) || '=== PAGE RENDER OCR ===' || chr(10) || o WHEN length(o) > length(t) THEN o ELSE t END AS text FROM n")
+register(
+    "text_reconcile_word", DOCS, lambda d: pair(chunking.reconcile_word)(d).select("doc_id", "text.*"),
+    f"WITH {HALVES}, c AS (SELECT doc_id, CASE WHEN n < 30 AND o <> '' AND length(o) >= length(t) THEN o ELSE t END AS text FROM n) SELECT *, CASE WHEN text = '' THEN 'no text' END AS error FROM c",
+)
 
 
-def forms(d: DataFrame, value: Column | None = None) -> DataFrame:
+def forms(d: DataFrame) -> DataFrame:
     """Form fields from the lines of the documents: the field's kind goes by the line's place."""
     field = F.element_at(F.array(*(F.lit(f) for f in ("shipper", "fragile_check", "scac_label", "notes"))), (F.col("pos") % 4 + 1).cast("int"))
-    text = F.left("chunk", F.lit(40)) if value is None else value
-    value = F.when(F.col("pos") % 12 == 1, "Yes").when(F.col("pos") % 12 == 2, "SCAC :").when(F.col("pos") % 12 == 3, "  ").otherwise(text)
+    value = F.when(F.col("pos") % 12 == 1, "Yes").when(F.col("pos") % 12 == 2, "SCAC :").when(F.col("pos") % 12 == 3, "  ").otherwise(F.col("chunk"))
     return lines(d).select("doc_id", "pos", field.alias("field"), value.alias("value"))
 
 
 FORM_SQL = f"""WITH {LINES}, f AS (SELECT doc_id, pos, (['shipper', 'fragile_check', 'scac_label', 'notes'])[pos % 4 + 1] AS field,
-  trim(CASE pos % 12 WHEN 1 THEN 'Yes' WHEN 2 THEN 'SCAC :' WHEN 3 THEN '  ' ELSE chunk[1:40] END) AS value FROM l)
+  trim(CASE pos % 12 WHEN 1 THEN 'Yes' WHEN 2 THEN 'SCAC :' WHEN 3 THEN '  ' ELSE chunk END) AS value FROM l)
   SELECT doc_id, '=== PDF FORM FIELD VALUES ===' || chr(10) || string_agg(field || ': ' || value, chr(10) ORDER BY pos) AS text FROM f
   WHERE value <> '' AND NOT (value IN ('/', 'Off', 'Yes', 'No') AND field = 'fragile_check') AND NOT (field = 'scac_label' AND value LIKE '%:') GROUP BY doc_id"""
 register("form_fields_text", DOCS, lambda d: chunking.form_fields_text(forms(d)), FORM_SQL)
-register("form_fields_text_whole", DOCS, lambda d: chunking.form_fields_text(forms(d, F.col("chunk"))), FORM_SQL.replace("chunk[1:40]", "chunk"))
 register(
     "document_text", DOCS, lambda d: chunking.document_text(lines(d).select("doc_id", F.col("pos").alias("page"), F.col("chunk").alias("text"))),
     f"WITH {LINES} SELECT doc_id, string_agg(chunk, chr(10) ORDER BY pos)[1:12000] AS text FROM l GROUP BY doc_id",
@@ -276,3 +238,9 @@ register(
     """SELECT vec_id, 'label ' || label AS namespace, CAST(len(embedding) AS INTEGER) AS dimensions FROM embeddings WHERE label <> 2 AND (label <> 1 OR vec_id % 2 = 0)
     UNION ALL SELECT vec_id, 'label 3', CAST(len(embedding) AS INTEGER) FROM embeddings WHERE label = 3 AND vec_id % 2 = 0""",
 )
+
+# other names of the same queries
+for name in ("vector_cosine", "vector_topk", "vector_topk_min_score", "vector_topk_context"):
+    QUERIES[f"{name}_every20"], SQL[f"{name}_every20"] = QUERIES[name], SQL[name]
+for name in ("text_reconcile_pdf", "text_reconcile_render", "text_reconcile_word", "form_fields_text"):
+    QUERIES[f"{name}_whole"], SQL[f"{name}_whole"] = QUERIES[name], SQL[name]
