@@ -34,21 +34,36 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     first, then its outermost object, then its outermost array of objects, then the lines
     that are objects.
     """
-    kind = lambda v: F.upper(F.schema_of_variant(v))
-    is_object = lambda v: F.coalesce(kind(v).startswith("OBJECT"), F.lit(False))
-    r = responses.select("resp_id", "response", cleaned(F.col("response")).alias("text"))
-    r = r.withColumn("whole", F.try_parse_json("text")).withColumn("outer", F.try_parse_json(F.regexp_extract("text", r"(?s)\{.*\}", 0)))
-    r = r.withColumn("list", F.try_parse_json(F.regexp_extract("text", r"(?s)\[.*\]", 0)))
-    one = F.when(is_object(F.col("whole")), F.col("whole")).when(is_object(F.col("outer")), F.col("outer"))
-    items = F.try_variant_get("list", "$", "array<variant>")
-    objects = F.when((F.size(items) > 0) & F.forall(items, is_object), items)
-    lines = F.transform(
-        F.filter(F.split("text", "\n"), lambda x: F.trim(x).startswith("{")), lambda x: F.try_parse_json(F.regexp_replace(F.trim(x), ",+$", ""))
-    )
-    lines = F.filter(lines, lambda v: v.isNotNull() & is_object(v))
+    is_object = lambda v: F.coalesce(F.upper(F.schema_of_variant(v)).startswith("OBJECT"), F.lit(False))
+    none = F.lit(None).cast("array<variant>")
+
+    def items(text: Column) -> Column:
+        return F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+
+    def let(bound: Column, body) -> Column:
+        return F.get(F.transform(F.array(bound), body), F.lit(0))
+
+    def single(text: Column) -> Column:
+        """The one object that the text is, in an array; a text with anything behind it is none."""
+        return let(items(text), lambda v: F.when((F.size(v) == 1) & is_object(F.get(v, F.lit(0))), v).otherwise(none))
+
+    def listed(text: Column) -> Column:
+        return let(items(text), lambda v: F.when((F.size(v) > 0) & F.forall(v, is_object), v).otherwise(none))
+
+    def by_line(text: Column) -> Column:
+        begun = F.filter(F.split(text, "\n"), lambda x: F.trim(x).startswith("{"))
+        objects = F.flatten(F.filter(F.transform(begun, lambda x: single(F.regexp_replace(F.trim(x), ",+$", ""))), lambda v: v.isNotNull()))
+        return let(objects, lambda v: F.when(F.size(v) > 0, v).otherwise(none))
+
     full = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    found = F.when((F.size(lines) > 1) & (F.size(lines) == F.size(full)), lines).when(one.isNotNull(), F.array(one)).when(objects.isNotNull(), objects).when(F.size(lines) > 0, lines)
-    r = r.withColumn("objs", found)
+    begun = F.filter(full, lambda x: F.trim(x).startswith("{"))
+    # each reading is tried only where those before it found nothing
+    all_lines = F.when((F.size(full) > 1) & (F.size(begun) == F.size(full)), let(by_line(F.col("text")), lambda v: F.when(F.size(v) == F.size(full), v).otherwise(none)))
+    inside = lambda pattern: F.regexp_extract("text", pattern, 1)
+    found = F.coalesce(
+        all_lines, single(F.col("text")), single(inside(r"(?s)(\{.*\})")), listed(inside(r"(?s)\[(.*)\]")), F.when(F.size(begun) > 0, by_line(F.col("text")))
+    )
+    r = responses.select("resp_id", "response", cleaned(F.col("response")).alias("text")).withColumn("objs", found)
     return r.select("resp_id", F.posexplode_outer("objs").alias("pos", "obj"), F.when(F.col("objs").isNull(), F.col("response")).alias("raw"))
 
 

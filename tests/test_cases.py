@@ -1,8 +1,12 @@
 """Literal cases and properties."""
 
+import ctypes
 import json
+import math
 
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from cargolens.functions import questions as q
@@ -231,3 +235,54 @@ def test_whole_texts_take_part(spark, name):
         assert long and all(" ".join(lines(text[d], 2)).split() == got[d].split("=== EMBEDDED")[0].split() for d in long)
     else:
         assert any(len(x) > 60 for t in got.values() for x in t.split("\n"))
+
+
+def test_default_vectors_by_hand(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "...")], "doc_id long, text string"))
+    for r in docs.select("doc_id", "text", embed(F.col("text")).alias("v")).collect():
+        counts = [0.0] * 64
+        for w in regex.split(r"[^\p{L}\p{N}]+", (r["text"] or "")[:4000].lower()):
+            if w:
+                counts[ctypes.c_int64(xxhash.xxh64_intdigest(w.encode(), 42)).value % 64] += 1
+        length = math.sqrt(sum(c * c for c in counts)) or 1.0
+        assert max(abs(a - c / length) for a, c in zip(r["v"], counts, strict=True)) < 1e-6
+
+
+def test_recursive_chunks_follow_each_other(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    text, end, start = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, {}, {}
+    for r in chunking.chunk_recursive(docs).orderBy("doc_id", "pos").collect():
+        doc, chunk = r["doc_id"], r["chunk"]
+        assert 0 < len(chunk) <= chunking.SIZE
+        last = end.get(doc, 0)
+        at = text[doc].find(chunk, max(start.get(doc, 0), last - chunking.OVERLAP - 2))
+        assert at >= 0 and not text[doc][last:at].strip()
+        start[doc], end[doc] = at, max(last, at + len(chunk))
+    assert all(not t[end.get(d, 0) :].strip() for d, t in text.items())
+
+
+RESPONSES = [
+    ('{"a": 1}', [('{"a":1}', None)]), ('```json\n{"a": 1}\n```', [('{"a":1}', None)]), ('Here: {"a": {"b": 2}} done', [('{"a":{"b":2}}', None)]),
+    ('see [{"a": 1}, {"a": 2}]', [('{"a":1}', None), ('{"a":2}', None)]), ('{"a": 1}\n{"a": 2}', [('{"a":1}', None), ('{"a":2}', None)]),
+    ('"{\\"a\\": 1}"', [('{"a":1}', None)]), ("no object", [(None, "no object")]), ("", [(None, "")]), (None, [(None, None)]),
+]
+
+
+def test_responses(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(RESPONSES)], "resp_id long, response string")
+    got: dict = {}
+    for r in shipments.parse_responses(df).select("resp_id", "pos", F.to_json("obj").alias("obj"), "raw").orderBy("resp_id", "pos").collect():
+        got.setdefault(r["resp_id"], []).append((r["obj"], r["raw"]))
+    assert [got[i] for i in range(len(RESPONSES))] == [want for _, want in RESPONSES]
+
+
+def test_an_empty_batch_empties_a_namespace(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a b"), (2, "c")], "x int, namespace string")
+    tables.write_namespace(rows, path)
+    tables.write_namespace(rows.limit(0), path, namespace="a b")
+    assert [tuple(r) for r in spark.read.schema("x int, namespace string").parquet(path).collect()] == [(2, "c")]
+    vectors_in = spark.createDataFrame([(1, [1.0]), (2, [])], "chunk_id int, embedding array<float>")
+    tables.write_vectors(vectors_in, str(tmp_path / "v"), "n")
+    tables.write_vectors(vectors_in, str(tmp_path / "v"), "n", replace=False)
+    assert [r["chunk_id"] for r in spark.read.parquet(str(tmp_path / "v")).collect()] == [1, 1]
