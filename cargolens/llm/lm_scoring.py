@@ -171,9 +171,9 @@ def both_counts(texts: DataFrame, target_texts: DataFrame, count: Callable[[Data
 def bigram_losses(texts: DataFrame, target_texts: DataFrame, single: DataFrame, sums: Sums, part: tuple[int, int] | None = None) -> DataFrame:
     """(pair, target_loss, background_loss) of each distinct bigram of the texts, or of a part of them."""
     pairs = both_counts(texts, target_texts, lambda d: bigram_counts(d, part), ["before", "word"])
-    # the counts grow with the corpus: joined by sort-merge at every size
-    first = single.select(F.col("word").alias("before"), F.col("n").alias("before_n"), F.col("t").alias("before_t")).hint("merge")
-    second = single.select("word", F.col("n").alias("word_n"), F.col("t").alias("word_t")).hint("merge")
+    # the counts grow with the corpus and are never broadcast; a partition's share of them is hashed, which spares sorting the bigrams
+    first = single.select(F.col("word").alias("before"), F.col("n").alias("before_n"), F.col("t").alias("before_t")).hint("shuffle_hash")
+    second = single.select("word", F.col("n").alias("word_n"), F.col("t").alias("word_t")).hint("shuffle_hash")
     known = pairs.join(first, "before", "left").join(second, "word")
 
     def loss(c: str) -> Column:
@@ -204,7 +204,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, slices: int
     def one(i: int) -> DataFrame:
         losses = bigram_losses(texts, target, single, sums, (i, slices))
         own = text_bigrams(keyed, (i, slices)).select("key", F.xxhash64("before", "word").alias("pair"), "n")
-        both = own.join(losses.hint("merge"), "pair").groupBy("key")
+        both = own.join(losses.hint("shuffle_hash"), "pair").groupBy("key")
         return cut(both.agg(F.sum(F.col("n") * F.col("target_loss")).alias("t"), F.sum(F.col("n") * F.col("background_loss")).alias("b"), F.sum("n").alias("n")))
 
     parts = one(0)
