@@ -186,9 +186,9 @@ def bigram_losses(texts: DataFrame, target_texts: DataFrame, single: DataFrame,
     return known.select(F.xxhash64("before", "word").alias("pair"), loss("t").alias("target_loss"), loss("n").alias("background_loss"))
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, slices: int = SLICES) -> DataFrame:
-    """Scores of all documents; ``target_ids`` (doc_id) name the target documents, of any number."""
-    spark = docs.sparkSession
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, slices: int | None = None) -> DataFrame:
+    """Scores of all documents; ``target_ids`` (doc_id) name the target documents, of any number. The slices change no score."""
+    spark, slices = docs.sparkSession, slices or SLICES
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = texts.withColumn("key", F.xxhash64("text"))
     wanted = target_ids.select(F.col("doc_id").cast("long")).distinct()

@@ -19,6 +19,11 @@ from ..oracle import DATA, same
 ROWS = [(1, None), (2, ""), (3, " \n\t "), (4, "one two"), (4, "one two"), (None, "one two three four five six"), (5, "Ünïcode — text: token = 'abcdefgh12' AKIA" + "A1" * 9), (6, "w " * 400), (7, "cc by GENERAL public license all rights reserved")]
 
 
+@pytest.fixture(autouse=True)
+def few_slices(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SLICES", 2)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     rows = [(i, t, None, None, i, "x", 1) for i, t in ROWS]
