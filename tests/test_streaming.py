@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from cargolens.operators.sessions import CARRIED, carry
 from cargolens.streaming.sessions import session_stream
 
@@ -25,10 +27,16 @@ def run(spark, tmp_path, batches, **options):
     return {(r["conv_id"], r["turn"]): r for r in spark.read.parquet(out).collect()}
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.fixture
+def streamed(spark, tmp_path):
+    """Turns of five conversations, and what the stream makes of them in two batches."""
     talk = ["give me order MRP3301", "and what of tax", "list confirmed orders in Texas for customer code AB1", "the same again", "how are you"]
     rows = [(c, t, talk[(c + t) % 5], t) for c in range(5) for t in range(8)]
-    got = run(spark, tmp_path, [[r for r in rows if r[1] < 4], [r for r in rows if r[1] >= 4]])
+    return rows, run(spark, tmp_path, [[r for r in rows if r[1] < 4], [r for r in rows if r[1] >= 4]])
+
+
+def test_stream_equals_batch(spark, streamed):
+    rows, got = streamed
     batch = carry(spark.createDataFrame([r[:3] for r in rows], "conv_id long, turn long, text string"))
     want = {(r["conv_id"], r["turn"]): r for r in batch.collect()}
     assert got.keys() == want.keys()
