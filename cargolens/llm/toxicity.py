@@ -322,18 +322,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int
     chosen = sample_examples(labels, label_col, most)
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # 2 * most ids at most: a bounded broadcast
-    texts = keyed.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    examples = cut(texts)
-    rows = examples.select("doc_id", "text").mapInArrow(run, "doc_id long, vote double").collect()  # bounded by the sample
-    return {r[0]: r[1] for r in rows}
-
-
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int = EXAMPLES) -> Model:
-    """Learns from (doc_id, text) and (doc_id, label). Ids serve to find an example's text only."""
-    chosen = sample_examples(labels, label_col, most)
-    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # 2 * most ids at most: a bounded broadcast
-    examples = cut(keyed.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+    texts = keyed.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "weight")
+    # of several texts of an id the same one in whatever order they are read
+    examples = cut(texts.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")))
     rows = examples.select("doc_id", "label", "weight").collect()  # bounded by the sample
     if not rows:
         return Model(None)
