@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lm_scoring, minhash, mixing, packing, quality, secrets, substrings, topk, toxicity
+from . import fingerprints, licenses, lm_scoring, minhash, mixing, packing, quality, ranking, secrets, substrings, topk, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.op7(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.op12(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.op13(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_knn_toxicity": op1_knn_toxicity,
     "op2_cutting_stock_packing": op2_cutting_stock_packing,
@@ -62,6 +74,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_ranked_search": op13_ranked_search,
 }
 SQL = {
     "op4_quality_rules": quality.OP4_SQL,
@@ -69,4 +84,5 @@ SQL = {
     "op6_nra_top_k": topk.OP6_SQL,
     "op8_secret_scan": secrets.OP8_SQL,
     "op9_minhash_near_dedup": minhash.OP9_SQL,
+    "op13_ranked_search": ranking.OP13_SQL,
 }
