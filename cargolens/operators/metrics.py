@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.addresses import order_parts, shown
 from ..schema import FORMULAS, KNOWN_STATUSES
-from .filters import country_pattern, side_columns
+from .filters import any_of, mentions_country, side_columns
 from .orders import with_numbers
 
 MONEY = "decimal(38,6)"
@@ -92,10 +92,7 @@ def rank_customers(orders: DataFrame, metric: str = "orders", direction: str = "
 
 
 def in_country(country: str, side: str = "both") -> Column:
-    test = F.lit(False)
-    for c in side_columns(side, names=True):
-        test = test | F.coalesce(F.col(c).rlike(country_pattern(country)), F.lit(False))
-    return test
+    return any_of(side_columns(side, names=True), mentions_country(country))
 
 
 def customer_activity(orders: DataFrame, where: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cargolens.functions import questions as q
 from cargolens.functions.addresses import parse_address
 from cargolens.functions.embedding import embed
-from cargolens.operators import chunking, filters, metrics, sessions, shipments, vectors
+from cargolens.operators import chunking, metrics, sessions, shipments, vectors
 from cargolens.plans import registry
 from cargolens.plans.orders_doc import orders_doc
 from cargolens.sources import readers, tables
@@ -187,11 +187,6 @@ def test_split_text_overlaps():
     assert all(len(p) <= 100 for p in parts) and len(parts) > 4 and parts[1][:5] in parts[0]
 
 
-def test_patterns():
-    assert filters.side_columns("nowhere") == ["pickupfulladdress", "deliveryfulladdress"]
-    assert "new" in filters.state_pattern("NY")
-
-
 def test_every_twentieth_vector_is_a_query(spark):
     ids = {r[0] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id").collect()}
     assert max(ids) >= 20
