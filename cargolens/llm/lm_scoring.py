@@ -8,10 +8,12 @@ bigram's probability is interpolated with the unigram's, which is smoothed by on
 A document's score is the mean over its tokens of the target model's loss minus the
 background model's: the lower, the more it reads like the target.
 
-The models are tables and never leave the executors; the driver gets a few sums. All distinct
-bigrams of the corpus and of its texts take several times the room of the corpus itself.
-They are therefore worked on in ``SLICES`` parts of all first words, one after another, so
-that shuffle files take a bounded share of the input; each slice reads the texts again.
+The models are tables and never leave the executors; the driver gets a few sums. Texts are
+read and cut to words once: a stored table holds the hashes of each document's words in order,
+twice the size of the input. All distinct bigrams of the corpus and of its texts take several
+times that room. They are therefore worked on in ``SLICES`` parts of all first words, one after
+another, so that shuffle files take a bounded share of the input; each slice reads the stored
+words.
 
 In a slice bigrams are counted for either model, added up inside each task before the
 shuffle. A bigram's two losses follow from its own counts and those of its words, joined once
@@ -27,18 +29,17 @@ documents.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .lineage import cut, release, stored
+from .lineage import cut, discard, release, scratch, stored
 from .wordhash import BASE, Words, batches, mix
 
-#: Weight of the bigram part; tokens that a task adds up at a time.
-BLEND, HELD = 0.6, 1 << 20
+#: Weight of the bigram part; tokens that a task adds up at a time, and those of some rows.
+BLEND, HELD, PIECE = 0.6, 1 << 20, 1 << 17
 #: Parts of all bigrams, by their first word.
 SLICES = 6
 
@@ -55,74 +56,95 @@ def _bigrams(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return before, start, mix(pair)
 
 
-def _rows(before: np.ndarray, start: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> list[pa.Array]:
-    return [pa.array(before.view(np.int64), mask=start), pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))]
+def _rows(before: np.ndarray, start: np.ndarray, hashes: np.ndarray, *n: np.ndarray) -> list[pa.Array]:
+    return [pa.array(before.view(np.int64), mask=start), pa.array(hashes.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)]
 
 
-def _part(before: np.ndarray, part: tuple[int, int] | None) -> np.ndarray:
+def _part(before: np.ndarray, part: tuple[int, int]) -> np.ndarray:
     """Which bigrams belong to part (i, of n), by the word before."""
-    return np.ones(len(before), dtype=bool) if part is None else mix(before + np.uint64(1)) % np.uint64(part[1]) == part[0]
+    return mix(before + np.uint64(1)) % np.uint64(part[1]) == part[0]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, added up inside each task."""
+def word_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, in_target, words): hashes of the words of each row of (doc_id, key, in_target, text), in order."""
     words = Words(fold=True)
 
-    def count(batches_in):
-        held: list[np.ndarray] = []
+    def cut_up(batches_in):
+        for b in batches_in:
+            for row, to, data, offsets in batches(b.column(3)):
+                hashes, at = words.of(data, offsets)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(row, to - row) for i in range(3)), lists], names=["doc_id", "key", "in_target", "words"])
 
-        def emit():
-            own, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], names=["word", "n"])
+    return docs.select("doc_id", "key", "in_target", "text").mapInArrow(cut_up, "doc_id long, key long, in_target boolean, words array<long>")
 
-        for b in batches_in:
-            for _, _, data, offsets in batches(b.column(0)):
-                held.append(words.of(data, offsets)[0])
-                if sum(map(len, held)) > HELD:
-                    yield emit()
-                    held = []
-        if held:
-            yield emit()
 
-    return docs.select("text").mapInArrow(count, "word long, n long")
+def _pieces(lists: pa.ListArray):
+    """(first row, end row, word hashes, where each row's begin): some rows at a time."""
+    offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
+    row = 0
+    while row < len(lists):
+        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
+        yield row, to, values[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
+        row = to
 
 
-def bigram_counts(docs: DataFrame, part: tuple[int, int] | None = None) -> DataFrame:
-    """(before, word, n) over all texts, added up inside each task; ``before`` is null at a text's start."""
-    words = Words(fold=True)
+def _added(batches_in, names: list[str], parts):
+    """Sums (n, t) of equal rows, added up inside the task: ``parts`` gives (sort key, in target, columns) of some rows at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
 
-    def count(batches_in):
-        held: list[tuple[np.ndarray, ...]] = []
+    def emit():
+        key, inside, *columns = map(np.concatenate, zip(*held, strict=True))
+        _, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        t = np.bincount(back, inside, minlength=len(first))
+        own = [c[first] for c in columns]
+        head = _rows(*own, n, t) if len(own) == 3 else [pa.array(own[0].view(np.int64)), pa.array(n), pa.array(t.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(head, names=names)
 
-        def emit():
-            before, start, hashes, pair = map(np.concatenate, zip(*held, strict=True))
-            _, first, n = np.unique(pair, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays(_rows(before[first], start[first], hashes[first], n), names=["before", "word", "n"])
+    for b in batches_in:
+        for some in parts(b):
+            if len(some[0]):
+                held.append(some)
+            if sum(len(h[0]) for h in held) > HELD:
+                yield emit()
+                held.clear()
+    if held:
+        yield emit()
 
-        for b in batches_in:
-            for _, _, data, offsets in batches(b.column(0)):
-                hashes, at = words.of(data, offsets)
-                before, start, pair = _bigrams(hashes, at)
-                mine = _part(before, part)
-                if mine.any():
-                    held.append((before[mine], start[mine], hashes[mine], pair[mine]))
-                if sum(len(h[0]) for h in held) > HELD:
-                    yield emit()
-                    held = []
-        if held:
-            yield emit()
 
-    return docs.select("text").mapInArrow(count, "before long, word long, n long")
+def word_counts(table: DataFrame) -> DataFrame:
+    """(word, n, t) over all texts and over those of the target."""
 
+    def parts(b):
+        inside = b.column(0).to_numpy(zero_copy_only=False)
+        for row, to, hashes, at in _pieces(b.column(1)):
+            yield hashes, np.repeat(inside[row:to], np.diff(at)), hashes
 
-def text_bigrams(docs: DataFrame, part: tuple[int, int] | None = None) -> DataFrame:
-    """(key, before, word, n): the distinct bigrams of each text of (key, text)."""
-    words = Words(fold=True)
+    rows = table.select("in_target", "words").mapInArrow(lambda batches_in: _added(batches_in, ["word", "n", "t"], parts), "word long, n long, t long")
+    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def bigram_counts(table: DataFrame, part: tuple[int, int]) -> DataFrame:
+    """(before, word, n, t) over all texts and over those of the target; ``before`` is null at a text's start."""
+
+    def parts(b):
+        inside = b.column(0).to_numpy(zero_copy_only=False)
+        for row, to, hashes, at in _pieces(b.column(1)):
+            before, start, pair = _bigrams(hashes, at)
+            mine = _part(before, part)
+            yield tuple(x[mine] for x in (pair, np.repeat(inside[row:to], np.diff(at)), before, start, hashes))
+
+    names = ["before", "word", "n", "t"]
+    rows = table.select("in_target", "words").mapInArrow(lambda batches_in: _added(batches_in, names, parts), "before long, word long, n long, t long")
+    return rows.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def text_bigrams(table: DataFrame, part: tuple[int, int]) -> DataFrame:
+    """(key, before, word, n): the distinct bigrams of each text."""
 
     def unfold(batches_in):
         for b in batches_in:
-            for row, _, data, offsets in batches(b.column(1)):
-                hashes, at = words.of(data, offsets)
+            for row, _, hashes, at in _pieces(b.column(1)):
                 before, start, pair = _bigrams(hashes, at)
                 mine = _part(before, part)
                 text = np.repeat(np.arange(len(at) - 1), np.diff(at))[mine]
@@ -133,22 +155,7 @@ def text_bigrams(docs: DataFrame, part: tuple[int, int] | None = None) -> DataFr
                 keys = b.column(0).take(pa.array(row + text[first]))
                 yield pa.RecordBatch.from_arrays([keys, *_rows(before[first], start[first], hashes[first], n)], names=["key", "before", "word", "n"])
 
-    return docs.select("key", "text").mapInArrow(unfold, "key long, before long, word long, n long")
-
-
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n_tokens) per row of (doc_id, key, text)."""
-    words = Words(fold=True)
-
-    def count(batches_in):
-        for b in batches_in:
-            for row, to, data, offsets in batches(b.column(2)):
-                n = np.diff(np.searchsorted(words.bounds(data, offsets)[0], offsets))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(row, to - row), b.column(1).slice(row, to - row), pa.array(n.astype(np.int64))], names=["doc_id", "key", "n_tokens"]
-                )
-
-    return docs.select("doc_id", "key", "text").mapInArrow(count, "doc_id long, key long, n_tokens long")
+    return table.select("key", "words").mapInArrow(unfold, "key long, before long, word long, n long")
 
 
 class Sums(NamedTuple):
@@ -161,16 +168,9 @@ class Sums(NamedTuple):
     t_texts: int
 
 
-def both_counts(texts: DataFrame, target_texts: DataFrame, count: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    """(*keys, n, t): counts over all texts and over the target's."""
-    none = F.lit(0).cast("long")
-    both = count(texts).withColumn("t", none).unionByName(count(target_texts).select(*keys, none.alias("n"), F.col("n").alias("t")))
-    return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def bigram_losses(texts: DataFrame, target_texts: DataFrame, single: DataFrame, sums: Sums, part: tuple[int, int] | None = None) -> DataFrame:
-    """(pair, target_loss, background_loss) of each distinct bigram of the texts, or of a part of them."""
-    pairs = both_counts(texts, target_texts, lambda d: bigram_counts(d, part), ["before", "word"])
+def bigram_losses(table: DataFrame, single: DataFrame, sums: Sums, part: tuple[int, int]) -> DataFrame:
+    """(pair, target_loss, background_loss) of each distinct bigram of a part."""
+    pairs = bigram_counts(table, part)
     # the counts grow with the corpus and are never broadcast; a partition's share of them is hashed, which spares sorting the bigrams
     first = single.select(F.col("word").alias("before"), F.col("n").alias("before_n"), F.col("t").alias("before_t")).hint("shuffle_hash")
     second = single.select("word", F.col("n").alias("word_n"), F.col("t").alias("word_t")).hint("shuffle_hash")
@@ -190,27 +190,32 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, slices: int
     """Scores of all documents; ``target_ids`` (doc_id) name the target documents, of any number. The slices change no score."""
     spark, slices = docs.sparkSession, slices or SLICES
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = texts.withColumn("key", F.xxhash64("text"))
-    wanted = target_ids.select(F.col("doc_id").cast("long")).distinct()
+    wanted = target_ids.select(F.col("doc_id").cast("long"), F.lit(True).alias("in_target")).distinct()
     # one strategy at every size: the labelled ids grow with the corpus and are never broadcast
-    target = stored(texts.join(wanted.hint("merge"), "doc_id", "left_semi"))
-    known = cut(token_counts(keyed))
-    in_target = known.join(wanted.hint("merge"), "doc_id", "left_semi")
-    single = cut(both_counts(texts, target, word_counts, ["word"]))
-    tokens = lambda d: d.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.count_if(F.col("n_tokens") > 0).alias("texts")).first()
-    n, t = tokens(known), tokens(in_target)
-    sums = Sums(single.count(), n["n"], t["n"], n["texts"], t["texts"])
+    marked = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left")
+    path = scratch(spark)
+    table = stored(word_table(marked.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("in_target", F.lit(False)).alias("in_target"), "text")), path)
+    known = cut(table.select("doc_id", "key", "in_target", F.size("words").cast("long").alias("n_tokens")))
+    single = cut(word_counts(table))
+    inside, some = F.col("in_target"), F.col("n_tokens") > 0
+    got = known.agg(
+        F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(inside, F.col("n_tokens"))), F.lit(0)).alias("t"),
+        F.count_if(some).alias("n_texts"), F.count_if(some & inside).alias("t_texts"),
+    ).first()
+    sums = Sums(single.count(), *got)
 
     def one(i: int) -> DataFrame:
-        losses = bigram_losses(texts, target, single, sums, (i, slices))
-        own = text_bigrams(keyed, (i, slices)).select("key", F.xxhash64("before", "word").alias("pair"), "n")
+        losses = bigram_losses(table, single, sums, (i, slices))
+        own = text_bigrams(table, (i, slices)).select("key", F.xxhash64("before", "word").alias("pair"), "n")
         both = own.join(losses.hint("shuffle_hash"), "pair").groupBy("key")
         return cut(both.agg(F.sum(F.col("n") * F.col("target_loss")).alias("t"), F.sum(F.col("n") * F.col("background_loss")).alias("b"), F.sum("n").alias("n")))
 
+    release(spark)
     parts = one(0)
     for i in range(1, slices):
         release(spark)
         parts = parts.unionByName(one(i))
+    discard(spark, path)  # what is left does not read the words again
     means = parts.groupBy("key").agg((F.sum("t") / F.sum("n")).alias("target_loss"), (F.sum("b") / F.sum("n")).alias("background_loss"))
     score = F.coalesce(F.col("target_loss") - F.col("background_loss"), F.lit(0.0)).alias("score")
     return known.join(means.hint("merge"), "key", "left").select("doc_id", "n_tokens", "target_loss", "background_loss", score)
