@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,11 +41,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, compression: str = "zstd") -> DataFrame:
     """As ``cut``, as a compressed table in the checkpoint folder: for rows with texts."""
     spark = df.sparkSession
     path = path or scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,10 +58,13 @@ def discard(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Between two large steps: has the driver drop the shuffle files of plans that nothing holds any more.
 
-    Spark's cleaner removes them when the driver collects its garbage, which it may not do
-    for a long time. Without a JVM beside this process nothing happens.
+    Spark has no call that deletes a shuffle; its cleaner removes the files when the driver
+    collects its garbage, which it may not do for a long time. The second round collects what
+    the first has let go. Without a JVM beside this process nothing happens.
     """
-    gc.collect()
     jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is not None:
-        jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        if jvm is not None:
+            jvm.System.gc()
+            time.sleep(0.2)

@@ -41,7 +41,7 @@ from .wordhash import BASE, Words, batches, mix
 #: Weight of the bigram part; tokens that a task adds up at a time, and those of some rows.
 BLEND, HELD, PIECE = 0.6, 1 << 20, 1 << 17
 #: Parts of all bigrams, by their first word.
-SLICES = 6
+SLICES = 12
 
 
 def _bigrams(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,9 +194,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, slices: int
     # one strategy at every size: the labelled ids grow with the corpus and are never broadcast
     marked = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left")
     path = scratch(spark)
-    table = stored(word_table(marked.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("in_target", F.lit(False)).alias("in_target"), "text")), path)
+    table = stored(word_table(marked.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("in_target", F.lit(False)).alias("in_target"), "text")), path, "snappy")
     known = cut(table.select("doc_id", "key", "in_target", F.size("words").cast("long").alias("n_tokens")))
-    single = cut(word_counts(table))
+    single = stored(word_counts(table))
     inside, some = F.col("in_target"), F.col("n_tokens") > 0
     got = known.agg(
         F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(inside, F.col("n_tokens"))), F.lit(0)).alias("t"),
