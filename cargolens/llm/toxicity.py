@@ -107,6 +107,24 @@ def _vectors(docs: DataFrame, without: np.ndarray | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(unfold, "doc_id long, term long, n long")
 
 
+def _packed_terms(examples: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, numbers of terms, terms, counts) of the bounded sample, twelve bytes an entry on their way to the driver."""
+    terms = Terms()
+
+    def pack(batches_in):
+        for b in batches_in:
+            for row, to, text, own, n in _doc_terms(b.column(1), terms):
+                at = np.searchsorted(text, np.arange(to - row + 1))
+                cut_up = lambda x: [x[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)]  # noqa: E731,B023
+                columns = [b.column(0).slice(row, to - row), pa.array(cut_up(own), pa.binary()), pa.array(cut_up(n.astype(np.int32)), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "terms", "counts"])
+
+    found = examples.select("doc_id", "text").mapInArrow(pack, "doc_id long, terms binary, counts binary").toArrow()
+    whole = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in found.column(c)), dtype=kind)
+    counts = [len(x.as_py()) // 4 for x in found.column("counts")]
+    return found.column("doc_id").to_numpy(), np.array(counts, dtype=np.int64), whole("terms", np.uint64), whole("counts", np.int32)
+
+
 def document_frequency(docs: DataFrame, vocab: np.ndarray) -> np.ndarray:
     """In how many of all documents each term of the (sorted) vocabulary stands."""
     terms = Terms()
@@ -120,9 +138,9 @@ def document_frequency(docs: DataFrame, vocab: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocab), dtype=np.int64)
-    out[rows["term"].to_numpy()] = rows["n"].to_numpy()  # one row a term of the bounded vocabulary
+    out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()  # one row a term of the bounded vocabulary
     return out
 
 
@@ -161,8 +179,6 @@ class BlockMaxIndex:
         self.n_docs = n_docs
         ex, term, n = entries
         w = (1 + np.log(n)) * self.idf[term]
-        norm = np.sqrt(np.bincount(ex, w * w, minlength=len(ids)))
-        w = w / norm[ex]
         # examples whose heaviest term is the same share blocks, so that bounds are tight
         top = np.full(len(ids), len(vocab))
         order = np.lexsort((w, ex))
@@ -173,16 +189,23 @@ class BlockMaxIndex:
         self.ids, self.labels, self.weights = ids[rank], labels[rank], weights[rank]
         ex = place[ex]
         order = np.lexsort((ex, term))
-        self.term, self.example, self.weight = term[order].astype(np.int32), ex[order], w[order]
+        # what travels is the counts; weights follow from them
+        self.term, self.example, self.count = term[order].astype(np.int32), ex[order], n[order].astype(np.int32)
         self.n_blocks = max(1, -(-len(ids) // INDEX_BLOCK))
         self.ready = False
 
+    @property
+    def weight(self) -> np.ndarray:
+        """Unit weights of the entries."""
+        w = (1 + np.log(self.count)) * self.idf[self.term]
+        return w / np.sqrt(np.bincount(self.example, w * w, minlength=len(self.ids)))[self.example]
+
     def unfold(self) -> None:
         """Works out, once, what follows from the entries; it does not travel with the index."""
         if self.ready:
             return
         self.lists = np.searchsorted(self.term, np.arange(len(self.vocab) + 1))
-        self.at = self.example.astype(np.int64)
+        self.at, self.value = self.example.astype(np.int64), self.weight
         length = np.bincount(self.term, minlength=len(self.vocab))
         long = np.sort(np.argsort(-length, kind="stable")[:DENSE])
         self.column = np.full(len(self.vocab), -1)
@@ -190,12 +213,12 @@ class BlockMaxIndex:
         mine = self.column[self.term]
         #: one row per example
         self.dense = np.zeros((self.n_blocks * INDEX_BLOCK, len(long)))
-        self.dense[self.at[mine >= 0], mine[mine >= 0]] = self.weight[mine >= 0]
+        self.dense[self.at[mine >= 0], mine[mine >= 0]] = self.value[mine >= 0]
         by_block = self.dense.reshape(self.n_blocks, INDEX_BLOCK, len(long))
         self.dense_most = by_block.max(axis=1).T
         self.rare = np.where(self.column < 0, length, 0)
         self.single = np.ascontiguousarray(by_block.transpose(0, 2, 1), dtype=np.float32)
-        self.term = self.example = None
+        self.term = self.example = self.count = None
         self.ready = True
 
     def vectors(self, doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +240,7 @@ class BlockMaxIndex:
         pos = spans(self.lists[term], size)
         to = np.repeat(doc * width, size)
         to += self.at[pos]
-        rare = np.bincount(to, np.repeat(w, size) * self.weight[pos], minlength=n * width).reshape(n, width)
+        rare = np.bincount(to, np.repeat(w, size) * self.value[pos], minlength=n * width).reshape(n, width)
         bound = head @ self.dense_most + rare.reshape(n, n_blocks, INDEX_BLOCK).max(axis=2)
         common, left, head_single = np.zeros((n, width), dtype=np.float32), bound > 0, head.astype(np.float32)
 
@@ -328,8 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int
     rows = examples.select("doc_id", "label", "weight").collect()  # bounded by the sample
     if not rows:
         return Model(None)
-    found = _vectors(examples).toArrow()  # the distinct terms of the examples
-    hashes = found.column("term").to_numpy().view(np.uint64)
+    found_ids, sizes, hashes, counts = _packed_terms(examples)
     vocab = np.unique(hashes)
     if not len(vocab) or len({r["label"] for r in rows}) < 2:
         w = sum(r["weight"] for r in rows)
@@ -337,12 +359,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: int
     n_docs, df = docs.count(), document_frequency(keyed, vocab)
     ids = np.array([r["doc_id"] for r in rows])
     by_id = np.argsort(ids)
-    ex = by_id[np.searchsorted(ids[by_id], found.column("doc_id").to_numpy())].astype(np.int32)
-    entries = (ex, np.searchsorted(vocab, hashes).astype(np.int32), found.column("n").to_numpy().astype(np.int32))
-    del found, hashes
+    ex = np.repeat(by_id[np.searchsorted(ids[by_id], found_ids)].astype(np.int32), sizes)
+    entries = (ex, np.searchsorted(vocab, hashes).astype(np.int32), counts)
+    del hashes, counts
     index = BlockMaxIndex(
         vocab, df, n_docs, ids, np.array([r["label"] for r in rows]), np.array([r["weight"] for r in rows], dtype=float), entries
     )
+    del entries, ex
     model = Model(index)
     model.calibrate(_own_votes(examples, model))
     return model

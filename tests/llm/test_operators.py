@@ -620,6 +620,16 @@ def test_toxicity_uses_every_term(spark):
             assert abs(e["cosine"] - sum(x * vec[j].get(w, 0) for w, x in vec[i].items()) / norm[i] / norm[j]) < 1e-9
 
 
+def test_the_example_of_an_id_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(1, "alpha alpha one"), (1, "beta two"), (1, "gamma gamma three"), (2, "delta"), (2, "epsilon"), *((i, f"word{i} common") for i in range(3, 30))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic int")
+    fitted = []
+    for order in (rows, rows[::-1]):
+        model = toxicity.fit(spark.createDataFrame(order, "doc_id long, text string").coalesce(1), labels)
+        fitted.append((model.index.vocab.tolist(), model.index.weight.tolist(), model.knots[1].tolist()))
+    assert fitted[0] == fitted[1]
+
+
 def test_one_row_of_a_kept_document_stays(spark):
     words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
     rows = [(1, words[0])] * 3 + [(2, words[0])] * 2 + [(3, words[1])] + [(None, words[2])] * 2
