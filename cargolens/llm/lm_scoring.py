@@ -8,18 +8,21 @@ bigram's probability is interpolated with the unigram's, which is smoothed by on
 A document's score is the mean over its tokens of the target model's loss minus the
 background model's: the lower, the more it reads like the target.
 
-The models are tables and never leave the executors; the driver gets a few sums. Texts are
-read and cut to words once: a stored table holds the hashes of each document's words in order,
-twice the size of the input. All distinct bigrams of the corpus and of its texts take several
-times that room. They are therefore worked on in ``SLICES`` parts of all first words, one after
-another, so that shuffle files take a bounded share of the input; each slice reads the stored
-words.
-
-In a slice bigrams are counted for either model, added up inside each task before the
-shuffle. A bigram's two losses follow from its own counts and those of its words, joined once
-per distinct bigram. They are joined to the distinct bigrams of each text and added up per
-text. A text goes by a 64-bit hash: copies of a text have the same mean, however often they
-stand.
+The models never leave the executors; the driver gets a few sums. Texts are read and cut to
+words once, into a stored table of *batches*: some neighbouring texts, the 64-bit hashes of
+their distinct words, and each word's place among these. A batch asks for the counts it needs
+and gets them back:
+
+* It sends its distinct words, with how often they stand in it, sorted and cut into ranges of
+  hashes. Each range meets in one task, which adds up what all batches have sent, and answers
+  each batch with the totals in the order of its words.
+* Its distinct bigrams go the same way, in ``SLICES`` parts of all hashes, one after another,
+  so that shuffle files take a bounded share of the input.
+* The batch meets its answers again, works out the losses of its bigrams and adds them up by text.
+
+Rows of these shuffles are packed arrays. A bigram travels once for each batch in which it
+stands, so that one that every text holds is no heavier than any other, and ranges are made as
+many as keep each below ``RANGE`` entries.
 
 Defined results: null text and text without words has no tokens, losses null and score 0;
 without target documents both models are the background model and all scores are 0; repeated
@@ -29,161 +32,190 @@ documents.
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from .lineage import cut, discard, release, scratch, stored
 from .wordhash import BASE, Words, batches, mix
 
-#: Weight of the bigram part; tokens that a task adds up at a time, and those of some rows.
-BLEND, HELD, PIECE = 0.6, 1 << 20, 1 << 17
-#: Parts of all bigrams, by their first word.
-SLICES = 12
-
-
-def _bigrams(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The word before each word, whether there is none (a text's start), and a hash of both."""
-    before = np.zeros_like(hashes)
-    before[1:] = hashes[:-1]
-    start = np.zeros(len(hashes), dtype=bool)
-    start[at[:-1][at[:-1] < at[1:]]] = True
-    before[start] = 0
-    pair = before * np.uint64(BASE) + hashes
-    pair[start] = mix(~pair[start])
-    return before, start, mix(pair)
-
-
-def _rows(before: np.ndarray, start: np.ndarray, hashes: np.ndarray, *n: np.ndarray) -> list[pa.Array]:
-    return [pa.array(before.view(np.int64), mask=start), pa.array(hashes.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)]
+#: Weight of the bigram part.
+BLEND = 0.6
+#: Tokens of a batch, unless one text has more, and entries in a range of hashes, about.
+BATCH, RANGE = 1 << 18, 1 << 22
+#: Parts of all bigrams, by their hashes.
+SLICES = 2
 
+BATCHES = "batch long, ids array<long>, inside array<boolean>, sizes array<long>, vocab binary, tokens binary"
+ASKED = "range long, batch long, hashes binary, n binary, t binary"
+ANSWERED = "batch long, kind int, range long, n binary, t binary, known long"
 
-def _part(before: np.ndarray, part: tuple[int, int]) -> np.ndarray:
-    """Which bigrams belong to part (i, of n), by the word before."""
-    return mix(before + np.uint64(1)) % np.uint64(part[1]) == part[0]
 
-
-def word_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, in_target, words): hashes of the words of each row of (doc_id, key, in_target, text), in order."""
+def batch_table(docs: DataFrame) -> DataFrame:
+    """Batches of the rows of (doc_id, in_target, text)."""
     words = Words(fold=True)
 
     def cut_up(batches_in):
+        held: list[tuple] = []
+        number = TaskContext.get().partitionId() << 32
+
+        def emit():
+            nonlocal number
+            ids, inside, sizes, hashes = zip(*held, strict=True)
+            vocab, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+            columns = [
+                pa.array([number]), pa.array([[i for x in ids for i in x]], pa.list_(pa.int64())), pa.array([[i for x in inside for i in x]], pa.list_(pa.bool_())),
+                pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([vocab.tobytes()], pa.binary()), pa.array([tokens.astype(np.uint32).tobytes()], pa.binary()),
+            ]
+            number += 1
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["batch", "ids", "inside", "sizes", "vocab", "tokens"])
+
         for b in batches_in:
-            for row, to, data, offsets in batches(b.column(3)):
+            for row, to, data, offsets in batches(b.column(2)):
                 hashes, at = words.of(data, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(row, to - row) for i in range(3)), lists], names=["doc_id", "key", "in_target", "words"])
-
-    return docs.select("doc_id", "key", "in_target", "text").mapInArrow(cut_up, "doc_id long, key long, in_target boolean, words array<long>")
-
-
-def _pieces(lists: pa.ListArray):
-    """(first row, end row, word hashes, where each row's begin): some rows at a time."""
-    offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)
-    row = 0
-    while row < len(lists):
-        to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + PIECE, side="right")) - 1)
-        yield row, to, values[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
-        row = to
-
-
-def _added(batches_in, names: list[str], parts):
-    """Sums (n, t) of equal rows, added up inside the task: ``parts`` gives (sort key, in target, columns) of some rows at a time."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def emit():
-        key, inside, *columns = map(np.concatenate, zip(*held, strict=True))
-        _, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        t = np.bincount(back, inside, minlength=len(first))
-        own = [c[first] for c in columns]
-        head = _rows(*own, n, t) if len(own) == 3 else [pa.array(own[0].view(np.int64)), pa.array(n), pa.array(t.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(head, names=names)
-
-    for b in batches_in:
-        for some in parts(b):
-            if len(some[0]):
-                held.append(some)
-            if sum(len(h[0]) for h in held) > HELD:
-                yield emit()
-                held.clear()
-    if held:
-        yield emit()
-
-
-def word_counts(table: DataFrame) -> DataFrame:
-    """(word, n, t) over all texts and over those of the target."""
-
-    def parts(b):
-        inside = b.column(0).to_numpy(zero_copy_only=False)
-        for row, to, hashes, at in _pieces(b.column(1)):
-            yield hashes, np.repeat(inside[row:to], np.diff(at)), hashes
-
-    rows = table.select("in_target", "words").mapInArrow(lambda batches_in: _added(batches_in, ["word", "n", "t"], parts), "word long, n long, t long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def bigram_counts(table: DataFrame, part: tuple[int, int]) -> DataFrame:
-    """(before, word, n, t) over all texts and over those of the target; ``before`` is null at a text's start."""
-
-    def parts(b):
-        inside = b.column(0).to_numpy(zero_copy_only=False)
-        for row, to, hashes, at in _pieces(b.column(1)):
-            before, start, pair = _bigrams(hashes, at)
-            mine = _part(before, part)
-            yield tuple(x[mine] for x in (pair, np.repeat(inside[row:to], np.diff(at)), before, start, hashes))
-
-    names = ["before", "word", "n", "t"]
-    rows = table.select("in_target", "words").mapInArrow(lambda batches_in: _added(batches_in, names, parts), "before long, word long, n long, t long")
-    return rows.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def text_bigrams(table: DataFrame, part: tuple[int, int]) -> DataFrame:
-    """(key, before, word, n): the distinct bigrams of each text."""
-
-    def unfold(batches_in):
+                ids, inside = b.column(0).slice(row, to - row).to_pylist(), b.column(1).slice(row, to - row).to_pylist()
+                lo = 0
+                while lo < to - row:
+                    room = BATCH - sum(len(h[3]) for h in held)
+                    hi = max(lo + (not held), int(np.searchsorted(at, at[lo] + room, side="right")) - 1)
+                    if hi > lo:
+                        held.append((ids[lo:hi], inside[lo:hi], np.diff(at[lo : hi + 1]), hashes[at[lo] : at[hi]]))
+                        lo = hi
+                    if lo < to - row:
+                        yield emit()
+        if held:
+            yield emit()
+
+    return docs.select("doc_id", "in_target", "text").mapInArrow(cut_up, BATCHES)
+
+
+class Batch:
+    """One row of the batch table."""
+
+    def __init__(self, inside: pa.Scalar, sizes: pa.Scalar, vocab: pa.Scalar, tokens: pa.Scalar):
+        self.sizes = sizes.values.to_numpy()
+        self.vocab, self.tokens = np.frombuffer(vocab.as_py(), dtype=np.uint64), np.frombuffer(tokens.as_py(), dtype=np.uint32)
+        self.inside = np.repeat(inside.values.to_numpy(zero_copy_only=False), self.sizes)
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, n, t) of each distinct word, by hash; those of the target are t."""
+        size = len(self.vocab)
+        return self.vocab, np.bincount(self.tokens, minlength=size), np.bincount(self.tokens, self.inside, minlength=size).astype(np.int64)
+
+    def starts(self) -> np.ndarray:
+        out = np.zeros(len(self.tokens), dtype=bool)
+        out[self.first[self.sizes > 0]] = True
+        return out
+
+    def pair_hashes(self) -> np.ndarray:
+        """A hash of each token and the one before, or of the token alone at a text's start."""
+        hashes, start = self.vocab[self.tokens], self.starts()
+        before = np.zeros_like(hashes)
+        before[1:] = hashes[:-1]
+        before[start] = 0
+        pair = before * np.uint64(BASE) + hashes
+        pair[start] = mix(~pair[start])
+        return mix(pair)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, n, t) of each distinct bigram, by hash, and the place of each token's bigram among them."""
+        pairs, back, n = np.unique(self.pair_hashes(), return_inverse=True, return_counts=True)
+        return pairs, n, np.bincount(back, self.inside, minlength=len(pairs)).astype(np.int64), back
+
+
+def _edges(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that sorted hashes fall into, and where each range begins; one more place."""
+    width = -(-(1 << 64) // ranges)
+    at = hashes // np.uint64(width) if ranges > 1 else np.zeros(len(hashes), dtype=np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, dtype=np.int64)
+    return at[first].astype(np.int64), np.append(first, len(hashes))
+
+
+def _part(pairs: np.ndarray, part: int, parts: int) -> tuple[int, int]:
+    """From which to which of the sorted hashes a part goes."""
+    width = -(-(1 << 64) // parts)
+    lo, hi = np.searchsorted(pairs, np.uint64(part * width)), len(pairs) if part == parts - 1 else np.searchsorted(pairs, np.uint64((part + 1) * width))
+    return int(lo), int(hi)
+
+
+def asked(table: DataFrame, ranges: int, part: tuple[int, int] | None = None) -> DataFrame:
+    """What the batches ask for, a row a batch and range: their words, or a part of their bigrams."""
+
+    def ask(batches_in):
         for b in batches_in:
-            for row, _, hashes, at in _pieces(b.column(1)):
-                before, start, pair = _bigrams(hashes, at)
-                mine = _part(before, part)
-                text = np.repeat(np.arange(len(at) - 1), np.diff(at))[mine]
-                before, start, pair, hashes = before[mine], start[mine], pair[mine], hashes[mine]
-                _, first, n = np.unique(mix(pair ^ mix(text.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
-                order = np.argsort(first)  # the rows of a text together, so that their keys take no room
-                first, n = first[order], n[order]
-                keys = b.column(0).take(pa.array(row + text[first]))
-                yield pa.RecordBatch.from_arrays([keys, *_rows(before[first], start[first], hashes[first], n)], names=["key", "before", "word", "n"])
-
-    return table.select("key", "words").mapInArrow(unfold, "key long, before long, word long, n long")
-
-
-class Sums(NamedTuple):
-    """Tokens and texts with a token, of all documents (n) and of the target (t), and the size of the vocabulary."""
-
-    words: int
-    n: int
-    t: int
-    n_texts: int
-    t_texts: int
-
-
-def bigram_losses(table: DataFrame, single: DataFrame, sums: Sums, part: tuple[int, int]) -> DataFrame:
-    """(pair, target_loss, background_loss) of each distinct bigram of a part."""
-    pairs = bigram_counts(table, part)
-    # the counts grow with the corpus and are never broadcast; a partition's share of them is hashed, which spares sorting the bigrams
-    first = single.select(F.col("word").alias("before"), F.col("n").alias("before_n"), F.col("t").alias("before_t")).hint("shuffle_hash")
-    second = single.select("word", F.col("n").alias("word_n"), F.col("t").alias("word_t")).hint("shuffle_hash")
-    known = pairs.join(first, "before", "left").join(second, "word")
-
-    def loss(c: str) -> Column:
-        if not sums.t:
-            c = "n"
-        total, starts = (sums.n, sums.n_texts) if c == "n" else (sums.t, sums.t_texts)
-        context = F.greatest(F.coalesce(F.col(f"before_{c}"), F.lit(starts)), F.lit(1))
-        return -F.log(F.lit(BLEND) * F.col(c) / context + F.lit(1 - BLEND) * (F.col(f"word_{c}") + 1) / F.lit(float(total + sums.words)))
-
-    return known.select(F.xxhash64("before", "word").alias("pair"), loss("t").alias("target_loss"), loss("n").alias("background_loss"))
+            for i in range(b.num_rows):
+                own = Batch(*(b.column(c)[i] for c in range(1, 5)))
+                hashes, n, t = own.words() if part is None else own.pairs()[:3]
+                if part is not None:
+                    lo, hi = _part(hashes, *part)
+                    hashes, n, t = hashes[lo:hi], n[lo:hi], t[lo:hi]
+                at, edge = _edges(hashes, ranges)
+                packed = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)], pa.binary())  # noqa: E731,B023
+                columns = [pa.array(at), pa.array(np.full(len(at), b.column(0)[i].as_py())), packed(hashes), packed(n.astype(np.int32)), packed(t.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["range", "batch", "hashes", "n", "t"])
+
+    return table.select("batch", "inside", "sizes", "vocab", "tokens").mapInArrow(ask, ASKED)
+
+
+def answered(questions: DataFrame, kind: int) -> DataFrame:
+    """The totals of what was asked, in its order. ``known``: number of distinct hashes of a range, once a range."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        whole = lambda c, x: [np.frombuffer(v.as_py(), dtype=x) for v in group.column(c)]
+        hashes, n, t = whole("hashes", np.uint64), whole("n", np.int32), whole("t", np.int32)
+        each, back = np.unique(np.concatenate(hashes), return_inverse=True)
+        edge = np.cumsum([0, *(len(h) for h in hashes)])
+
+        def totals(parts: list[np.ndarray]) -> pa.Array:
+            total = np.bincount(back, np.concatenate(parts), minlength=len(each)).astype(np.int64)[back]
+            return pa.array([total[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+
+        rows = group.num_rows
+        known = pa.array([len(each), *[0] * (rows - 1)], pa.int64())
+        columns = [group.column("batch"), pa.array([kind] * rows, pa.int32()), group.column("range"), totals(n), totals(t), known]
+        return pa.Table.from_arrays(columns, names=["batch", "kind", "range", "n", "t", "known"])
+
+    return questions.groupBy("range").applyInArrow(answer, ANSWERED)
+
+
+def text_losses(table: DataFrame, answers: DataFrame, sums: dict) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss) of every text; the losses are means over its tokens."""
+    shape = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())])
+
+    def score(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        kind = group.column("kind").to_numpy()
+        (row,) = np.flatnonzero(kind == 0)
+        own = Batch(*(group.column(c)[int(row)] for c in ("inside", "sizes", "vocab", "tokens")))
+        order = np.lexsort((group.column("range").to_numpy(), kind))
+        whole = lambda c, wanted: np.frombuffer(b"".join(group.column(c)[int(i)].as_py() for i in order if wanted(kind[i])), dtype=np.int64)
+        back, start = own.pairs()[3], own.starts()
+        before = np.concatenate([own.tokens[:1], own.tokens[:-1]])
+
+        def losses(c: str) -> np.ndarray:
+            words, pairs = whole(c, lambda k: k == 1), whole(c, lambda k: k > 1)
+            total, starts = sums[c], sums[f"{c}_texts"]
+            context = np.maximum(np.where(start, starts, words[before]), 1)
+            smooth = (words[own.tokens] + 1) / (total + sums["words"])
+            each = -np.log(BLEND * pairs[back] / context + (1 - BLEND) * smooth)
+            some = own.sizes > 0
+            out = np.full(len(own.sizes), np.nan)
+            if some.any():
+                out[some] = np.add.reduceat(each, own.first[some]) / own.sizes[some]
+            return out
+
+        t, n = losses("t" if sums["t"] else "n"), losses("n")
+        ids = group.column("ids")[int(row)].values
+        return pa.Table.from_arrays([ids, pa.array(own.sizes), pa.array(t, mask=np.isnan(t)), pa.array(n, mask=np.isnan(n))], schema=shape)
+
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    texts = table.select("*", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("range"), *none("binary", "n", "t"))
+    given = answers.select("batch", *none("array<long>", "ids"), *none("array<boolean>", "inside"), *none("array<long>", "sizes"), *none("binary", "vocab", "tokens"), "kind", "range", "n", "t")
+    both = texts.unionByName(given)
+    return both.groupBy("batch").applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double")
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, slices: int | None = None) -> DataFrame:
@@ -193,32 +225,31 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, slices: int
     wanted = target_ids.select(F.col("doc_id").cast("long"), F.lit(True).alias("in_target")).distinct()
     # one strategy at every size: the labelled ids grow with the corpus and are never broadcast
     marked = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left")
-    path = scratch(spark)
-    table = stored(word_table(marked.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("in_target", F.lit(False)).alias("in_target"), "text")), path, "snappy")
-    known = cut(table.select("doc_id", "key", "in_target", F.size("words").cast("long").alias("n_tokens")))
-    single = stored(word_counts(table))
-    inside, some = F.col("in_target"), F.col("n_tokens") > 0
-    got = known.agg(
-        F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(inside, F.col("n_tokens"))), F.lit(0)).alias("t"),
-        F.count_if(some).alias("n_texts"), F.count_if(some & inside).alias("t_texts"),
-    ).first()
-    sums = Sums(single.count(), *got)
-
-    def one(i: int) -> DataFrame:
-        losses = bigram_losses(table, single, sums, (i, slices))
-        own = text_bigrams(table, (i, slices)).select("key", F.xxhash64("before", "word").alias("pair"), "n")
-        both = own.join(losses.hint("shuffle_hash"), "pair").groupBy("key")
-        return cut(both.agg(F.sum(F.col("n") * F.col("target_loss")).alias("t"), F.sum(F.col("n") * F.col("background_loss")).alias("b"), F.sum("n").alias("n")))
-
+    paths = [scratch(spark)]
+    table = stored(batch_table(marked.select("doc_id", F.coalesce("in_target", F.lit(False)).alias("in_target"), "text")), paths[0], "snappy")
+    each = table.select(F.inline(F.arrays_zip("inside", "sizes")))
+    some, inside = F.col("sizes") > 0, F.col("inside")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    got = each.agg(
+        total("sizes").alias("n"), total(F.when(inside, F.col("sizes"))).alias("t"), F.count_if(some).alias("n_texts"), F.count_if(some & inside).alias("t_texts")
+    ).first()
     release(spark)
-    parts = one(0)
-    for i in range(1, slices):
+    sums = got.asDict()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sums["n"] // RANGE))
+    answers = None
+    for i in range(-1, slices):
+        questions = asked(table, ranges, None if i < 0 else (i, slices))
+        paths.append(scratch(spark))
+        answer = stored(answered(questions.repartition(ranges, "range"), 2 + i), paths[-1])
+        answers = answer if answers is None else answers.unionByName(answer)
+        if i < 0:
+            sums["words"] = answer.agg(total("known")).first()[0]
         release(spark)
-        parts = parts.unionByName(one(i))
-    discard(spark, path)  # what is left does not read the words again
-    means = parts.groupBy("key").agg((F.sum("t") / F.sum("n")).alias("target_loss"), (F.sum("b") / F.sum("n")).alias("background_loss"))
+    out = cut(text_losses(table, answers, sums))
+    for path in paths:  # what is left does not read them again
+        discard(spark, path)
     score = F.coalesce(F.col("target_loss") - F.col("background_loss"), F.lit(0.0)).alias("score")
-    return known.join(means.hint("merge"), "key", "left").select("doc_id", "n_tokens", "target_loss", "background_loss", score)
+    return out.select("doc_id", "n_tokens", "target_loss", "background_loss", score)
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:

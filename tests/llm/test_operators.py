@@ -587,6 +587,19 @@ def test_lm_counts_are_exact_in_a_large_vocabulary(spark):
             assert g[2:] == (None, None, 0.0)
 
 
+def test_slices_batches_and_ranges_change_no_score(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    good = labels.filter("quality = 1").select("doc_id")
+    score = lambda slices, d=docs: {r["doc_id"]: tuple(r)[1:] for r in lm_scoring.cross_entropy_difference(d, good, slices).collect()}
+    want = score(1)
+    assert len(want) == docs.count() and any(v[3] for v in want.values())
+    assert score(5) == want
+    monkeypatch.setattr(lm_scoring, "BATCH", 700)
+    monkeypatch.setattr(lm_scoring, "RANGE", 900)
+    got = score(3, docs.repartition(5))
+    assert got.keys() == want.keys() and all(np.allclose(got[i][1:], want[i][1:], atol=1e-11) and got[i][0] == want[i][0] for i in want)
+
+
 def test_toxicity_uses_every_term(spark):
     rng = random.Random(7)
     common = [f"c{i}" for i in range(12)]
