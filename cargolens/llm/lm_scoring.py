@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,6 +53,15 @@ ASKED = "range long, batch long, hashes binary, n binary, t binary"
 ANSWERED = "batch long, kind int, range long, n binary, t binary, known long"
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Small numbers, at a fraction of their bytes."""
+    return zstandard.compress(x.tobytes(), 1)
+
+
+def _unpack(x: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x.as_py()), dtype=kind)
+
+
 def batch_table(docs: DataFrame) -> DataFrame:
     """Batches of the rows of (doc_id, in_target, text)."""
     words = Words(fold=True)
@@ -66,7 +76,7 @@ def batch_table(docs: DataFrame) -> DataFrame:
             vocab, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
             columns = [
                 pa.array([number]), pa.array([[i for x in ids for i in x]], pa.list_(pa.int64())), pa.array([[i for x in inside for i in x]], pa.list_(pa.bool_())),
-                pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([vocab.tobytes()], pa.binary()), pa.array([tokens.astype(np.uint32).tobytes()], pa.binary()),
+                pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([vocab.tobytes()], pa.binary()), pa.array([_pack(tokens.astype(np.uint32))], pa.binary()),
             ]
             number += 1
             held.clear()
@@ -96,7 +106,7 @@ class Batch:
 
     def __init__(self, inside: pa.Scalar, sizes: pa.Scalar, vocab: pa.Scalar, tokens: pa.Scalar):
         self.sizes = sizes.values.to_numpy()
-        self.vocab, self.tokens = np.frombuffer(vocab.as_py(), dtype=np.uint64), np.frombuffer(tokens.as_py(), dtype=np.uint32)
+        self.vocab, self.tokens = np.frombuffer(vocab.as_py(), dtype=np.uint64), _unpack(tokens, np.uint32)
         self.inside = np.repeat(inside.values.to_numpy(zero_copy_only=False), self.sizes)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
 
@@ -153,8 +163,8 @@ def asked(table: DataFrame, ranges: int, part: tuple[int, int] | None = None) ->
                     lo, hi = _part(hashes, *part)
                     hashes, n, t = hashes[lo:hi], n[lo:hi], t[lo:hi]
                 at, edge = _edges(hashes, ranges)
-                packed = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)], pa.binary())  # noqa: E731,B023
-                columns = [pa.array(at), pa.array(np.full(len(at), b.column(0)[i].as_py())), packed(hashes), packed(n.astype(np.int32)), packed(t.astype(np.int32))]
+                parts = lambda x, pack: pa.array([pack(x[a:z]) for a, z in zip(edge[:-1], edge[1:], strict=True)], pa.binary())  # noqa: E731,B023
+                columns = [pa.array(at), pa.array(np.full(len(at), b.column(0)[i].as_py())), parts(hashes, np.ndarray.tobytes), parts(n.astype(np.int32), _pack), parts(t.astype(np.int32), _pack)]
                 yield pa.RecordBatch.from_arrays(columns, names=["range", "batch", "hashes", "n", "t"])
 
     return table.select("batch", "inside", "sizes", "vocab", "tokens").mapInArrow(ask, ASKED)
@@ -164,14 +174,14 @@ def answered(questions: DataFrame, kind: int) -> DataFrame:
     """The totals of what was asked, in its order. ``known``: number of distinct hashes of a range, once a range."""
 
     def answer(group: pa.Table) -> pa.Table:
-        whole = lambda c, x: [np.frombuffer(v.as_py(), dtype=x) for v in group.column(c)]
-        hashes, n, t = whole("hashes", np.uint64), whole("n", np.int32), whole("t", np.int32)
+        hashes = [np.frombuffer(v.as_py(), dtype=np.uint64) for v in group.column("hashes")]
+        n, t = ([_unpack(v, np.int32) for v in group.column(c)] for c in ("n", "t"))
         each, back = np.unique(np.concatenate(hashes), return_inverse=True)
         edge = np.cumsum([0, *(len(h) for h in hashes)])
 
         def totals(parts: list[np.ndarray]) -> pa.Array:
             total = np.bincount(back, np.concatenate(parts), minlength=len(each)).astype(np.int64)[back]
-            return pa.array([total[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+            return pa.array([_pack(total[a:z]) for a, z in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
 
         rows = group.num_rows
         known = pa.array([len(each), *[0] * (rows - 1)], pa.int64())
@@ -191,7 +201,7 @@ def text_losses(table: DataFrame, answers: DataFrame, sums: dict) -> DataFrame:
         (row,) = np.flatnonzero(kind == 0)
         own = Batch(*(group.column(c)[int(row)] for c in ("inside", "sizes", "vocab", "tokens")))
         order = np.lexsort((group.column("range").to_numpy(), kind))
-        whole = lambda c, wanted: np.frombuffer(b"".join(group.column(c)[int(i)].as_py() for i in order if wanted(kind[i])), dtype=np.int64)
+        whole = lambda c, wanted: np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack(group.column(c)[int(i)], np.int64) for i in order if wanted(kind[i]))])
         back, start = own.pairs()[3], own.starts()
         before = np.concatenate([own.tokens[:1], own.tokens[:-1]])
 
