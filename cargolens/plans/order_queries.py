@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.addresses import order_geo, resolve_state
 from ..operators import metrics, orders as ops
 from ..operators.filters import order_filter, scope
-from ..sources import tables
+from ..sources.stored import Stored
 from ..sources.tables import scratch
 from ..schema import DEFAULT_FORMULAS, FORMULAS, KNOWN_STATUSES, LISTED, STATE_OF_NAME
-from .orders_doc import NAMESPACE, ORDERS_DOC_SQL, orders_doc
+from .orders_doc import NAMESPACE, ORDERS_DOC_SQL, orders_doc, stored_orders
 
 AS_OF = "2001-08-01"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,13 +23,16 @@ WITH = f"WITH raw_orders AS ({ORDERS_DOC_SQL}), orders_doc AS (SELECT *, TRY_CAS
 
 def register(name: str, build: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
     """``build`` gets the orders in scope."""
-    QUERIES[name] = lambda spark, sf_dir: build(scope(orders_doc(spark, sf_dir), NAMESPACE))
+    QUERIES[name] = lambda spark, sf_dir: build(scope(stored_orders(spark, sf_dir), NAMESPACE))
     if sql is not None:
         SQL[name] = f"{WITH} {sql}" if sql.lstrip().upper().startswith("SELECT") else f"{WITH}, {sql.lstrip()}"
 
 
+# as it is derived from the tables; all other queries read it as it is stored
 register("orders_doc", lambda o: o, "SELECT * EXCLUDE (distance_num) FROM orders_doc")
 
+QUERIES["orders_doc"] = lambda spark, sf_dir: scope(orders_doc(spark, sf_dir), NAMESPACE)
+
 STATUS = "coalesce(nullif(orderstatus, ''), 'Unknown')"
 register(
     "status_summary",
@@ -116,9 +119,10 @@ TOKENS = """tokens AS (
 
 
 def tokens(o: DataFrame) -> DataFrame:
-    t = lambda n, c: o.filter(F.col("orderid") % n == 0).select(c.cast("string").alias("token"))
+    every = lambda n, c: F.when(F.col("orderid") % n == 0, c.cast("string"))
+    own = F.array_compact(F.array(every(7, F.lower("ordernumber")), every(11, F.col("orderid")), every(13, F.col("tempordernumber"))))
     none = o.sparkSession.createDataFrame([("MRP0",)], "token string")
-    return t(7, F.lower("ordernumber")).union(t(11, F.col("orderid"))).union(t(13, F.col("tempordernumber"))).union(none).distinct()
+    return o.select(F.explode(own).alias("token")).union(none).distinct()
 
 
 register(
@@ -267,13 +271,14 @@ register(
 
 def replaced(o: DataFrame) -> DataFrame:
     """All orders by company; then one company's even ids replace it, another one's go, and a third one's stand twice."""
-    path = scratch(o.sparkSession)
     rows = o.select("orderid", F.col("companycode").alias("namespace"))
-    tables.write_namespace(rows, path)
-    tables.write_namespace(rows.filter("namespace = 'BUILDING' and orderid % 2 = 0"), path)
-    tables.write_namespace(rows.limit(0), path, namespace="MACHINERY")
-    tables.write_namespace(rows.filter("namespace = 'FURNITURE'"), path, replace=False)
-    return o.sparkSession.read.schema("orderid long, namespace string").parquet(path)
+    table = Stored(o.sparkSession, scratch(o.sparkSession), "orderid long, namespace string")
+    table.write(rows)
+    table.write(rows.filter("namespace = 'BUILDING' and orderid % 2 = 0"), values=["BUILDING"])
+    table.write(rows.limit(0), values=["MACHINERY"])
+    table.write(rows.filter("namespace = 'FURNITURE'"), replace=False)
+    table.vacuum()
+    return table.read()
 
 
 register(

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.embedding import embed
 from ..operators import chunking, shipments, vectors
 from ..sources import readers, tables
-from .orders_doc import ORDERS_DOC_SQL, orders_doc
+from ..sources.stored import Stored
+from .orders_doc import ORDERS_DOC_SQL, stored_orders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,7 +124,7 @@ register(
 register("embed_text", DOCS, lambda d: d.select("doc_id", embed(F.col("text")).alias("embedding")))
 
 # files: orders as JSON texts in five shapes, and documents as plain texts
-ORDERS = orders_doc
+ORDERS = stored_orders
 RECORD = "{'orderid': orderid, 'ordernumber': ordernumber, 'orderstatus': orderstatus}"
 
 
@@ -223,14 +224,14 @@ register("commodity_valid", ORDERS, lambda o: o.selectExpr("orderid", f"{COMMODI
 
 # vectors are stored by label, then one label's are replaced by half of them and another one's by none
 def stored_vectors(e: DataFrame) -> DataFrame:
-    path = tables.scratch(e.sparkSession)
+    table = Stored(e.sparkSession, tables.scratch(e.sparkSession), "vec_id long, embedding array<float>, namespace string")
     chunks = e.select("vec_id", "embedding", F.concat(F.lit("label "), F.col("label").cast("string")).alias("namespace"))
-    tables.write_namespace(chunks, path)
-    tables.write_vectors(chunks.filter("namespace = 'label 1' and vec_id % 2 = 0"), path, "label 1")
-    tables.write_vectors(chunks.limit(0), path, "label 2")
-    tables.write_vectors(chunks.filter("namespace = 'label 3' and vec_id % 2 = 0"), path, "label 3", replace=False)
-    stored = e.sparkSession.read.schema("vec_id long, embedding array<float>, namespace string").parquet(path)
-    return stored.select("vec_id", "namespace", F.size("embedding").alias("dimensions"))
+    table.write(chunks)
+    tables.write_vectors(table, chunks.filter("namespace = 'label 1' and vec_id % 2 = 0"), "label 1")
+    tables.write_vectors(table, chunks.limit(0), "label 2")
+    tables.write_vectors(table, chunks.filter("namespace = 'label 3' and vec_id % 2 = 0"), "label 3", replace=False)
+    table.vacuum()
+    return table.read().select("vec_id", "namespace", F.size("embedding").alias("dimensions"))
 
 
 register(
@@ -238,9 +239,3 @@ register(
     """SELECT vec_id, 'label ' || label AS namespace, CAST(len(embedding) AS INTEGER) AS dimensions FROM embeddings WHERE label <> 2 AND (label <> 1 OR vec_id % 2 = 0)
     UNION ALL SELECT vec_id, 'label 3', CAST(len(embedding) AS INTEGER) FROM embeddings WHERE label = 3 AND vec_id % 2 = 0""",
 )
-
-# other names of the same queries
-for name in ("vector_cosine", "vector_topk", "vector_topk_min_score", "vector_topk_context"):
-    QUERIES[f"{name}_every20"], SQL[f"{name}_every20"] = QUERIES[name], SQL[name]
-for name in ("text_reconcile_pdf", "text_reconcile_render", "text_reconcile_word", "form_fields_text"):
-    QUERIES[f"{name}_whole"], SQL[f"{name}_whole"] = QUERIES[name], SQL[name]

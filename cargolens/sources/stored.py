@@ -63,18 +63,19 @@ class Stored:
         escaped = self.jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(value))
         return f"{self.by}={escaped}"
 
-    def write(self, rows: DataFrame, replace: bool = True, values: list | None = None, batch: tuple[str, int] | None = None) -> bool:
+    def write(self, rows: DataFrame, replace: bool = True, values: list | None = None, batch: tuple[str, int] | None = None, **options: str) -> bool:
         """Replaces the values of the partition column that stand in ``rows``, or adds to them.
 
         ``values`` are replaced also if they have no rows: they are empty then. ``batch`` is a
-        writer and a number that rises; False if that batch is there already.
+        writer and a number that rises; False if that batch is there already. ``options`` go to
+        the Parquet writer; rows keep their order.
         """
         manifest = self.manifest()
         if batch is not None and manifest["batches"].get(batch[0], -1) >= batch[1]:
             return False
         folder = uuid.uuid4().hex
         columns = [f.name for f in self.schema if f.name != self.by]
-        rows.select(*columns, self.by).write.partitionBy(self.by).parquet(f"{self.path}/data/{FOLDER}={folder}")
+        rows.select(*columns, self.by).write.options(**options).partitionBy(self.by).parquet(f"{self.path}/data/{FOLDER}={folder}")
         if replace:
             for value in values or []:
                 manifest["parts"].pop(self._partition(value), None)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .stored import Stored
+
 # Fields of the searchable text, in order.
 PREFERRED = (
     "orderid", "ordernumber", "tempordernumber", "orderdate", "customername", "customercode", "companycode", "salesmanname",
@@ -44,23 +45,13 @@ def build_documents(orders: DataFrame, source: str, ingested_at: Column, embeddi
     )
 
 
-def write_namespace(df: DataFrame, path: str, replace: bool = True, namespace: str | None = None) -> None:
-    """Replaces the partitions of the namespaces in ``df``, or adds to them.
+def write_vectors(table: Stored, chunks: DataFrame, namespace: str, replace: bool = True) -> None:
+    """Chunks (chunk_id, text, embedding, metadata ...) as the namespace's rows, or added to them; rows without a vector are no matches and stay out.
 
-    With a ``namespace`` all rows go there, and replacing it by no rows empties it.
+    Replacing a namespace by no rows empties it.
     """
-    if namespace is not None:
-        rows = df.drop("namespace").write.mode("overwrite" if replace else "append")
-        rows.parquet(f"{path}/namespace={quote(namespace, safe=' ')}")
-    elif replace:
-        df.write.partitionBy("namespace").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
-        df.write.partitionBy("namespace").mode("append").parquet(path)
-
-
-def write_vectors(chunks: DataFrame, path: str, namespace: str, replace: bool = True) -> None:
-    """Chunks (chunk_id, text, embedding, metadata ...) as the namespace's rows, or added to them; rows without a vector are no matches and stay out."""
-    write_namespace(chunks.filter(F.size("embedding") > 0), path, replace, namespace)
+    rows = chunks.filter(F.size("embedding") > 0).withColumn("namespace", F.lit(namespace))
+    table.write(rows, replace, values=[namespace])
 
 
 def scratch(spark: SparkSession) -> str:

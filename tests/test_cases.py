@@ -16,6 +16,7 @@ from cargolens.operators import chunking, metrics, sessions, shipments, vectors
 from cargolens.plans import registry
 from cargolens.plans.orders_doc import orders_doc
 from cargolens.sources import readers, tables
+from cargolens.sources.stored import Stored
 
 from .oracle import DATA
 
@@ -190,7 +191,7 @@ def test_split_text_overlaps():
 def test_every_twentieth_vector_is_a_query(spark):
     ids = {r[0] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id").collect()}
     assert max(ids) >= 20
-    assert {r[0] for r in registry.QUERIES["vector_topk_every20"](spark, DATA).select("query_id").distinct().collect()} == ids
+    assert {r[0] for r in registry.QUERIES["vector_topk"](spark, DATA).select("query_id").distinct().collect()} == ids
 
 
 def test_top_k_in_blocks_is_that_of_all_pairs(spark):
@@ -220,7 +221,7 @@ def test_follow_ups_reuse_what_was_said(spark):
     assert all(got[k][f"{c}_in_force"] is None for k in ((1, 2), (2, 0)) for c in sessions.STICKY)
 
 
-@pytest.mark.parametrize("name", ["text_reconcile_pdf_whole", "form_fields_text_whole"])
+@pytest.mark.parametrize("name", ["text_reconcile_pdf", "form_fields_text"])
 def test_whole_texts_take_part(spark, name):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     got = {r["doc_id"]: r["text"] for r in registry.QUERIES[name](spark, DATA).collect()}
@@ -272,12 +273,10 @@ def test_responses(spark):
 
 
 def test_an_empty_batch_empties_a_namespace(spark, tmp_path):
-    path = str(tmp_path / "t")
-    rows = spark.createDataFrame([(1, "a b"), (2, "c")], "x int, namespace string")
-    tables.write_namespace(rows, path)
-    tables.write_namespace(rows.limit(0), path, namespace="a b")
-    assert [tuple(r) for r in spark.read.schema("x int, namespace string").parquet(path).collect()] == [(2, "c")]
-    vectors_in = spark.createDataFrame([(1, [1.0]), (2, [])], "chunk_id int, embedding array<float>")
-    tables.write_vectors(vectors_in, str(tmp_path / "v"), "n")
-    tables.write_vectors(vectors_in, str(tmp_path / "v"), "n", replace=False)
-    assert [r["chunk_id"] for r in spark.read.parquet(str(tmp_path / "v")).collect()] == [1, 1]
+    table = Stored(spark, str(tmp_path / "v"), "chunk_id int, embedding array<double>, namespace string")
+    vectors_in = spark.createDataFrame([(1, [1.0]), (2, [])], "chunk_id int, embedding array<double>")
+    for namespace, replace in (("n", True), ("n", False), ("a b", True)):
+        tables.write_vectors(table, vectors_in, namespace, replace)
+    assert sorted((r["namespace"], r["chunk_id"]) for r in table.read().collect()) == [("a b", 1), ("n", 1), ("n", 1)]
+    tables.write_vectors(table, vectors_in.limit(0), "n")
+    assert [(r["namespace"], r["chunk_id"]) for r in table.read().collect()] == [("a b", 1)]
