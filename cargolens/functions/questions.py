@@ -1,14 +1,17 @@
 """Typed annotations of questions, as column expressions.
 
 ``read`` takes a question apart once, into its words and its blank-separated parts; every
-annotator works on that. A rule asks which classes of words a question holds, wherever they
-stand, or what stands behind a label word. Nothing is a Python UDF, so that a table of
+annotator works on that. One dictionary gives each word and phrase the classes it belongs to,
+as bits: a question's words are looked up once and their bits combined. A rule asks for bits,
+wherever the words stand, or what stands behind a label word. Nothing is a Python UDF, so that a table of
 questions is annotated in one pass.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -46,6 +49,51 @@ GREETINGS = (
 )
 FOLLOW_UP = ("that", "this", "same", "it", "its", "uska", "uski", "uske", "wo", "woh", "previous", "again")
 OF_AN_ORDER = ("status", "tax", "freight", "detail", "details", "info", "amount", "customer", "delivery", "pickup", "distance", "location")
+SENDER = ("origin", "shipper")
+RECEIVER = ("consignee", "destination")
+CUSTOMERS = ("customer", "customers")
+HOW_MANY = ("how many",)
+DELIVERED = ("delivered",)
+SORT_LOW = ("lowest", "smallest", "least", "cheapest", "min")
+SORT_LOW_BY = ("amount", "freight", "tax", "distance")
+SORT_TOP = ("best", "highest", "max", "top", "largest", "most")
+SORT_TOP_BY = ("amount", "freight", "revenue", "tax", "distance")
+EVERY = ("all", "every")
+WIDE = ("total", "sum", "all")
+OVERALL = ("total", "sum", "aggregate", "overall")
+TOTAL = ("total",)
+GET = ("get",)
+STATUS_WORDS = ("status", "statuses")
+STATUS_SHARES = ("summary", "total", "breakdown")
+IN_COUNTRY = ("number of", "in canada", "in us", "in usa", "in the us", "in united")
+ON_A_DAY = ("kitne", "kitna", "number of", "ordered", "diya", "created", "total", "on", "for", "dated", "date")
+PLACE_SHARES = ("breakdown", "break down", "summary")
+NO_PLACE_COUNT = ("customer", "best", "worst")
+BY_STATE = ("state wise", "statewise", "by state", "orders per state", "order per state")
+STATES = ("state", "states")
+CITY = ("city",)
+BY_CITY = ("city wise", "citywise", "by city", "orders per city", "order per city")
+CITIES = ("cities",)
+IN_A_PERIOD = ("kitne", "kitna", "created", "quoted", "confirmed", "confirmation", "status")
+TRIP = ("trip", "trips", "tripno")
+DISTANCE = ("distance",)
+FLEET = ("how many", "all", "fleet")
+CALCULATING = ("aggregate", "formula", "calculate", "calculation", "net after")
+WHICH = ("which", "all")
+ORDERSTATUS = ("orderstatus",)
+COMPARE = ("compare",)
+NO_LOOKUP = ("all", "list", "filter", "compare", "vs")
+DETAILS = ("detail", "details", "give", "get", "show")
+MEASURED = ("order", "amount", "freight", "tax", "distance", "revenue")
+RANKED = ("best", "highest", "top", "largest", "most", "lowest", "smallest")
+ONE_CUSTOMER = ("customer",)
+RECENT = ("recent", "latest")
+MOVED = ("pickup", "delivery", "drop")
+NO_PLACES = ("customer count", "best", "worst", "low")
+DATED = ("on", "dated", "date", "pickup", "delivery")
+ASKED_AGAIN = ("status", "tax", "freight")
+OF_THAT_ORDER = ("status", "tax", "freight", "detail", "amount", "customer", "delivery")
+COMPARING = ("compare", "difference", "vs", "versus")
 #: Two-letter words that are no state, though they are spelled like a code.
 NO_STATES = ("in", "or", "me", "ok", "hi", "oh", "id", "us", "la", "de", "ma", "pa")
 # Other names of the formulas.
@@ -68,19 +116,38 @@ ALIASES = {
 }
 
 
+#: All classes that rules ask for; each has one bit.
+CLASSES = (
+    *STATUSES.values(),
+    PICKUP, DELIVERY, BEST, WORST, MONEY, CANADA, AMERICA, ZIP, CUSTOMER, ORDER, COUNTING, ADDING, SHARES, LISTING,
+    ASKING, PLACE, REGION, FOLLOW_UP, OF_AN_ORDER, STATES_OF_ORDER, SENDER, RECEIVER, CUSTOMERS, HOW_MANY, DELIVERED,
+    SORT_LOW, SORT_LOW_BY, SORT_TOP, SORT_TOP_BY, EVERY, WIDE, OVERALL, TOTAL, GET, STATUS_WORDS, STATUS_SHARES,
+    IN_COUNTRY, ON_A_DAY, PLACE_SHARES, NO_PLACE_COUNT, BY_STATE, STATES, CITY, BY_CITY, CITIES, IN_A_PERIOD, TRIP,
+    DISTANCE, FLEET, CALCULATING, WHICH, ORDERSTATUS, COMPARE, NO_LOOKUP, DETAILS, MEASURED, RANKED, ONE_CUSTOMER,
+    RECENT, MOVED, NO_PLACES, DATED, ASKED_AGAIN, OF_THAT_ORDER, COMPARING,
+)
+#: Bits of a mask; more classes take more masks.
+WIDTH = 60
+
+
 def texts(values) -> Column:
     return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
 
 
 def read(question: Column) -> Column:
-    """struct(text, words, line, parts, keys): what the annotators read.
+    """struct(text, words, line, parts, keys, masks): what the annotators read.
 
     ``words`` are the runs of letters and digits in lower case, ``line`` is all of them with
     a blank on either side; ``parts`` are what stands between blanks, colons, number signs
-    and equal signs, and ``keys`` are these in lower case without marks around. A null
-    question reads as an empty one.
+    and equal signs, and ``keys`` are these in lower case without marks around; ``masks`` have a
+    bit for each class of words that the question holds. A null question reads as an empty one.
     """
     text = F.coalesce(question, F.lit(""))
+    bare = _bare(text)
+    return let(bare, lambda d: F.struct(*(d[n].alias(n) for n in ("text", "words", "line", "parts", "keys")), masks(d["words"]).alias("masks")))
+
+
+def _bare(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     parts = F.filter(F.split(text, r"[\s:#=]+"), lambda p: p != "")
     keys = F.transform(parts, lambda p: F.lower(F.trim(p, F.lit(".,;!?()'\""))))
@@ -88,13 +155,69 @@ def read(question: Column) -> Column:
     return F.struct(text.alias("text"), words.alias("words"), line.alias("line"), parts.alias("parts"), keys.alias("keys"))
 
 
+def _dictionary() -> tuple[list[str], list[list[int]], list[int], list[int]]:
+    """(words, their masks, the longest phrase that a word begins, slots): a word stands in the slot of its checksum.
+
+    The number of slots is the first at which no two words share one. Entry 0 is no word.
+    """
+    masks, begins = {}, {}
+    for bit, words in enumerate(dict.fromkeys(CLASSES)):
+        for w in words:
+            own = masks.setdefault(w, [0] * N_MASKS)
+            own[bit // WIDTH] |= 1 << bit % WIDTH
+            head, *more = w.split(" ")
+            begins[head] = max(begins.get(head, 0), len(more) + 1)
+    for head in begins:
+        masks.setdefault(head, [0] * N_MASKS)
+    words = ["", *sorted(masks)]
+    size = next(n for n in range(8 * len(words), 1 << 20) if len({zlib.crc32(w.encode()) % n for w in words[1:]}) == len(words) - 1)
+    slots = [0] * size
+    for i, w in enumerate(words[1:], 1):
+        slots[zlib.crc32(w.encode()) % size] = i
+    return words, [masks.get(w, [0] * N_MASKS) for w in words], [begins.get(w, 0) for w in words], slots
+
+
+def masks(words: Column) -> Column:
+    """Masks of all classes that words hold: each word is looked up once, and once more for each phrase it may begin."""
+    fixed = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")  # noqa: E731  one literal
+    listed = F.split(F.lit(",".join(WORDS)), ",")
+
+    def entry(w: Column) -> Column:
+        at = F.get(fixed(SLOTS, "int"), (F.crc32(w.cast("binary")) % len(SLOTS)).cast("int"))
+        return let(at, lambda i: F.when(F.get(listed, i) == w, i).otherwise(0))
+
+    first = F.transform(words, entry)
+
+    def phrases(ids: Column) -> Column:
+        def longer(i: Column, at: Column) -> Column:
+            reach = F.get(fixed(BEGINS, "int"), i)
+            phrase = lambda n: F.when((reach >= n) & (F.size(words) >= at + n), entry(F.array_join(F.slice(words, at + 1, n), " "))).otherwise(0)
+            return F.when(reach > 1, F.array(i, *(phrase(n) for n in range(2, max(BEGINS) + 1)))).otherwise(F.array(i))
+
+        return F.flatten(F.transform(ids, longer))
+
+    def both(ids: Column) -> Column:
+        one = lambda k: F.aggregate(ids, F.lit(0).cast("bigint"), lambda m, i: m.bitwiseOR(F.get(fixed([m[k] for m in MASKS], "bigint"), i)))
+        return F.array(*(one(k) for k in range(N_MASKS)))
+
+    return let(let(first, phrases), lambda ids: both(F.filter(ids, lambda i: i > 0)))
+
+
+BIT = {words: i for i, words in enumerate(dict.fromkeys(CLASSES))}
+N_MASKS = len(BIT) // WIDTH + 1
+WORDS, MASKS, BEGINS, SLOTS = _dictionary()
+
+
 def seen(d: Column, *classes: tuple[str, ...]) -> Column:
     """Whether the question holds any word or phrase of these classes."""
-    every = [w for c in classes for w in c]
-    single, phrases = [w for w in every if " " not in w], [w for w in every if " " in w]
-    out = F.arrays_overlap(d["words"], texts(single)) if single else F.lit(False)
-    for p in phrases:
-        out = out | d["line"].contains(f" {p} ")
+    wanted = [0] * N_MASKS
+    for c in classes:
+        wanted[BIT[c] // WIDTH] |= 1 << BIT[c] % WIDTH
+    out = None
+    for k, bits in enumerate(wanted):
+        if bits:
+            test = F.get(d["masks"], F.lit(k)).bitwiseAND(F.lit(bits).cast("bigint")) != 0
+            out = test if out is None else out | test
     return out
 
 
@@ -212,7 +335,7 @@ def status(d: Column) -> Column:
 
 
 def side(d: Column) -> Column:
-    here, there = seen(d, PICKUP, ("origin", "shipper")), seen(d, DELIVERY, ("consignee", "destination"))
+    here, there = seen(d, PICKUP, SENDER), seen(d, DELIVERY, RECEIVER)
     return F.when(here & ~there, "pickup").when(there & ~here, "delivery").otherwise("both")
 
 
@@ -286,7 +409,7 @@ def customer_name(d: Column) -> Column:
     """The name behind "customer" or "orders for", up to a word that begins something else; none in rankings and counts."""
     keys = d["keys"]
     ends = ("with", "status", "in", "and", "currency")
-    ranking = seen(d, ("customer", "customers")) & seen(d, BEST, WORST, ("how many",))
+    ranking = seen(d, CUSTOMERS) & seen(d, BEST, WORST, HOW_MANY)
 
     def words(at: Column) -> Column:
         end = first_of(F.transform(keys, lambda k, i: F.when((i >= at) & k.isin(*ends), i)))
@@ -307,7 +430,7 @@ def locations(d: Column) -> Column:
     no_status = lambda c: F.when(~F.lower(c).isin(*STATES_OF_ORDER), c)
     coded = lambda c: F.lower(F.element_at(F.split(c, "[ .,]"), 1)).isin(*ZIP, "code")
     pickup = value(rest(d, behind(d, PICKUP, ("location", "from"))), NAME, 51, 2)
-    drop = let(value(rest(d, behind(d, DELIVERY, ("location", "to"))), NAME, 51, 2), lambda c: F.when(~seen(d, ("delivered",)) & ~coded(c), no_status(c)))
+    drop = let(value(rest(d, behind(d, DELIVERY, ("location", "to"))), NAME, 51, 2), lambda c: F.when(~seen(d, DELIVERED) & ~coded(c), no_status(c)))
     place = let(value(rest(d, behind(d, (*PLACE, "place"))), NAME, 51, 2), no_status)
     both = F.struct(pickup.alias("p"), drop.alias("d"))
     return let(
@@ -345,31 +468,40 @@ def city_address(d: Column) -> Column:
 
 def sort_limit(d: Column) -> Column:
     """struct(sort_by, ascending, limit)."""
-    low = seen(d, ("lowest", "smallest", "least", "cheapest", "min")) & seen(d, ("amount", "freight", "tax", "distance"))
-    top = seen(d, ("best", "highest", "max", "top", "largest", "most")) & seen(d, ("amount", "freight", "revenue", "tax", "distance"))
-    holds = lambda *w: F.exists(d["words"], lambda x: x.rlike("|".join(w)))
+    low = seen(d, SORT_LOW) & seen(d, SORT_LOW_BY)
+    top = seen(d, SORT_TOP) & seen(d, SORT_TOP_BY)
+    holds = lambda *stems: reduce(lambda a, b: a | b, (d["line"].contains(x) for x in stems))
     by = F.when(holds("tax"), "taxes").when(holds("distance"), "distance_num").when(~low & holds("revenue", "gross"), "grosstotalfreight").otherwise("totalfreight")
     asked = scan(d["words"], lambda w, one, two: F.when(w.isin("top", "last", "recent", "show", "list") & one.rlike(r"^\d{1,3}$"), one.cast("int")))
-    limit = F.coalesce(F.when(asked.isNotNull(), F.least(F.lit(50), F.greatest(F.lit(1), asked))), F.when(seen(d, ("all", "every")) & seen(d, ORDER), 25), F.when(top | low, 5))
+    limit = F.coalesce(F.when(asked.isNotNull(), F.least(F.lit(50), F.greatest(F.lit(1), asked))), F.when(seen(d, EVERY) & seen(d, ORDER), 25), F.when(top | low, 5))
     return F.struct(F.when(top | low, by).alias("sort_by"), F.when(top | low, low).alias("ascending"), limit.alias("limit"))
 
 
+def _common(names: list[str]) -> str:
+    """The longest text that all names hold."""
+    short = min(names, key=len)
+    parts = (short[i:j] for i in range(len(short)) for j in range(len(short), i, -1))
+    return max((p for p in parts if all(p in n for n in names)), key=len, default="")
+
+
 def formulas(d: Column) -> Column:
     """Ids of the formulas a question names, longest alias first; else the general ones."""
     low = F.lower(d["text"])
     scored = []
     for i, (name, _, _) in enumerate(FORMULAS):
-        length = F.lit(0)
-        for alias in sorted({*ALIASES.get(name, ()), name.replace("_", " "), name}, key=len):
+        length, aliases = F.lit(0), sorted({*ALIASES.get(name, ()), name.replace("_", " "), name}, key=len)
+        for alias in aliases:
             length = F.when(low.contains(alias), len(alias)).otherwise(length)
+        if stem := _common(aliases):
+            length = F.when(low.contains(stem), length).otherwise(0)
         scored.append(F.struct((-length).alias("minus"), F.lit(i).alias("i"), F.lit(name).alias("id")))
     hit = F.transform(F.sort_array(F.filter(F.array(*scored), lambda x: x["minus"] < 0)), lambda x: x["id"])
-    wide = seen(d, ("total", "sum", "all"))
+    wide = seen(d, WIDE)
     general = (
         F.when(seen(d, COUNTING) & seen(d, ORDER), texts(["order_count"]))
         .when(low.contains("tax") & wide, texts(["total_taxes"]))
         .when(low.contains("freight") & wide, texts(["total_freight"]))
-        .when(seen(d, ("total", "sum", "aggregate", "overall")), texts(["order_count", "total_revenue", "total_freight", "total_taxes"]))
+        .when(seen(d, OVERALL), texts(["order_count", "total_revenue", "total_freight", "total_taxes"]))
         .otherwise(texts([]))
     )
     return F.when(F.size(hit) > 0, hit).otherwise(general)
@@ -387,22 +519,22 @@ def topics(d: Column, day: Column | None = None, days: Column | None = None, nam
     ids = formulas(d) if ids is None else ids
     counting, orders, customer = seen(d, COUNTING), seen(d, ORDER), seen(d, CUSTOMER)
     of_status, ranked = seen(d, STATES_OF_ORDER), seen(d, BEST, WORST)
-    counted = counting | seen(d, SHARES, ("total",))
-    listing = seen(d, LISTING, ("get",)) & ~counted
+    counted = counting | seen(d, SHARES, TOTAL)
+    listing = seen(d, LISTING, GET) & ~counted
     statuses = ~listing & (
-        (seen(d, ("status", "statuses")) & (counting | seen(d, SHARES))) | (of_status & counting) | (of_status & orders & seen(d, ("summary", "total", "breakdown")))
+        (seen(d, STATUS_WORDS) & (counting | seen(d, SHARES))) | (of_status & counting) | (of_status & orders & seen(d, STATUS_SHARES))
     )
-    in_country = named_country.isNotNull() & (counting | customer | seen(d, ("number of", "in canada", "in us", "in usa", "in the us", "in united")))
+    in_country = named_country.isNotNull() & (counting | customer | seen(d, IN_COUNTRY))
     dated = day.isNotNull() & (
-        counting | customer | orders | seen(d, ("kitne", "kitna", "number of", "ordered", "diya", "created", "total", "on", "for", "dated", "date"))
+        counting | customer | orders | seen(d, ON_A_DAY)
     )
-    plain = (orders | counting | seen(d, ("breakdown", "break down", "summary"))) & ~seen(d, ("customer", "best", "worst"))
-    by_state = seen(d, ("state wise", "statewise", "by state", "orders per state", "order per state")) | (seen(d, ("state", "states")) & plain)
-    best_city = seen(d, ("city",)) & seen(d, BEST)
-    by_city = ~best_city & (seen(d, ("city wise", "citywise", "by city", "orders per city", "order per city")) | (seen(d, ("cities",)) & plain))
-    period = days.isNotNull() & (counting | orders | seen(d, ("kitne", "kitna", "created", "quoted", "confirmed", "confirmation", "status")))
-    order_named = F.exists(d["words"], lambda w: w.rlike(r"^(mrp|tord)\d+$"))
-    trip = ~order_named & (seen(d, ("trip", "trips", "tripno")) | (seen(d, ("distance",)) & seen(d, ADDING, ("how many", "all", "fleet"))))
+    plain = (orders | counting | seen(d, PLACE_SHARES)) & ~seen(d, NO_PLACE_COUNT)
+    by_state = seen(d, BY_STATE) | (seen(d, STATES) & plain)
+    best_city = seen(d, CITY) & seen(d, BEST)
+    by_city = ~best_city & (seen(d, BY_CITY) | (seen(d, CITIES) & plain))
+    period = days.isNotNull() & (counting | orders | seen(d, IN_A_PERIOD))
+    order_named = d["line"].rlike(r" (mrp|tord)\d+ ")
+    trip = ~order_named & (seen(d, TRIP) | (seen(d, DISTANCE) & seen(d, ADDING, FLEET)))
     named = {
         "status_summary": statuses, "customer_rank": customer & ranked, "country_customers": in_country, "activity_on_date": dated,
         "by_state": by_state, "by_city": by_city, "best_city": best_city, "period": period, "trip": trip,
@@ -410,8 +542,8 @@ def topics(d: Column, day: Column | None = None, days: Column | None = None, nam
     any_topic = F.lit(False)
     for c in named.values():
         any_topic = any_topic | c
-    sums = seen(d, ADDING, COUNTING, ("aggregate", "formula", "calculate", "calculation", "net after"))
-    fields = F.exists(d["words"], lambda w: w.rlike("revenue|tax|freight|fuel|offered|distance|profit"))
+    sums = seen(d, ADDING, COUNTING, CALCULATING)
+    fields = reduce(lambda a, b: a | b, (d["line"].contains(x) for x in ("revenue", "tax", "freight", "fuel", "offered", "distance", "profit")))
     named |= {"analytics": any_topic, "calculation": ~any_topic & ((F.size(ids) > 0) | sums | fields)}
     return F.struct(*(F.coalesce(c, F.lit(False)).alias(n) for n, c in named.items()))
 
@@ -420,36 +552,36 @@ def intent(d: Column, t: Column, token: Column, has_history: Column | None = Non
     """struct(intent, reason): the first rule that matches. ``t``: topics, ``token``: the order token."""
     history = F.lit(False) if has_history is None else has_history
     orders, named = seen(d, ORDER), token.isNotNull()
-    order_word = F.exists(d["words"], lambda w: w.startswith("order"))
+    order_word = d["line"].contains(" order")
     zips, n_words = seen(d, ZIP), F.size(d["parts"])
     counted = seen(d, COUNTING, ADDING)
-    listed = (seen(d, LISTING, ("which", "all")) & order_word) | seen(d, ("orderstatus",))
-    compared, asked = seen(d, ("compare",)), seen(d, ASKING)
+    listed = (seen(d, LISTING, WHICH) & order_word) | seen(d, ORDERSTATUS)
+    compared, asked = seen(d, COMPARE), seen(d, ASKING)
     only_token = (F.size(d["words"]) == 1) & named
     lookup = named & ~zips & ~seen(d, REGION) & (asked | only_token | (n_words <= 8))
-    lookup = lookup & (~seen(d, ("all", "list", "filter", "compare", "vs")) | (seen(d, ("detail", "details", "give", "get", "show")) & ~compared))
-    numbered = F.exists(d["words"], lambda w: w.rlike(r"^((mrp|tord)\d+|\d{4,})$"))
-    measured = seen(d, ("order", "amount", "freight", "tax", "distance", "revenue"))
-    ranked = seen(d, ("best", "highest", "top", "largest", "most", "lowest", "smallest")) & measured & ~seen(d, ("customer",))
-    by_status = seen(d, LISTING) & seen(d, STATES_OF_ORDER) & ~seen(d, COUNTING, SHARES, ("total",))
+    lookup = lookup & (~seen(d, NO_LOOKUP) | (seen(d, DETAILS) & ~compared))
+    numbered = d["line"].rlike(r" ((mrp|tord)\d+|\d{4,}) ")
+    measured = seen(d, MEASURED)
+    ranked = seen(d, RANKED) & measured & ~seen(d, ONE_CUSTOMER)
+    by_status = seen(d, LISTING) & seen(d, STATES_OF_ORDER) & ~seen(d, COUNTING, SHARES, TOTAL)
     numbered_last = scan(d["words"], lambda w, one, two: F.when(w.isin("last", "top") & one.rlike(r"^\d+$"), F.lit(True)))
-    recent = (seen(d, ("recent", "latest")) | F.coalesce(numbered_last, F.lit(False))) & order_word & ~t["calculation"]
-    moved = orders | seen(d, ("pickup", "delivery", "drop"))
+    recent = (seen(d, RECENT) | F.coalesce(numbered_last, F.lit(False))) & order_word & ~t["calculation"]
+    moved = orders | seen(d, MOVED)
     toward = scan(d["words"], lambda w, one, two: F.when(w.isin("in", "from", "to", "at") & one.rlike("^[a-z]{2}"), F.lit(True)))
     places = zips | seen(d, REGION) | (seen(d, PLACE) & moved) | (orders & F.coalesce(toward, F.lit(False)))
-    places = places & ~(seen(d, ("customer count", "best", "worst", "low")) | (seen(d, ("how many",)) & seen(d, ("customer", "customers"))))
+    places = places & ~(seen(d, NO_PLACES) | (seen(d, HOW_MANY) & seen(d, CUSTOMERS)))
     with_words = ("with", "for", "by", "in")
     linked = scan(d["words"], lambda w, one, two: F.when(w.isin(*ORDER) & one.isin(*with_words), F.lit(True)))
     a_status = scan(d["words"], lambda w, one, two: F.when((w == "status") & one.isin("confirmed", "delivered", "dispatched", "cancelled", "quoted"), F.lit(True)))
-    in_year = seen(d, ("on", "dated", "date", "pickup", "delivery")) & F.exists(d["words"], is_year)
+    in_year = seen(d, DATED) & d["line"].rlike(r" 20\d\d ")
     filtered = (listed | F.coalesce(linked, a_status, F.lit(False)) | in_year) & ~counted
-    follow = history & seen(d, FOLLOW_UP, ("status", "tax", "freight")) & seen(d, ("status", "tax", "freight", "detail", "amount", "customer", "delivery"))
+    follow = history & seen(d, FOLLOW_UP, ASKED_AGAIN) & seen(d, OF_THAT_ORDER)
     rules = (
         (F.size(d["parts"]) == 0, "empty", "empty"),
         (F.trim(d["line"]).isin(*GREETINGS), "greeting", "greeting_or_thanks"),
         (t["activity_on_date"], "analytics", "activity_on_date"),
         (lookup, "order_lookup", "explicit_order_token"),
-        (seen(d, ("compare", "difference", "vs", "versus")) & numbered, "compare", "compare_orders"),
+        (seen(d, COMPARING) & numbered, "compare", "compare_orders"),
         (ranked, "list_filter", "ranked_list"),
         (by_status, "list_filter", "status_filtered_list"),
         (t["customer_rank"] & (direction(d) == "worst"), "analytics", "worst_customer"),
