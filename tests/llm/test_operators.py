@@ -1,15 +1,18 @@
 """The operators against SQL, brute force and hand-made cases."""
 
+import ctypes
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cargolens.llm import automaton, licenses, lm_scoring, minhash, mixing, packing, quality, queries, secrets, substrings, topk, toxicity, wordhash
@@ -433,6 +436,21 @@ def earliest_deadline_first(blocks, weights):
     return order
 
 
+def rounds_first(blocks):
+    """The source of each slot for equal weights: a round for each block number, larger sources first, then by a hash of the name."""
+    key = lambda s: (-blocks[s], ctypes.c_int64(xxhash.xxh64_intdigest(("s" + s if s else "").encode(), 42)).value, s)
+    names, order, done = sorted(blocks, key=key), [], dict.fromkeys(blocks, 0)
+    for j in range(max(blocks.values(), default=0)):
+        start, end = len(order), len(order) + sum(n > j for n in blocks.values())
+        for s in names:
+            if blocks[s] > j:
+                # released at the round's start and done before its end, so that it is less than a block from its share
+                assert start <= len(order) < end and done[s] == j
+                order.append(s)
+                done[s] += 1
+    return order
+
+
 @pytest.mark.parametrize("weights", [{"a": 0.0007, "b": 0.4996, "c": 0.4997}, {"a": 0.123456, "b": 0.876544, "c": 0.1}, {"a": 1 / 3, "b": 2 / 7, "c": 8 / 21}, {}])
 def test_mix_is_earliest_deadline_first(spark, weights):
     counts = {"a": 37, "b": 900, "c": 611, "": 150}
@@ -440,7 +458,8 @@ def test_mix_is_earliest_deadline_first(spark, weights):
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {s: w for s, w in weights.items()} or None, block=2).collect()
     least = min(weights.values(), default=1)
     exact = {s: Fraction(weights.get(s, least)).limit_denominator(10**6) for s in counts}
-    want = earliest_deadline_first({s: -(-n // 2) for s, n in counts.items()}, exact)
+    own = {s: -(-n // 2) for s, n in counts.items()}
+    want = earliest_deadline_first(own, exact) if weights else rounds_first(own)
     slots = {r["slot"]: r["source"] or "" for r in got}
     assert [slots[t] for t in range(len(want))] == want and len(got) == len(rows)
     for s, n in counts.items():
@@ -448,10 +467,35 @@ def test_mix_is_earliest_deadline_first(spark, weights):
         assert [b for _, b in own] == [k // 2 for k in range(n)]
 
 
+def test_weights_of_seven_digits():
+    weights, blocks = {"a": 0.1234567, "b": 0.8765433}, {"a": 300, "b": 900}
+    want = earliest_deadline_first(blocks, {s: mixing.exact(w) for s, w in weights.items()})
+    slots = {}
+    for name, lo, hi, quota, places, start, period in mixing.plan(blocks, weights):
+        for j in range(hi - lo):
+            slots[start + j // quota * period + places[j % quota]] = name
+    assert [slots[t] for t in range(1200)] == want
+
+
+def test_ten_thousand_sources(spark):
+    rng = random.Random(3)
+    counts = {f"host{i}": 1 + min(40, int(rng.paretovariate(1))) for i in range(10_000)} | {"host7": 900}
+    rows = [(i, s) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    began = time.time()
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"host1": 2, "host5": 2}, block=2)
+    got = out.select("source", "slot", "mix_order").collect()
+    assert time.time() - began < 60
+    order = rounds_first({s: -(-n // 2) for s, n in counts.items()})
+    slots = {r["slot"]: r["source"] for r in got}
+    assert [slots[t] for t in range(len(order))] == order and len({r["mix_order"] for r in got}) == len(rows) == len(got)
+
+
 def test_weights_without_a_common_period_are_an_error():
     assert mixing.quotas([0.0007, 0.4996, 0.4997]) == [7, 4996, 4997] and mixing.quotas([1 / 3, 0.5]) == [2, 3]
     with pytest.raises(ValueError, match="period"):
-        mixing.plan({"a": 5, "b": 5}, {"a": 3.141592653589793, "b": 2.718281828459045})
+        mixing.plan({"a": 1 << 60, "b": 1 << 60}, {"a": 3.141592653589793, "b": 2.718281828459045})
+    # a phase that ends early needs its own part of the period only
+    assert [r[2] for r in mixing.plan({"a": 5, "b": 5}, {"a": 3.141592653589793, "b": 2.718281828459045})]
     with pytest.raises(ValueError, match="positive"):
         mixing.plan({"a": 5}, {"a": 0})
 

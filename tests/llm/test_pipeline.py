@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as pipeline
 from cargolens.llm import mixing, packing, quality, secrets
 
-from .test_operators import by_hand, earliest_deadline_first
+from .test_operators import by_hand, rounds_first
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -69,7 +69,7 @@ def test_the_mix_is_earliest_deadline_first(stages):
     sources = [r[3] for r in stages[0][4]]
     left, want = Counter(sources), []
     blocks = {s: -(-n // mixing.BLOCK) for s, n in left.items()}
-    for s in earliest_deadline_first(blocks, dict.fromkeys(blocks, mixing.exact(1))):
+    for s in rounds_first(blocks):
         n = min(mixing.BLOCK, left[s])
         want += [s] * n
         left[s] -= n
