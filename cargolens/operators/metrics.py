@@ -177,7 +177,9 @@ def run_formulas(orders: DataFrame, ids: tuple[str, ...] | None = None, where: C
 
 
 def namespace_counts(documents: DataFrame) -> DataFrame:
-    """(namespace, n, markers): stored orders and setup markers of each namespace, and of all in the row without a namespace."""
+    """(namespace, whole, n, markers): stored orders and setup markers of each namespace, a null one included, and of all where ``whole`` is true."""
     return documents.rollup("namespace").agg(
-        F.count_if(F.col("doc_type") == "order").alias("n"), F.count_if(F.coalesce(F.col("doc_type") != "order", F.lit(True))).alias("markers")
+        (F.grouping("namespace") == 1).alias("whole"),
+        F.count_if(F.col("doc_type") == "order").alias("n"),
+        F.count_if(F.coalesce(F.col("doc_type") != "order", F.lit(True))).alias("markers"),
     )

@@ -117,6 +117,17 @@ FORM_SQL = f"""WITH {LINES}, f AS (SELECT doc_id, pos, (['shipper', 'fragile_che
   SELECT doc_id, '=== PDF FORM FIELD VALUES ===' || chr(10) || string_agg(field || ': ' || value, chr(10) ORDER BY pos) AS text FROM f
   WHERE value <> '' AND NOT (value IN ('/', 'Off', 'Yes', 'No') AND field = 'fragile_check') AND NOT (field = 'scac_label' AND value LIKE '%:') GROUP BY doc_id"""
 register("form_fields_text", DOCS, lambda d: chunking.form_fields_text(forms(d)), FORM_SQL)
+
+
+def pages_with_forms(d: DataFrame) -> DataFrame:
+    """Lines as pages, the forms behind page 0."""
+    return chunking.with_form_fields(lines(d).select("doc_id", F.col("pos").alias("page"), F.col("chunk").alias("text")), chunking.form_fields_text(forms(d)))
+
+
+register(
+    "form_fields_page", DOCS, pages_with_forms,
+    f"WITH {LINES}, t AS ({FORM_SQL}) SELECT l.doc_id, CAST(pos AS INTEGER) AS page, CASE WHEN pos = 0 AND t.text IS NOT NULL THEN chunk || chr(10) || chr(10) || t.text ELSE chunk END AS text FROM l LEFT JOIN t ON t.doc_id = l.doc_id",
+)
 register(
     "document_text", DOCS, lambda d: chunking.document_text(lines(d).select("doc_id", F.col("pos").alias("page"), F.col("chunk").alias("text"))),
     f"WITH {LINES} SELECT doc_id, string_agg(chunk, chr(10) ORDER BY pos)[1:12000] AS text FROM l GROUP BY doc_id",
@@ -158,18 +169,33 @@ PATH = "source || '/' || doc_id || (['.TXT', '.pdf', '.csv', '.json', ''])[doc_i
 register("src_text_documents", DOCS, lambda d: readers.text_documents(NAMED(d)), f"SELECT {PATH} AS path, text, false AS no_split FROM documents WHERE trim(text) <> ''")
 register("src_extension_filter", DOCS, lambda d: NAMED(d).filter(readers.readable(F.col("path"))).select("path"), f"SELECT {PATH} AS path FROM documents WHERE doc_id % 5 IN (0, 1, 3)")
 
-CONTENT = ("orderid", "ordernumber", "tempordernumber", "orderdate", "customername", "customercode", "companycode", "salesmanname", "currencycode", "orderstatus", "pickuplocationname", "pickupfulladdress", "pickupdate", "deliverylocationname", "deliveryfulladdress", "deliverydate", "commodityname", "distanceunit")
-CONTENT_SQL = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN CAST({c} AS STRING) <> '' THEN '{c}: ' || {c} END" for c in CONTENT) + ")"
+# numbers that DuckDB and Spark write alike: exact to six digits
+NUMBERS = ("grosstotalfreight", "totalfreight", "pretaxamount", "taxes", "totaltaxamount", "othercharges", "offeredamount", "fuelcharges")
+COLUMNS = (
+    "namespace", "doc_type", "orderid", "ordernumber", "tempordernumber", "orderstatus", "customername", "customercode", "companycode", "currencycode", "salesmanname", "commodityname",
+    *NUMBERS, "distance_raw", "distanceunit", "tripno", "orderdate", "pickupdate", "deliverydate", "pickuplocationname", "deliverylocationname", "pickupfulladdress", "deliveryfulladdress",
+)
+CONTENT = [c for c in tables.PREFERRED if c in COLUMNS]
+
+
+def written(o: DataFrame) -> DataFrame:
+    """Orders with their amounts as decimals, and remarks so long that some texts are cut."""
+    remarks = F.when(F.col("orderid") % 5 == 0, F.repeat(F.concat(F.col("ordernumber"), F.lit(" ")), 900))
+    return o.select(*(F.col(c).cast("decimal(18,6)").alias(c) if c in NUMBERS else F.col(c) for c in COLUMNS), remarks.alias("remarks"))
+
+
+CONTENT_SQL = f"""{{WITH}}, w AS (SELECT {', '.join(f'CAST({c} AS DECIMAL(18,6)) AS {c}' if c in NUMBERS else c for c in COLUMNS)},
+  CASE WHEN orderid % 5 = 0 THEN repeat(ordernumber || ' ', 900) END AS remarks FROM orders_doc),
+  f AS (SELECT orderid, concat_ws(chr(10), {', '.join(f"CASE WHEN CAST({c} AS STRING) <> '' THEN '{c}: ' || CAST({c} AS STRING) END" for c in CONTENT)}) AS lines,
+  '{{{{' || concat_ws(',', {', '.join(f"CASE WHEN {c} IS NOT NULL THEN '{chr(34)}{c}{chr(34)}:' || " + (f"CAST({c} AS STRING)" if c in NUMBERS or c == 'orderid' else f"to_json({c})") + " END" for c in (*COLUMNS, 'remarks'))}) || '}}}}' AS whole FROM w)
+  SELECT orderid, lines || chr(10) || 'full_order_json: ' || CASE WHEN length(whole) > 6000 THEN whole[1:6000] || '...' ELSE whole END AS page_content FROM f"""
 
 
 def documents(o: DataFrame) -> DataFrame:
     return tables.build_documents(o, "orders", F.lit("2001-08-01"))
 
 
-register(
-    "doc_page_content", ORDERS, lambda o: o.select("orderid", F.substring_index(tables.page_content(o, CONTENT), "\nfull_order_json: ", 1).alias("page_content")),
-    f"{WITH} SELECT orderid, {CONTENT_SQL} AS page_content FROM orders_doc",
-)
+register("doc_page_content", ORDERS, lambda o: written(o).select("orderid", tables.page_content(written(o)).alias("page_content")), CONTENT_SQL.replace("{WITH}", WITH).replace("{{", "{").replace("}}", "}"))
 register(
     "doc_build", ORDERS, lambda o: documents(o).select("orderid", F.col("metadata.type").alias("type"), F.col("metadata.source_document").alias("source_document"), F.col("metadata.ordernumber").alias("ordernumber"), F.col("metadata.embedding_dimensions").alias("embedding_dimensions"), F.col("metadata.structured").alias("structured")),
     f"{WITH} SELECT orderid, doc_type AS type, 'orders' AS source_document, ordernumber, CAST(0 AS INTEGER) AS embedding_dimensions, true AS structured FROM orders_doc",
@@ -217,7 +243,14 @@ register("shipment_explode", ORDERS, lambda o: rows(o).groupBy("resp_id").agg(F.
 FILL = {"commodity": "commodity", "pickup_location": "pickup_location", "No.OfPackage": "packages", "weight": "weight"}
 FILL_SQL = f"SELECT resp_id, pos, CAST(0 AS INTEGER) AS ship, line, {', '.join(FILL.get(k, 'CAST(NULL AS STRING)') + ' AS ' + chr(34) + k.replace('.', '_') + chr(34) for k in shipments.SHIPMENT_KEYS)} FROM ({ROWS_SQL})"
 register("shipment_fill", ORDERS, lambda o: shipments.shipment_rows(shipments.parse_responses(responses(o))).select("resp_id", "pos", "ship", "line", *(F.col(f"`{k}`").alias(k.replace(".", "_")) for k in shipments.SHIPMENT_KEYS)), FILL_SQL)
-register("parse_response_json", ORDERS, lambda o: shipments.parse_responses(responses(o)).select("resp_id", "pos", F.to_json("obj").alias("obj"), "raw"))
+SHIPMENT = """'{"commodity":' || to_json(coalesce(commodityname, '')) || CASE WHEN pickuplocationname IS NULL THEN '' ELSE ',"pickup_location":' || to_json(pickuplocationname) END || ',"weight":"4 lbs"}'"""
+PACKED = """'{"shipment":{"No.OfPackage":"7","commodity":"' || orderid || ' pcs"}}'"""
+PARSED_SQL = f"""{WITH}, o AS (SELECT *, {K} AS k, {SHIPMENT} AS one, {PACKED} AS pack FROM orders_doc)
+SELECT orderid AS resp_id, CASE WHEN k <> 6 THEN 0 END AS pos, CASE WHEN k IN (0, 1, 5) THEN '{{"shipment":' || one || '}}' WHEN k = 3 THEN '{{"shipment":[' || one || ']}}' WHEN k = 4 THEN '{{"shipment":[]}}' WHEN k = 7 THEN pack
+  WHEN k = 2 THEN '{{"shipment":{{"No.OfPackage":"10","commodity":["A","B","C"],"pickup_location":"' || ordernumber || '","weight":["1 lb","2 lb"]}}}}' END AS obj,
+  CASE WHEN k = 6 THEN 'no order ' || orderid END AS raw FROM o
+UNION ALL SELECT orderid, 1, pack, NULL FROM o WHERE k = 5"""
+register("parse_response_json", ORDERS, lambda o: shipments.parse_responses(responses(o)).select("resp_id", "pos", F.to_json("obj").alias("obj"), "raw"), PARSED_SQL)
 COMMODITY = "CASE orderid % 6 WHEN 0 THEN '4 pcs, 4624 lbs' WHEN 1 THEN orderid || ' pallets' WHEN 2 THEN '44000 LB' WHEN 3 THEN '4624 lbs steel coils' WHEN 4 THEN commodityname ELSE '' END"
 register("commodity_valid", ORDERS, lambda o: o.selectExpr("orderid", f"{COMMODITY} AS c").select("orderid", "c", (~shipments.invalid_commodity(F.col("c"))).alias("valid")), f"{WITH} SELECT orderid, {COMMODITY} AS c, orderid % 6 NOT IN (0, 1, 2) AS valid FROM orders_doc")
 
