@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 DIMENSIONS = 64
 CHARS = 4000
@@ -33,3 +36,53 @@ def embed(text: Column, precomputed: Column | None = None, model=hashed_terms) -
     """A vector that is there already wins."""
     computed = model(F.coalesce(text, F.lit("")))
     return computed if precomputed is None else F.coalesce(F.when(F.size(precomputed) > 0, precomputed), computed)
+
+
+#: Texts of a call of a model.
+BATCH = 25
+
+
+def embed_missing(df: DataFrame, make_model: Callable[[], Callable[[list[str]], list]], text: str = "text", vector: str = "embedding", batch: int = BATCH) -> DataFrame:
+    """The rows with ``vector`` (array<float>) filled in by a model where it is null or empty.
+
+    ``make_model`` is called once a task and returns what makes vectors of a list of texts; it
+    gets ``batch`` texts at a time, across Arrow batches, and fewer at the end of a task only.
+    Vectors that are there already pass by without a call. Null texts are embedded as empty ones.
+    Arrow batches wait until all their calls are made.
+    """
+    out = df.withColumn(vector, (F.col(vector) if vector in df.columns else F.lit(None)).cast("array<float>"))
+    at, source = out.columns.index(vector), out.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, texts = make_model(), [], []  # batches that wait, and the texts they wait for
+
+        def call() -> None:
+            found = model(texts)
+            if len(found) != len(texts):
+                raise ValueError(f"the model made {len(found)} vectors of {len(texts)} texts")
+            for (vectors, i), v in zip(places, found, strict=True):
+                vectors[i] = [float(x) for x in v]
+            texts.clear()
+            places.clear()
+
+        def ready(b: pa.RecordBatch, vectors: list) -> pa.RecordBatch:
+            return b.set_column(at, b.schema.field(at), pa.array(vectors, type=b.schema.field(at).type))
+
+        places: list[tuple[list, int]] = []
+        for b in batches:
+            vectors = b.column(at).to_pylist()
+            held.append((b, vectors))
+            for i, (v, t) in enumerate(zip(vectors, b.column(source).to_pylist(), strict=True)):
+                if not v:
+                    texts.append(t or "")
+                    places.append((vectors, i))
+                    if len(texts) == batch:
+                        call()
+            if not texts:
+                yield from (ready(*h) for h in held)
+                held = []
+        if texts:
+            call()
+        yield from (ready(*h) for h in held)
+
+    return out.mapInArrow(run, out.schema)

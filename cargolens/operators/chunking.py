@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..functions.questions import let
+
 SIZE, OVERLAP = 800, 120
 SEPARATORS = ("\n\n", "\n", ".", " ", "")
 
@@ -59,26 +63,51 @@ def chunk_no_split(docs: DataFrame) -> DataFrame:
     return docs.filter(F.trim("text") != "").select("doc_id", F.lit(0).alias("pos"), F.col("text").alias("chunk"))
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, sentence): cut behind ``.``, ``!`` or ``?`` that white space follows."""
-    parts = F.split(F.coalesce(F.col("text"), F.lit("")), r"(?<=[.!?])\s+")
-    full = F.filter(parts, lambda s: F.trim(s) != "")
-    return docs.select("doc_id", F.posexplode(full).alias("pos", "sentence"))
+def sentences(text: Column) -> Column:
+    """The sentences of a text: cut behind ``.``, ``!`` or ``?`` that white space follows; blank ones are none."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+
+
+def percentile_of(values: Column, share: float) -> Column:
+    """The interpolated percentile of an array of numbers, null of an empty one."""
+
+    def at(v: Column) -> Column:
+        place = (F.size(v) - 1) * F.lit(share)
+        low, high = F.get(v, F.floor(place).cast("int")), F.get(v, F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    return let(F.sort_array(values), at)
+
 
+def chunk_semantic(docs: DataFrame, embed: Callable[[Column], Column], percentile: float = 0.95, embed_all: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(doc_id, pos, chunk): breaks where neighbouring sentence vectors are further apart than that percentile of the text's distances.
 
-def chunk_semantic(docs: DataFrame, embed, percentile: float = 0.95) -> DataFrame:
-    """(doc_id, pos, chunk): breaks where neighbouring sentence vectors are further apart than that percentile of the text's distances."""
+    A text is split inside its row, as arrays of its sentences, vectors and distances, without
+    a shuffle. ``embed`` makes a vector of a sentence; ``embed_all``, such as a UDF that calls a
+    model, makes the vectors of an array of sentences instead. A text of one sentence, or with
+    equal distances, is one chunk; null and blank texts have none.
+    """
     from .vectors import cosine, norm
 
-    by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    s = sentences(docs).withColumn("v", embed(F.col("sentence")))
-    s = s.withColumn("before", F.lag("v").over(by_doc))
-    s = s.withColumn("gap", F.when(F.col("before").isNotNull(), 1 - cosine(F.col("before"), F.col("v"), norm(F.col("before")), norm(F.col("v")))))
-    far = F.expr(f"percentile(gap, {percentile})").over(Window.partitionBy("doc_id"))
-    s = s.withColumn("far", far)
-    s = s.withColumn("number", F.sum(F.when(F.col("gap") > F.col("far"), 1).otherwise(0)).over(by_doc))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ")
-    return s.groupBy("doc_id", "number").agg(joined.alias("chunk")).select("doc_id", F.col("number").cast("int").alias("pos"), "chunk")
+    vectors = embed_all or (lambda s: F.transform(s, lambda x: embed(x)))
+
+    def gaps(v: Column) -> Column:
+        return F.zip_with(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 2, F.size(v)), lambda a, b: 1 - cosine(a, b, norm(a), norm(b)))
+
+    def cut(s: Column, gap: Column) -> Column:
+        far = percentile_of(gap, percentile)
+
+        def pieces(limit: Column) -> Column:
+            # where chunks begin, from 1, with a last place behind the text
+            begins = F.filter(F.transform(gap, lambda g, i: F.when(g > limit, i + 2)), lambda i: i.isNotNull())
+            edges = F.concat(F.array(F.lit(1)), begins, F.array(F.size(s) + 1))
+            return F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges)), lambda a, z: F.array_join(F.slice(s, a, z - a), " "))
+
+        return F.when(F.size(s) > 0, let(far, pieces))
+
+    rows = docs.select("doc_id", sentences(F.col("text")).alias("_s"))
+    rows = rows.withColumn("_v", vectors(F.col("_s"))).withColumn("_g", gaps(F.col("_v")))
+    return rows.select("doc_id", F.posexplode(cut(F.col("_s"), F.col("_g"))).alias("pos", "chunk"))
 
 
 def chunk_links(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions.addresses import order_parts, shown
 from ..schema import FORMULAS, KNOWN_STATUSES
@@ -121,6 +122,37 @@ def activity_daily(orders: DataFrame, date_field: str = "orderdate") -> DataFram
     )
 
 
+def customer_numbers(orders: DataFrame, ranges: int = 256) -> DataFrame:
+    """(customername, number): every named customer by a number of its own, from 0 without gaps, inside ranges of a hash."""
+    names = orders.filter(F.coalesce("customername", F.lit("")) != "").select("customername").distinct()
+    names = names.withColumn("_range", F.pmod(F.xxhash64("customername"), F.lit(ranges)))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # ``ranges`` rows
+    starts = names.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("customername")) - 1
+    return names.join(F.broadcast(starts), "_range").select("customername", (F.col("_from") + own).alias("number"))
+
+
+def activity_bitmaps(orders: DataFrame, numbers: DataFrame, date_field: str = "orderdate") -> DataFrame:
+    """(day, bucket, matching_orders, customers): orders of each day, and its customers as exact bitmaps over their numbers.
+
+    Bitmaps of days can be stored and merged: the different customers of any set of days follow
+    from these rows, without the orders. Orders without a customer are in a bucket of their own.
+    """
+    o = orders.select(F.substring(date_field, 1, 10).alias("day"), "customername").join(numbers, "customername", "left")
+    number = F.col("number")
+    rows = o.select("day", F.coalesce(F.bitmap_bucket_number(number), F.lit(-1)).alias("bucket"), F.bitmap_bit_position(number).alias("bit"))
+    return rows.groupBy("day", "bucket").agg(F.count(F.lit(1)).alias("matching_orders"), F.bitmap_construct_agg("bit").alias("customers"))
+
+
+def activity_over(bitmaps: DataFrame, *keys: Column) -> DataFrame:
+    """(*keys, matching_orders, distinct_customers) from bitmaps of days, for keys that days have, such as a month."""
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    merged = bitmaps.select("*", *named).groupBy(*names, "bucket").agg(F.sum("matching_orders").alias("n"), F.bitmap_or_agg("customers").alias("c"))
+    found = F.when(F.col("bucket") >= 0, F.bitmap_count("c")).otherwise(0)
+    return merged.groupBy(*names).agg(F.sum("n").alias("matching_orders"), F.sum(found).alias("distinct_customers"))
+
+
 def field_aggs(orders: DataFrame, fields: list[str], where: Column | None = None) -> DataFrame:
     """(field, n, sum, avg, min, max) of several fields, in one pass over the orders."""
     o = with_numbers(orders)

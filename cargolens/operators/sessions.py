@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 from ..functions import questions as q
 
 MAX_TURNS = 20
-#: What a follow-up takes from the turns before it.
+#: Turn numbers of a segment.
+SEGMENT = 4096
+# What a follow-up takes from the turns before it.
 STICKY = (
     "customername", "customercode", "orderstatus", "currencycode", "companycode", "pickup_location", "delivery_location", "pin",
     "state", "city", "address", "location", "location_side", "salesmanname", "commodityname",
@@ -37,7 +39,8 @@ def session_append(sessions: DataFrame, new_turns: DataFrame, now: Column, n: in
 
     ``created_at`` is set once, ``updated_at`` with each batch; turns are cut to the last n.
     """
-    added = new_turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("added"))
+    # the last turns of the batch are enough; their ranks are limited inside tasks
+    added = session_tail(new_turns, n).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("added"))
     both = sessions.join(added, "conv_id", "full_outer")
     empty = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
     all_turns = F.concat(F.coalesce("turns", empty), F.coalesce("added", empty))
@@ -64,10 +67,25 @@ def carry(turns: DataFrame) -> DataFrame:
     return sticky(d, ["order_token"], F.col("about_last_order"))
 
 
-def sticky(annotated: DataFrame, columns: list[str], follow_up: Column) -> DataFrame:
-    """Each column's value in force: the turn's own, or the session's last one on a follow-up."""
-    past = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+def sticky(annotated: DataFrame, columns: list[str], follow_up: Column, segment: int = SEGMENT) -> DataFrame:
+    """Each column's value in force: the turn's own, or the session's last one on a follow-up.
+
+    A session is cut into segments of turn numbers. Each segment is summed up by the last value
+    of every column, added up inside tasks; what comes into a segment follows from the summaries
+    before it, and segments then go on by themselves, so that a session of any length is no task.
+    """
+    taken = {c: f"_in_{i}" for i, c in enumerate(columns)}
+    # rows without a turn number come first
+    part = F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 60)))
+    rows = annotated.withColumns({"_part": part, "_follows": follow_up})
+    last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.coalesce("turn", F.lit(-(1 << 60))))))
+    sums = rows.groupBy("conv_id", "_part").agg(*(last(c).alias(t) for c, t in taken.items()))
+    earlier = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    comes = sums.select("conv_id", "_part", *(F.last(t, ignorenulls=True).over(earlier).alias(t) for t in taken.values()))
+    both = rows.alias("r").join(comes.alias("c"), F.col("r.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("r._part") == F.col("c._part")))
+    both = both.select("r.*", *(F.col(f"c.{t}") for t in taken.values()))
+    past = Window.partitionBy("conv_id", "_part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     carried = {
-        c: F.coalesce(F.col(c), F.when(follow_up, F.last(c, ignorenulls=True).over(past))) for c in columns
+        f"{c}_in_force": F.coalesce(F.col(c), F.when(F.col("_follows"), F.coalesce(F.last(c, ignorenulls=True).over(past), F.col(t)))) for c, t in taken.items()
     }
-    return annotated.withColumns({f"{c}_in_force": v for c, v in carried.items()})
+    return both.withColumns(carried).drop("_part", "_follows", *taken.values())

@@ -214,6 +214,11 @@ register("customers_by_country", lambda o: metrics.customer_activity(o, metrics.
 register("customers_by_country_top", lambda o: metrics.top_customers(o, metrics.in_country("Canada")), TOP.format(CANADA))
 register("activity_on_date", lambda o: metrics.customer_activity(o, order_filter(orderdate="1998-03-05")), f"SELECT {COUNTS} FROM orders_doc WHERE starts_with(orderdate, '1998-03-05')")
 register("activity_daily", metrics.activity_daily, f"SELECT substr(orderdate, 1, 10) AS day, {COUNTS} FROM orders_doc GROUP BY 1")
+register(
+    "activity_monthly",
+    lambda o: metrics.activity_over(metrics.activity_bitmaps(o, metrics.customer_numbers(o)), F.left("day", F.lit(7))).withColumnRenamed("_k0", "month"),
+    f"SELECT substr(orderdate, 1, 7) AS month, {COUNTS} FROM orders_doc GROUP BY 1",
+)
 FIELDS = ["taxes", "totalfreight", "grosstotalfreight", "distance_num"]
 AVG = "CAST({0} AS DOUBLE)"
 

@@ -3,20 +3,24 @@
 import ctypes
 import json
 import math
+import random
 
 import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cargolens.functions import questions as q
 from cargolens.functions.addresses import parse_address
-from cargolens.functions.embedding import embed
+from cargolens.functions.embedding import embed, embed_missing
 from cargolens.operators import chunking, metrics, sessions, shipments, vectors
 from cargolens.plans import registry
-from cargolens.plans.orders_doc import orders_doc
+from cargolens.operators.filters import scope
+from cargolens.plans.orders_doc import NAMESPACE, orders_doc, stored_orders
 from cargolens.sources import readers, tables
 from cargolens.sources.stored import Stored
+from cargolens.sources.tables import scratch
 
 from .oracle import DATA
 
@@ -233,6 +237,95 @@ def test_whole_texts_take_part(spark, name):
         assert any(len(x) > 60 for t in got.values() for x in t.split("\n"))
 
 
+def test_a_model_is_called_in_batches(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [(i, None if i == 7 else f"text {i}", [9.0, 9.0] if i % 4 == 0 else [] if i % 4 == 1 else None) for i in range(130)]
+
+    def make_model():
+        import uuid
+
+        def model(texts):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                json.dump(texts, f)
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, embedding array<double>").coalesce(1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = {r["doc_id"]: (r["text"], r["embedding"]) for r in embed_missing(df, make_model).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == {i: (t, v or [float(len(t or "")), 1.0]) for i, t, v in rows}
+    calls = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+    asked = [t or "" for _, t, v in rows if not v]
+    assert sorted(len(c) for c in calls) == [len(asked) % 25, *[25] * (len(asked) // 25)] and sorted(sum(calls, [])) == sorted(asked)
+    alone = embed_missing(df.drop("embedding").filter("doc_id < 3"), make_model)
+    assert alone.columns == ["doc_id", "text", "embedding"] and alone.count() == 3
+
+
+def plain_semantic(text, vector, share=0.95):
+    parts = [s for s in regex.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", text or "") if s.strip(" ")]
+    gaps = [1 - (sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))) if any(a) and any(b) else 0) for a, b in zip(map(vector, parts), map(vector, parts[1:]))]
+    if not parts:
+        return []
+    order, place = sorted(gaps), (len(gaps) - 1) * share
+    far = order[math.floor(place)] + (order[math.ceil(place)] - order[math.floor(place)]) * (place - math.floor(place)) if gaps else 0
+    out = [[parts[0]]]
+    for s, g in zip(parts[1:], gaps):
+        if g > far + 1e-12:
+            out.append([])
+        out[-1].append(s)
+    return [" ".join(c) for c in out]
+
+
+def test_semantic_chunks_by_hand(spark):
+    marks = lambda s: [float(s.lower().count(c)) for c in "aeiou"]
+    counted = lambda s: F.transform(F.array(*(F.lit(c) for c in "aeiou")), lambda c: F.length(F.lower(s)) - F.length(F.replace(F.lower(s), c, F.lit(""))))
+    texts = ["One only", "A a. A a! A a? A a.", "Aaa aa. Aaa a. Aaa ae! Ooo o. Oo oo?", None, "", "  ", "no vowel: bcd. xyz. Aei."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text"))
+    df = chunking.chunk_semantic(docs, counted)
+    got: dict = {}
+    for r in df.orderBy("doc_id", "pos").collect():
+        got.setdefault(r["doc_id"], []).append(r["chunk"])
+    want = {r["doc_id"]: c for r in docs.collect() if (c := plain_semantic(r["text"], marks))}
+    assert got.keys() == want.keys()
+    wrong = [i for i in want if got[i] != want[i]]
+    assert len(wrong) <= len(want) // 50, (got[wrong[0]], want[wrong[0]])  # equal distances may differ in their last digit
+    assert got[0] == ["One only"] and len(got[1]) == 1 and len(got[2]) > 1
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_sessions_carry_in_segments(spark):
+    rng = random.Random(4)
+    rows = [(c, t if rng.random() < 0.98 else None, rng.choice([None, None, None, f"v{t}"]), rng.choice(["x", None]), rng.random() < 0.6) for c in (1, 2, None) for t in range(300)]
+    seen = set()
+    rows = [r for r in rows if (r[:2] not in seen and not seen.add(r[:2]))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, a string, b string, f boolean")
+    past = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.withColumns({f"{c}_in_force": F.coalesce(F.col(c), F.when(F.col("f"), F.last(c, ignorenulls=True).over(past))) for c in "ab"})
+    want = sorted(map(repr, plain.collect()))
+    for segment in (1, 7, 64, 4096):
+        assert sorted(map(repr, sessions.sticky(df, ["a", "b"], F.col("f"), segment).select(plain.columns).collect())) == want
+
+
+def test_bitmaps_of_days_give_every_range(spark):
+    orders = scope(stored_orders(spark, DATA), NAMESPACE)
+    numbers = metrics.customer_numbers(orders)
+    got = sorted(r["number"] for r in numbers.collect())
+    assert got == list(range(len(got))) and got
+    bitmaps = metrics.activity_bitmaps(orders, numbers)
+    bitmaps.write.parquet(path := f"{scratch(spark)}")
+    stored = spark.read.parquet(path)
+    for first, last in (("1995-01-01", "1995-12-31"), ("1998-03-05", "1998-03-05"), ("1990-01-01", "2030-01-01"), ("2050-01-01", "2051-01-01")):
+        some = stored.filter(F.col("day").between(first, last))
+        want = metrics.customer_activity(orders, F.left("orderdate", F.lit(10)).between(first, last)).first()
+        row = metrics.activity_over(some).first()
+        assert tuple(x or 0 for x in row) == tuple(want)
+
+
 def test_default_vectors_by_hand(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "...")], "doc_id long, text string"))
     for r in docs.select("doc_id", "text", embed(F.col("text")).alias("v")).collect():
