@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
@@ -14,38 +15,60 @@ SIZE, OVERLAP = 800, 120
 SEPARATORS = ("\n\n", "\n", ".", " ", "")
 
 
-def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Chunks of at most ``size`` characters, cut at the coarsest separator that makes them fit.
+def _ends(text: str, separator: str) -> np.ndarray:
+    """Places behind each separator, from the left."""
+    if len(separator) == 1:
+        return np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32) == ord(separator)) + 1
+    out, at = [], text.find(separator)
+    while at >= 0:
+        out.append(at + len(separator))
+        at = text.find(separator, at + len(separator))
+    return np.array(out, dtype=np.int64)
+
+
+def split_places(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
+    """From where to where the chunks of a text go, cut at the coarsest separators that make them fit.
 
     Pieces keep their separator at the end and are joined while they fit; a chunk begins
-    with the last pieces of the one before that have at most ``overlap`` characters.
+    with the last pieces of the one before that have at most ``overlap`` characters. All is
+    worked out on places; no piece is a text of its own.
     """
+    ends: dict[str, np.ndarray] = {}
+    edges: list[int] = [0]  # where pieces end
+
+    def fit(lo: int, hi: int, level: int) -> None:
+        if hi - lo <= size:
+            if hi > lo:
+                edges.append(hi)
+            return
+        separator = separators[level]
+        if not separator:
+            edges.extend([*range(lo + size, hi, size), hi])
+            return
+        if separator not in ends:
+            ends[separator] = _ends(text, separator)
+        places = ends[separator]
+        inside = places[np.searchsorted(places, lo, side="right") : np.searchsorted(places, hi, side="right")].tolist()
+        for at in inside if inside and inside[-1] == hi else [*inside, hi]:
+            fit(lo, at, level + 1)
+            lo = at
+
+    fit(0, len(text), 0)
+    out, first = [], 0  # a chunk goes from edge to edge
+    for i in range(1, len(edges)):
+        start, end = edges[i - 1], edges[i]
+        if first < i - 1 and end - edges[first] > size:
+            out.append((edges[first], start))
+            while first < i - 1 and (start - edges[first] > overlap or end - edges[first] > size):
+                first += 1
+    if len(edges) > 1:
+        out.append((edges[first], edges[-1]))
+    return out
 
-    def fitting(t: str, seps: tuple[str, ...]) -> list[str]:
-        if len(t) <= size:
-            return [t] if t else []
-        sep, *rest = seps
-        if not sep:
-            return [t[i : i + size] for i in range(0, len(t), size)]
-        if sep not in t:
-            return fitting(t, tuple(rest))
-        parts = t.split(sep)
-        kept = [p + sep for p in parts[:-1]] + parts[-1:]
-        return [x for p in kept for x in fitting(p, tuple(rest))]
-
-    chunks: list[str] = []
-    held: list[str] = []
-    length = 0
-    for piece in fitting(text, separators):
-        if held and length + len(piece) > size:
-            chunks.append("".join(held))
-            while held and (length > overlap or length + len(piece) > size):
-                length -= len(held.pop(0))
-        held.append(piece)
-        length += len(piece)
-    if held:
-        chunks.append("".join(held))
-    return [c for c in (c.strip() for c in chunks) if c]
+
+def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """The chunks of ``split_places``, without white space around; blank ones are none."""
+    return [c for c in (text[a:z].strip() for a, z in split_places(text, size, overlap, separators)) if c]
 
 
 def chunk_recursive(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -186,6 +186,48 @@ def test_totals_and_splits(spark):
     assert abs(sum(x * x for x in v) - 1) < 1e-5
 
 
+def plain_split(text: str, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, separators: tuple[str, ...] = chunking.SEPARATORS) -> list[str]:
+    """With a text for every piece."""
+
+    def fitting(t: str, seps: tuple[str, ...]) -> list[str]:
+        if len(t) <= size:
+            return [t] if t else []
+        sep, *rest = seps
+        if not sep:
+            return [t[i : i + size] for i in range(0, len(t), size)]
+        if sep not in t:
+            return fitting(t, tuple(rest))
+        parts = t.split(sep)
+        kept = [p + sep for p in parts[:-1]] + parts[-1:]
+        return [x for p in kept for x in fitting(p, tuple(rest))]
+
+    chunks: list[str] = []
+    held: list[str] = []
+    length = 0
+    for piece in fitting(text, separators):
+        if held and length + len(piece) > size:
+            chunks.append("".join(held))
+            while held and (length > overlap or length + len(piece) > size):
+                length -= len(held.pop(0))
+        held.append(piece)
+        length += len(piece)
+    if held:
+        chunks.append("".join(held))
+    return [c for c in (c.strip() for c in chunks) if c]
+
+
+def test_splits_are_those_of_pieces(spark):
+    rng = random.Random(11)
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    texts += ["".join(rng.choices("ab𝒳é .\n", weights=[9, 9, 1, 1, 4, 2, 3], k=rng.randrange(400))) for _ in range(600)]
+    for text in texts:
+        assert chunking.split_text(text) == plain_split(text)
+        for size, overlap in ((40, 10), (7, 3), (5, 0), (3, 3)):
+            assert chunking.split_text(text, size, overlap) == plain_split(text, size, overlap)
+    long = "x" * 1_000_000
+    assert chunking.split_text(long) == plain_split(long) and chunking.split_text("") == []
+
+
 def test_split_text_overlaps():
     text = "alpha beta gamma delta. " * 20
     parts = chunking.split_text(text, 100, 30)
