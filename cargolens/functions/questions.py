@@ -3,7 +3,7 @@
 ``read`` takes a question apart once, into its words and its blank-separated parts; every
 annotator works on that. One dictionary gives each word and phrase the classes it belongs to,
 as bits: a question's words are looked up once and their bits combined. A rule asks for bits,
-wherever the words stand, or what stands behind a label word. Nothing is a Python UDF, so that a table of
+wherever the words stand, for one class behind another, or for what stands behind a label word. Nothing is a Python UDF, so that a table of
 questions is annotated in one pass.
 """
 
@@ -221,6 +221,12 @@ def seen(d: Column, *classes: tuple[str, ...]) -> Column:
     return out
 
 
+def then(d: Column, first: tuple[str, ...], test: Callable[[Column], Column]) -> Column:
+    """Whether a word that passes a test stands behind the first word of a class; looked at only where masks say so."""
+    at = first_of(F.transform(d["words"], lambda w, i: F.when(w.isin(*first), i)))
+    return let(at, lambda i: F.coalesce(F.exists(F.slice(d["words"], i + 2, F.size(d["words"])), test), F.lit(False)))
+
+
 def let(bound: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often the body uses it."""
     return F.get(F.transform(F.array(bound), body), F.lit(0))
@@ -468,7 +474,7 @@ def city_address(d: Column) -> Column:
 
 def sort_limit(d: Column) -> Column:
     """struct(sort_by, ascending, limit)."""
-    low = seen(d, SORT_LOW) & seen(d, SORT_LOW_BY)
+    low = seen(d, SORT_LOW) & seen(d, SORT_LOW_BY) & then(d, SORT_LOW, lambda w: w.isin(*SORT_LOW_BY))
     top = seen(d, SORT_TOP) & seen(d, SORT_TOP_BY)
     holds = lambda *stems: reduce(lambda a, b: a | b, (d["line"].contains(x) for x in stems))
     by = F.when(holds("tax"), "taxes").when(holds("distance"), "distance_num").when(~low & holds("revenue", "gross"), "grosstotalfreight").otherwise("totalfreight")
@@ -555,14 +561,14 @@ def intent(d: Column, t: Column, token: Column, has_history: Column | None = Non
     order_word = d["line"].contains(" order")
     zips, n_words = seen(d, ZIP), F.size(d["parts"])
     counted = seen(d, COUNTING, ADDING)
-    listed = (seen(d, LISTING, WHICH) & order_word) | seen(d, ORDERSTATUS)
+    listed = (seen(d, LISTING, WHICH) & order_word & then(d, (*LISTING, *WHICH), lambda w: w.startswith("order"))) | seen(d, ORDERSTATUS)
     compared, asked = seen(d, COMPARE), seen(d, ASKING)
     only_token = (F.size(d["words"]) == 1) & named
     lookup = named & ~zips & ~seen(d, REGION) & (asked | only_token | (n_words <= 8))
     lookup = lookup & (~seen(d, NO_LOOKUP) | (seen(d, DETAILS) & ~compared))
     numbered = d["line"].rlike(r" ((mrp|tord)\d+|\d{4,}) ")
     measured = seen(d, MEASURED)
-    ranked = seen(d, RANKED) & measured & ~seen(d, ONE_CUSTOMER)
+    ranked = seen(d, RANKED) & measured & ~seen(d, ONE_CUSTOMER) & then(d, RANKED, lambda w: w.isin(*MEASURED))
     by_status = seen(d, LISTING) & seen(d, STATES_OF_ORDER) & ~seen(d, COUNTING, SHARES, TOTAL)
     numbered_last = scan(d["words"], lambda w, one, two: F.when(w.isin("last", "top") & one.rlike(r"^\d+$"), F.lit(True)))
     recent = (seen(d, RECENT) | F.coalesce(numbered_last, F.lit(False))) & order_word & ~t["calculation"]

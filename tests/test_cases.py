@@ -163,13 +163,14 @@ def test_order_files(spark, tmp_path):
 
 
 def test_namespace_sink(spark, tmp_path):
-    path = str(tmp_path / "t")
-    one = spark.createDataFrame([(1, "a"), (2, "b")], "x int, namespace string")
-    tables.write_namespace(one, path)
-    tables.write_namespace(spark.createDataFrame([(3, "a")], "x int, namespace string"), path)
-    assert sorted(r["x"] for r in spark.read.parquet(path).collect()) == [2, 3]
-    tables.write_namespace(one.filter("x = 1"), path, replace=False)
-    stored = spark.read.parquet(path)
+    shape = "x int, namespace string"
+    table = Stored(spark, str(tmp_path / "t"), shape)
+    one = spark.createDataFrame([(1, "a"), (2, "b")], shape)
+    table.write(one)
+    table.write(spark.createDataFrame([(3, "a")], shape))
+    assert sorted(r["x"] for r in table.read().collect()) == [2, 3]
+    table.write(one.filter("x = 1"), replace=False)
+    stored = table.read()
     assert stored.count() == 3 and tables.read_namespace(stored, "none") is None and tables.read_namespace(stored, "a").count() == 2
 
 
