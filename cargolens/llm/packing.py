@@ -26,6 +26,7 @@ unless its length is a power of two.
 
 from __future__ import annotations
 
+import functools
 import logging
 import struct
 import zlib
@@ -53,8 +54,9 @@ CACHE = 400_000
 MARKS = ".,;:!?"
 
 
+@functools.lru_cache(maxsize=1)
 def token_bytes(path: str, ranks: str | None = None):
-    """A function from a list of texts to their ids as bytes (little-endian unsigned 32-bit).
+    """A function from a list of texts to their ids as bytes (little-endian unsigned 32-bit), made once a worker.
 
     Words recur, so the ids of blank-separated stretches are kept in a bounded cache. Ids may
     be joined there because byte-level pre-tokenisation always cuts before a single blank
