@@ -156,7 +156,7 @@ class FingerprintIndex:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         name = f"fingerprints_{n}_{uuid.uuid4().hex}"
         one = rows.groupBy("fp").agg(F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min("key").alias("key"))
-        one = one.withColumn("key", F.when(F.col("n") == 1, F.col("key"))).repartition(n, "fp").sortWithinPartitions("fp")
+        one = one.withColumn("key", F.when(F.col("n") == 1, F.col("key")))  # dealt by fp already, as buckets are
         one.write.bucketBy(n, "fp").sortBy("fp").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
