@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 
 #: Vectors of a block.
 BLOCK = 1024
+#: Columns of a match.
+MATCH = "query_id long, vec_id long, score double"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,33 +49,18 @@ def top_k(scores: DataFrame, k: int, min_score: float | None = None) -> DataFram
     return best if min_score is None else best.filter(F.col("score") >= min_score)
 
 
-def top_k_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, namespace: str = "label", block: int = BLOCK) -> DataFrame:
-    """As ``top_k`` of ``vector_scores``, for queries that grow with the table.
+def held(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = t.column("vec_id").to_numpy()
+    e = t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    square = np.zeros(len(ids))
+    for x in e.T:
+        square += x * x
+    return ids, e, np.sqrt(square)
 
-    Blocks of queries meet blocks of vectors of their namespace; each keeps its k best per
-    query, so that no table of all pairs is made. Pairs without a defined score, as with
-    vectors of another length, are no matches.
-    """
-    kind = ["ns", "size"]
 
-    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        full = df.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
-        full = full.select("vec_id", F.col(namespace).alias("ns"), F.size("embedding").alias("size"), F.col("embedding").cast("array<double>").alias("e")).filter("ns is not null")
-        parts = full.groupBy(*kind).agg(F.ceil(F.count(F.lit(1)) / block).alias(f"{name}s"))
-        return full.join(parts, kind).withColumn(name, F.pmod(F.xxhash64("vec_id"), F.col(f"{name}s"))), parts
-
-    (q, q_parts), (v, v_parts) = dealt(queries, "q"), dealt(vectors, "v")
-    q = q.join(v_parts, kind).withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vs") - 1)))
-    v = v.join(q_parts, kind).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)))
-    key, shape = [*kind, "q", "v"], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def held(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = t.column("vec_id").to_numpy()
-        e = t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        square = np.zeros(len(ids))
-        for x in e.T:
-            square += x * x
-        return ids, e, np.sqrt(square)
+def matcher(k: int):
+    """A function of a block of queries and a block of vectors: each query's k best of the block."""
+    shape = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -91,9 +78,31 @@ def top_k_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, min_score: f
             out.append((np.full(len(at), qi[i]), vi[at], score[i, at]))
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=shape)
 
+    return best
+
+
+def top_k_in_blocks(vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, namespace: str = "label", block: int = BLOCK) -> DataFrame:
+    """As ``top_k`` of ``vector_scores``, for queries that grow with the table.
+
+    Blocks of queries meet blocks of vectors of their namespace; each keeps its k best per
+    query, so that no table of all pairs is made. Pairs without a defined score, as with
+    vectors of another length, are no matches.
+    """
+    kind = ["ns", "size"]
+
+    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        full = df.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+        full = full.select("vec_id", F.col(namespace).alias("ns"), F.size("embedding").alias("size"), F.col("embedding").cast("array<double>").alias("e")).filter("ns is not null")
+        parts = full.groupBy(*kind).agg(F.ceil(F.count(F.lit(1)) / block).alias(f"{name}s"))
+        return full.join(parts, kind).withColumn(name, F.pmod(F.xxhash64("vec_id"), F.col(f"{name}s"))), parts
+
+    (q, q_parts), (v, v_parts) = dealt(queries, "q"), dealt(vectors, "v")
+    q = q.join(v_parts, kind).withColumn("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("vs") - 1)))
+    v = v.join(q_parts, kind).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)))
+    key = [*kind, "q", "v"]
     own = lambda df: df.select(*(F.col(c).alias(c) for c in (*key, "vec_id", "e"))).groupBy(*key)
     found = own(q).cogroup(own(v))
-    return top_k(found.applyInArrow(best, "query_id long, vec_id long, score double"), k, min_score)
+    return top_k(found.applyInArrow(matcher(k), MATCH), k, min_score)
 
 
 def with_context(best: DataFrame, texts: DataFrame, length: int = 2500) -> DataFrame:

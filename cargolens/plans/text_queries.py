@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.embedding import embed
-from ..operators import chunking, shipments, vectors
+from ..operators import chunking, pivots, shipments, vectors
 from ..sources import readers, tables
 from ..sources.stored import Stored
 from .orders_doc import ORDERS_DOC_SQL, stored_orders
@@ -49,6 +49,7 @@ def ranked(e: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
 register("vector_cosine", EMB, lambda e: vectors.vector_scores(e, every(e)).select("query_id", "vec_id", rounded()), f"WITH {SCORES} SELECT query_id, vec_id, round(score, 6) AS score FROM s")
 register("vector_topk", EMB, lambda e: ranked(e, 15).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded()), f"WITH {SCORES} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 15")
 register("vector_topk_min_score", EMB, lambda e: ranked(e, 40, 0.28).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded()), f"WITH {SCORES} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 40 AND score >= 0.28")
+register("vector_topk_pivots", EMB, lambda e: pivots.top_k_by_pivots(e, every(e), 15, 0.28).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded()), f"WITH {SCORES} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 15 AND score >= 0.28")
 QUERIES["vector_topk_context"] = lambda spark, sf_dir: vectors.with_context(
     ranked(EMB(spark, sf_dir), 15), table("documents")(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "text")
 ).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", rounded(), "context")
