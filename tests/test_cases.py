@@ -162,6 +162,16 @@ def test_order_files(spark, tmp_path):
     assert readers.text_documents(readers.whole_texts(spark, str(tmp_path))).count() == 1
 
 
+def test_texts_that_only_begin_with_json_are_no_json(spark):
+    texts = ["8294846167456848 Inly onhe.", "[1] first", '{"orderid":1}] x', '{"orderid":1},0] x', '{"orderid":1} {"orderid":2}', '"a" b', "true or not"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    assert sorted(r["text"] for r in readers.text_documents(df).collect()) == sorted(texts)
+    assert readers.unwrap_records(df).count() == 0
+    whole = spark.createDataFrame([("a", ' {"orderid":1}\n'), ("b", "null"), ("c", "12"), ("d", '{"details":"[{}] x"}'), ("e", None)], "path string, text string")
+    assert readers.text_documents(whole).count() == 0
+    assert sorted(r["path"] for r in readers.unwrap_records(whole).collect()) == ["a", "d"]
+
+
 def test_namespace_sink(spark, tmp_path):
     shape = "x int, namespace string"
     table = Stored(spark, str(tmp_path / "t"), shape)
