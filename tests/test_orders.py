@@ -1,7 +1,11 @@
 """Order lists, lookups and the stored table: plans and odd rows."""
 
 import math
+import os
+import re
+from urllib.parse import unquote, urlparse
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,10 +13,11 @@ from cargolens.operators import orders as ops
 from cargolens.operators.filters import order_filter, scope
 from cargolens.operators.metrics import orders_in_period
 from cargolens.plans import registry
-from cargolens.plans.orders_doc import NAMESPACE, orders_doc, stored_orders
+from cargolens.plans.orders_doc import NAMESPACE, orders_doc, store_orders, stored_orders
 from cargolens.schema import LISTED
+from cargolens.sources.tables import scratch
 
-from .oracle import DATA
+from .oracle import DATA, same
 
 
 def plan(df):
@@ -25,6 +30,31 @@ def test_the_stored_orders_are_the_derived_ones(spark):
     assert stored_orders(spark, DATA).columns == orders_doc(spark, DATA).columns
 
 
+def test_orders_are_stored_without_a_shuffle_of_their_texts_and_small(spark):
+    fresh = orders_doc(spark, DATA, dated=True)
+    assert "rangepartitioning" not in plan(fresh).lower()
+    table = store_orders(fresh, scratch(spark))
+    files = table.read().inputFiles()
+    assert 0 < sum(os.path.getsize(unquote(urlparse(f).path)) for f in files) < 1e6  # three filters of 1 MB a file before
+    for f in files:
+        days = [r[0] for r in spark.read.parquet(f).select("orderdate").collect()]
+        assert days == sorted(days)
+
+
+def test_odd_lines_and_orders(spark, tmp_path):
+    con = duckdb.connect()
+    odd = {
+        "lineitem": "l_extendedprice: CASE WHEN l_linenumber % 3 = 0 OR l_orderkey % 10 = 1 THEN NULL ELSE l_extendedprice + 0.004 END, l_discount: CASE WHEN l_linenumber % 4 = 1 THEN NULL ELSE l_discount END,"
+        " l_tax: CASE WHEN l_linenumber % 5 = 2 THEN NULL ELSE -l_tax END, l_quantity: nullif(l_quantity, 7) * 1e6, l_shipdate: CASE WHEN l_orderkey % 9 = 2 THEN NULL ELSE l_shipdate END, l_suppkey: nullif(l_suppkey, 3), l_partkey: l_partkey * 2",
+        "orders": "o_custkey: CASE WHEN o_orderkey % 50 = 3 THEN NULL ELSE o_custkey END, o_orderdate: CASE WHEN o_orderkey % 70 = 5 THEN NULL ELSE o_orderdate END", "customer": "", "supplier": "", "part": "",
+    }
+    for t, change in odd.items():
+        named = ", ".join(f"{v} AS {k}" for k, v in re.findall(r"(\w+): (.*?)(?:,\s+(?=\w+: )|$)", change))
+        twice = "UNION ALL SELECT * FROM t WHERE o_orderkey % 40 = 7" if t == "orders" else "WHERE l_orderkey % 13 > 0" if t == "lineitem" else ""
+        con.sql(f"COPY (WITH t AS (SELECT * {f'REPLACE ({named})' if named else ''} FROM '{DATA}/{t}.parquet') SELECT * FROM t {twice}) TO '{tmp_path}/{t}.parquet'")
+    same(registry.QUERIES["orders_doc"](spark, str(tmp_path)), registry.SQL["orders_doc"], str(tmp_path))
+
+
 @pytest.mark.parametrize("condition, pushed", [({"orderstatus": "Confirmed"}, "EqualTo(orderstatus,Confirmed)"), ({"orderdate": "1998-03"}, "StringStartsWith(orderdate,1998-03)")])
 def test_plans_read_partitions_and_push_filters(spark, condition, pushed):
     text = plan(scope(stored_orders(spark, DATA), NAMESPACE).filter(order_filter(**condition)).select("orderid"))
