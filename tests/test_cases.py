@@ -319,6 +319,21 @@ def test_a_model_is_called_in_batches(spark, tmp_path):
     assert alone.columns == ["doc_id", "text", "embedding"] and alone.count() == 3
 
 
+def test_scores_of_all_pairs_in_blocks(spark):
+    rows = [(i, i % 2, [float((i * k) % 7) - 2 for k in range(1, 6)]) for i in range(40)]
+    rows += [(70, 0, []), (71, 1, None), (72, 0, [0.0] * 5), (75, 1, [1.0, None, 2.0, 0.0, 1.0]), (78, 0, [1.0, 2.0]), (81, None, [1.0] * 5), (84, 0, [0.0, 0.0]), (87, 1, [math.nan, 1.0, 0.0, 0.0, 0.0]), (None, 0, [1.0] * 5)]
+    e = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    q = e.filter("vec_id % 3 = 0")
+    full = e.filter("size(embedding) > 0").withColumn("n", vectors.norm(F.col("embedding")))
+    ask = full.join(q.select("vec_id"), "vec_id").filter("n > 0").alias("q")
+    pairs = ask.join(full.alias("v"), F.col("q.label") == F.col("v.label")).filter("q.vec_id <> v.vec_id")
+    want = pairs.select("q.vec_id", "v.vec_id", vectors.cosine(F.col("q.embedding"), F.col("v.embedding"), F.col("q.n"), F.col("v.n")))
+    got = vectors.vector_scores(e, q, block=7)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect()))) and got.count() > 0
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in text and "zip_with" not in text
+
+
 def plain_semantic(text, vector, share=0.95):
     parts = [s for s in regex.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", text or "") if s.strip(" ")]
     gaps = [1 - (sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))) if any(a) and any(b) else 0) for a, b in zip(map(vector, parts), map(vector, parts[1:]))]
