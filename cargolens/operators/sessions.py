@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import questions as q
+from ..sources.tables import scratch
 
 MAX_TURNS = 20
 #: Turn numbers of a segment.
@@ -62,30 +63,43 @@ def with_entities(turns: DataFrame) -> DataFrame:
 
 
 def carry(turns: DataFrame) -> DataFrame:
-    """Turns (conv_id, turn, text) with ``<name>_in_force`` for all that is carried on."""
-    d = sticky(with_entities(turns), list(STICKY), F.col("follow_up"))
-    return sticky(d, ["order_token"], F.col("about_last_order"))
+    """Turns (conv_id, turn, text) with ``<name>_in_force`` for all that is carried on.
+
+    What the turns name is worked out once and written to the checkpoint folder, as it is read
+    more than once.
+    """
+    named, path = with_entities(turns), scratch(turns.sparkSession)
+    named.write.option("compression", "zstd").parquet(path)
+    kept = turns.sparkSession.read.schema(named.schema).parquet(path)
+    return sticky(kept, dict.fromkeys(STICKY, F.col("follow_up")) | {"order_token": F.col("about_last_order")})
 
 
-def sticky(annotated: DataFrame, columns: list[str], follow_up: Column, segment: int = SEGMENT) -> DataFrame:
+def sticky(annotated: DataFrame, columns: list[str] | dict[str, Column], follow_up: Column | None = None, segment: int = SEGMENT) -> DataFrame:
     """Each column's value in force: the turn's own, or the session's last one on a follow-up.
 
-    A session is cut into segments of turn numbers. Each segment is summed up by the last value
-    of every column, added up inside tasks; what comes into a segment follows from the summaries
-    before it, and segments then go on by themselves, so that a session of any length is no task.
+    ``columns`` may name a follow-up of their own for each column. A session is cut into segments
+    of turn numbers. Each segment is summed up by the last value of every column, added up inside
+    tasks; what comes into a segment follows from the summaries before it, and segments then go
+    on by themselves, so that a session of any length is no task. Where no session has a second
+    segment nothing is summed up.
     """
-    taken = {c: f"_in_{i}" for i, c in enumerate(columns)}
+    follow = columns if isinstance(columns, dict) else dict.fromkeys(columns, follow_up)
+    taken = {c: f"_in_{i}" for i, c in enumerate(follow)}
+    asks = {c: f"_follows_{i}" for i, c in enumerate(follow)}
     # rows without a turn number come first
     part = F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 60)))
-    rows = annotated.withColumns({"_part": part, "_follows": follow_up})
-    last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.coalesce("turn", F.lit(-(1 << 60))))))
-    sums = rows.groupBy("conv_id", "_part").agg(*(last(c).alias(t) for c, t in taken.items()))
-    earlier = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    comes = sums.select("conv_id", "_part", *(F.last(t, ignorenulls=True).over(earlier).alias(t) for t in taken.values()))
-    both = rows.alias("r").join(comes.alias("c"), F.col("r.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("r._part") == F.col("c._part")))
-    both = both.select("r.*", *(F.col(f"c.{t}") for t in taken.values()))
+    rows = annotated.withColumns({"_part": part} | {asks[c]: f for c, f in follow.items()})
+    if rows.groupBy("conv_id").agg((F.min("_part") < F.max("_part")).alias("more")).filter("more").isEmpty():
+        both = rows.withColumns({t: F.lit(None).cast(rows.schema[c].dataType) for c, t in taken.items()})
+    else:
+        last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(F.coalesce("turn", F.lit(-(1 << 60))))))
+        sums = rows.groupBy("conv_id", "_part").agg(*(last(c).alias(t) for c, t in taken.items()))
+        earlier = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        comes = sums.select("conv_id", "_part", *(F.last(t, ignorenulls=True).over(earlier).alias(t) for t in taken.values()))
+        both = rows.alias("r").join(comes.alias("c"), F.col("r.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("r._part") == F.col("c._part")))
+        both = both.select("r.*", *(F.col(f"c.{t}") for t in taken.values()))
     past = Window.partitionBy("conv_id", "_part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     carried = {
-        f"{c}_in_force": F.coalesce(F.col(c), F.when(F.col("_follows"), F.coalesce(F.last(c, ignorenulls=True).over(past), F.col(t)))) for c, t in taken.items()
+        f"{c}_in_force": F.coalesce(F.col(c), F.when(F.col(asks[c]), F.coalesce(F.last(c, ignorenulls=True).over(past), F.col(t)))) for c, t in taken.items()
     }
-    return both.withColumns(carried).drop("_part", "_follows", *taken.values())
+    return both.withColumns(carried).drop("_part", *asks.values(), *taken.values())

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from cargolens.functions import questions as q
 from cargolens.functions.addresses import parse_address
-from cargolens.functions.embedding import embed, embed_missing
+from cargolens.functions.embedding import embed, embed_missing, hashed_terms_all
 from cargolens.operators import chunking, metrics, sessions, shipments, vectors
 from cargolens.plans import registry
 from cargolens.operators.filters import scope
@@ -349,6 +349,29 @@ def plain_semantic(text, vector, share=0.95):
     return [" ".join(c) for c in out]
 
 
+def test_vectors_and_distances_of_whole_arrays_are_those_of_single_texts(spark):
+    texts = [None, "", "  ", "One.", "One. Two! 4? ... x. A a a. A a. Ünï ünï one", "..! ?", "a. a. a."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text"))
+    plain = chunking.chunk_semantic(docs, embed)
+    fast = chunking.chunk_semantic(docs, embed, embed_all=hashed_terms_all, gaps_all=vectors.neighbour_gaps)
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, plain.collect()))
+    s = docs.select(chunking.sentences(F.col("text")).alias("s"))
+    assert s.filter(~hashed_terms_all(F.col("s")).eqNullSafe(F.transform("s", lambda x: embed(x)))).isEmpty()
+    registered = registry.QUERIES["chunk_semantic"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in registered and "sequence(0, 63" not in registered
+
+
+def test_turns_are_annotated_once(spark):
+    turns = spark.createDataFrame([(1, i, t) for i, t in enumerate(("orders in California", "what is the tax on it", "order MRP7", "status of that"))] + [(None, 0, "it"), (2, 0, "orders in Texas"), (2, 1, "and that")], "conv_id long, turn long, text string")
+    for shift in (0, sessions.SEGMENT * 3):  # the second form has sessions of two segments
+        moved = turns.withColumn("turn", F.when(F.col("turn") > 1, F.col("turn") + shift).otherwise(F.col("turn")))
+        out = sessions.carry(moved)
+        got = {(r["conv_id"], r["text"]): (r["state_in_force"], r["order_token_in_force"]) for r in out.collect()}
+        assert got[1, "what is the tax on it"] == ("CA", None) and got[1, "status of that"] == ("CA", "MRP7") and got[2, "and that"] == ("TX", None) and got[None, "it"] == (None, None)
+        analysed = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp" not in analysed and ("Join" in analysed) == (shift > 0)
+
+
 def test_semantic_chunks_by_hand(spark):
     marks = lambda s: [float(s.lower().count(c)) for c in "aeiou"]
     counted = lambda s: F.transform(F.array(*(F.lit(c) for c in "aeiou")), lambda c: F.length(F.lower(s)) - F.length(F.replace(F.lower(s), c, F.lit(""))))
