@@ -10,7 +10,8 @@ is less than one block away from its weight times the slot number.
 release time and the same deadline: the number of blocks that all sources have among their first
 j - 1, and among their first j. Earliest deadline first is then a round for each j, and ties go
 to the source that has more blocks, then by a hash of its name. So a source has the same place in
-all its rounds, and a block's slot is arithmetic: its round's release time plus that place. The
+all its rounds, and a block's slot is arithmetic: its round's release time plus that place. Release
+time and deadline of each block are worked out, and a slot outside of them is an error. The
 driver sees how many sources there are of each size only; sizes that differ add up to no more
 than all blocks, so that there are fewer than the square root of twice their number. Any number
 of sources is fine.
@@ -170,7 +171,11 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, source
     ranked = ranked.withColumn(names["block"], F.floor(F.col(tmp["row"]) / block))
     number = F.col(names["block"])
     if even:
-        slotted = ranked.withColumn(names["slot"], release(number) + F.col(tmp["place"]))
+        # a block's deadline is the release time of the next one; of the blocks that may run, all of one deadline, the place says which goes first
+        timed = ranked.withColumns({tmp["from"]: release(number), tmp["to"]: release(number + 1)})
+        slot = F.col(tmp["from"]) + F.col(tmp["place"])
+        late = F.raise_error(F.concat(F.lit("a block in slot "), slot.cast("string"), F.lit(" misses its deadline "), F.col(tmp["to"]).cast("string")))
+        slotted = timed.withColumn(names["slot"], F.when(slot < F.col(tmp["to"]), slot).otherwise(late.cast("long")))
     else:
         totals = {r[0]: r[1] for r in firsts.groupBy(tmp["source"]).agg(F.sum("n")).collect()}  # one row a source
         phases = plan({k: -(-n // block) for k, n in totals.items()}, want)

@@ -394,6 +394,25 @@ def test_packing_of_rows_from_no_file(spark):
     assert sorted((r["doc_id"], r["length"]) for r in out.collect()) == [(1, 3), (1, 3), (2, 1)]
 
 
+def test_even_blocks_run_between_release_and_deadline(spark, monkeypatch):
+    left = {"a": 5, "b": 2, "c": 3, None: 1}
+    docs = spark.createDataFrame([(i, s) for s, n in left.items() for i in range(2 * n)], "doc_id long, source string")
+    rows = mixing.mix(docs, block=2).collect()
+    for r in rows:
+        release, deadline = (sum(min(n, j) for n in left.values()) for j in (r["block"], r["block"] + 1))
+        assert release <= r["slot"] < deadline
+    assert {r["slot"] for r in rows} == set(range(11))
+    rounds = mixing._rounds
+
+    def shifted(firsts, tmp, block):
+        ranks, release = rounds(firsts, tmp, block)
+        return ranks.withColumn(tmp["place"], F.col(tmp["place"]) + 1), release
+
+    monkeypatch.setattr(mixing, "_rounds", shifted)
+    with pytest.raises(Exception, match="misses its deadline"):
+        mixing.mix(docs, block=2).collect()
+
+
 def test_pfair_lag_is_less_than_a_block():
     rng = random.Random(1)
     for _ in range(30):
